@@ -26,7 +26,7 @@ STATS = (
 MOVIES_WITH_STATS = MOVIES.replace("comment_count int, ", "") + ", " + STATS
 
 THREAD_PAGE = (
-    "video_id string, items array<struct<id: string, snippet: struct<topLevelComment: struct<snippet: struct<"
+    "video_id string, page int, items array<struct<id: string, snippet: struct<topLevelComment: struct<snippet: struct<"
     "textDisplay: string, authorDisplayName: string, likeCount: bigint, publishedAt: string>>>>>, "
     "nextPageToken string"
 )

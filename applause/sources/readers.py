@@ -58,8 +58,9 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def flatten_threads(pages: DataFrame) -> DataFrame:
     """Comment-thread pages -> one row per top-level comment, with its place in the page."""
     s = "item.snippet.topLevelComment.snippet"
-    return pages.select("video_id", F.posexplode("items").alias("pos", "item")).select(
+    return pages.select("video_id", "page", F.posexplode("items").alias("pos", "item")).select(
         "video_id",
+        "page",
         "pos",
         F.col("item.id").alias("comment_id"),
         F.col(f"{s}.textDisplay").alias("text"),
