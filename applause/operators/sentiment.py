@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon, text as tx, values
+from ..session import cut_lineage
 from . import tables
 
 LONG_WORD = 40  # longer words are searched by their three-letter anchors
@@ -26,14 +27,18 @@ def _modified(polarity: Column, boost: Column, negated: Column) -> Column:
     return F.when(negated, clipped * -0.5).otherwise(clipped)
 
 
-def with_base_scores(
-    df: DataFrame,
-    text: str,
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def base_score(
+    text: Column,
     opinions: Mapping[str, tuple[float, float]] = lexicon.OPINIONS,
     intensifiers: Mapping[str, float] = lexicon.INTENSIFIERS,
     negators: Sequence[str] = lexicon.NEGATORS,
-) -> DataFrame:
-    """Mean polarity and subjectivity of the known words of each text, inside the row.
+) -> Column:
+    """Mean polarity and subjectivity of the known words of a text, as a struct.
 
     A word after an intensifier is scaled; a negator in front of either multiplies by -0.5. One-letter
     words are skipped. The lexicon travels as literals, so nothing is shuffled or joined.
@@ -41,9 +46,8 @@ def with_base_scores(
     polarity = _literal_map({w: p for w, (p, _) in opinions.items()})
     subjectivity = _literal_map({w: s for w, (_, s) in opinions.items()})
     boosts = _literal_map(intensifiers)
-    tokens = F.col("_tokens")
 
-    def scored(word: Column, i: Column) -> Column:
+    def scored(tokens: Column, word: Column, i: Column) -> Column:
         previous, earlier = F.get(tokens, i - 1), F.get(tokens, i - 2)
         boosted = F.coalesce(previous.isin(list(intensifiers)), F.lit(False))
         negated = F.coalesce(F.when(boosted, earlier).otherwise(previous).isin(list(negators)), F.lit(False))
@@ -52,17 +56,23 @@ def with_base_scores(
         s = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_element_at(subjectivity, word) * boost))
         return F.when(word.isin(list(opinions)), F.struct(p.alias("p"), s.alias("s")))
 
-    def mean(field: str) -> Column:
-        total = F.aggregate("_hits", F.lit(0.0), lambda acc, h: acc + h[field])
-        return F.when(F.size("_hits") > 0, total / F.size("_hits")).otherwise(0.0)
+    def known(tokens: Column) -> Column:
+        return F.filter(F.transform(tokens, lambda w, i: scored(tokens, w, i)), lambda h: h.isNotNull())
 
-    known = F.filter(F.transform(tokens, scored), lambda h: h.isNotNull())
-    return (
-        df.withColumn("_tokens", tx.words(F.coalesce(F.col(text), F.lit("")), 2))
-        .withColumn("_hits", known)
-        .withColumns({"polarity": mean("p"), "subjectivity": mean("s")})
-        .drop("_tokens", "_hits")
-    )
+    def mean(hits: Column, field: str) -> Column:
+        total = F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + h[field])
+        return F.when(F.size(hits) > 0, total / F.size(hits)).otherwise(0.0)
+
+    def means(hits: Column) -> Column:
+        return F.struct(mean(hits, "p").alias("polarity"), mean(hits, "s").alias("subjectivity"))
+
+    return _bind(tx.words(F.coalesce(text, F.lit("")), 2), lambda tokens: _bind(known(tokens), means))
+
+
+def with_base_scores(df: DataFrame, text: str, **lists) -> DataFrame:
+    """Adds the base polarity and subjectivity of a text column."""
+    scored = df.withColumn("_score", base_score(F.col(text), **lists))
+    return scored.withColumns({c: F.col("_score")[c] for c in ("polarity", "subjectivity")}).drop("_score")
 
 
 def base_scores_by_table(
@@ -242,11 +252,11 @@ def score_comments(
     """Adds polarity, subjectivity and sentiment; blank text is neutral.
 
     With ``movie`` the frequent terms of each movie count as references to its content. They can only
-    matter for a negative base score without other marks, so only those comments are searched.
+    matter for a negative base score without other marks, so only those comments are kept and searched.
     """
     c = F.col(text)
     marks = domain_flags(F.col("_lower"), **(flags or {}))
-    scored = with_base_scores(comments, text, opinions)
+    scored = with_base_scores(comments, text, opinions=opinions)
     scored = scored.withColumn("_lower", F.lower(F.coalesce(c, F.lit("")))).withColumns(
         {f"_{name}": column for name, column in marks.items()}
         | {"_slang": has_slang(F.col("_lower")), "_refers": F.coalesce(refers_to_content(c), F.lit(False))}
@@ -256,7 +266,8 @@ def score_comments(
     if movie is not None:
         terms = frequent_terms(comments, text, movie, min_count, stops)
         open_cases = scored.filter((F.col("polarity") < 0) & ~named["has_negative_indicator"] & ~refers)
-        hits = comments_with_terms(open_cases.select(key, movie, text), terms, key, text, movie)
+        open_cases = cut_lineage(open_cases.select(key, movie, text))
+        hits = comments_with_terms(open_cases, terms, key, text, movie)
         scored = scored.join(hits.withColumn("_term", F.lit(True)), key, "left")
         refers = refers | F.coalesce("_term", F.lit(False))
     neutral = refers & ~named["has_negative_indicator"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from applause.functions import values
+from applause.functions import lexicon, text as tx, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +45,8 @@ VIEWS = {
         FROM events""",
     "c_event": f"SELECT *, {CATEGORY_SQL.format('polarity')} AS sentiment FROM c_event0",
     "m_event": """
-        SELECT c.c_custkey AS tmdb_id, c.c_name AS title, s.revenue,
+        SELECT c.c_custkey AS tmdb_id, c.c_name AS title,
+               CASE c.c_custkey % 10 WHEN 3 THEN NULL WHEN 4 THEN 0 ELSE s.revenue END AS revenue,
                date '2024-01-01' + cast(c.c_custkey % 31 AS INT) AS release_date,
                CASE c.c_custkey % 4 WHEN 0 THEN '$' || format('{:,}', c.c_custkey * 1000 + 7) WHEN 1 THEN 'N/A'
                     WHEN 2 THEN '$12.5' END AS box_office,
@@ -77,6 +78,48 @@ VIEWS = {
         FROM conversations""",
 }
 
+# Stop words the SQL forms can name too.
+STOPS = (
+    "a an and are as at be by can for from had has have he her his i in is it not of on or she so that the their they "
+    "this to was we were will with you de la le les des et en un une que el los der die das und ist zu"
+).split()
+
+SPACE_SQL = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+NOT_SPACE_SQL = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def listed(items) -> str:
+    return ", ".join(quoted(x) for x in items)
+
+
+def squeeze_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{SPACE_SQL}+', ' ', 'g'))"
+
+
+def links_sql(x: str) -> str:
+    return f"regexp_replace({x}, '(http|www){NOT_SPACE_SQL}+', '', 'g')"
+
+
+def expand_sql(x: str) -> str:
+    for pattern, replacement in lexicon.CONTRACTIONS:
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+    return x
+
+
+def prose_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}.,!?]', '', 'g')"
+
+
+def sentiment_clean_sql(x: str) -> str:
+    return squeeze_sql(prose_sql(links_sql(expand_sql(f"lower(coalesce({x}, ''))"))))
+
+
+VIEWS["c_clean"] = f"SELECT *, {sentiment_clean_sql('text')} AS clean_text FROM c_text"
+
 
 def with_views(sql: str) -> str:
     """Put the views a query names in front of it."""
@@ -129,7 +172,9 @@ def m_event(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.lit("2024-01-01").cast("date"), (key % 31).cast("int")).alias("release_date"),
         box.alias("box_office"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"),
     )
-    return movies.join(sums, "tmdb_id", "left")
+    unit = F.col("tmdb_id") % 10
+    revenue = F.when(unit == 4, 0).when(unit != 3, F.col("revenue")).cast("bigint")
+    return movies.join(sums, "tmdb_id", "left").withColumn("revenue", revenue)
 
 
 def c_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +201,10 @@ def c_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def c_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c_text(spark, sf_dir).withColumn("clean_text", tx.clean_for_sentiment(F.col("text")))
+
+
 def m_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, li = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
