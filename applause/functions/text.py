@@ -45,11 +45,22 @@ def keep_words(c: Column) -> Column:
 
 
 def expand_contractions(c: Column, rules: Sequence[tuple[str, str]] = CONTRACTIONS) -> Column:
-    """Apply the contraction rules; a text without apostrophe or slang form skips them all."""
-    expanded = c
-    for pattern, replacement in rules:
-        expanded = F.regexp_replace(expanded, pattern, replacement)
-    return F.when(c.rlike("['’]|gonna|gotta|wanna"), expanded).otherwise(c)
+    """Apply the contraction rules, which never reach across a blank.
+
+    Only words with an apostrophe or a slang form go through the rules; other words, and texts without
+    any such word, are left alone.
+    """
+
+    def touched(x: Column) -> Column:
+        return contains_any(x, ["'", "’", "gonna", "gotta", "wanna"])
+
+    def expanded(word: Column) -> Column:
+        for pattern, replacement in rules:
+            word = F.regexp_replace(word, pattern, replacement)
+        return word
+
+    by_word = F.transform(F.split(c, " "), lambda w: F.when(touched(w), expanded(w)).otherwise(w))
+    return F.when(touched(c), F.array_join(by_word, " ")).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:
@@ -99,9 +110,18 @@ def whole_word(patterns: Sequence[str]) -> str:
     return f"(^|[^{WORD}])({'|'.join(patterns)})($|[^{WORD}])"
 
 
-def has_whole_word(c: Column, terms: Sequence[str]) -> Column:
-    """True if any literal term occurs as a whole word or phrase."""
-    return c.rlike(whole_word([re.escape(t).replace("\\ ", " ") for t in terms]))
+def has_whole_word(c: Column, tokens: Column, terms: Sequence[str]) -> Column:
+    """True if any literal term occurs as a whole word or phrase of the text ``c`` with words ``tokens``.
+
+    Single words are looked up among the words; phrases are searched in texts that hold their letters.
+    """
+    single = [t for t in terms if re.fullmatch(r"\w+", t)]
+    phrases = [t for t in terms if t not in single]
+    found = F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in single])) if single else F.lit(False)
+    if not phrases:
+        return found
+    pattern = whole_word([re.escape(t).replace("\\ ", " ") for t in phrases])
+    return found | (contains_any(c, phrases) & c.rlike(pattern))
 
 
 def mark_sentence_ends(c: Column) -> Column:
