@@ -27,6 +27,15 @@ def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = Tru
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share a scan with fewer splits than cores among all cores; larger scans are left as they are.
+
+    Text work is heavy per byte, so a small file in one row group would keep a single core busy.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_comments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return read_csv(spark, path, schemas.COMMENTS) if fmt == "csv" else spark.read.format(fmt).load(path)
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from applause.functions import lexicon, text as tx, values
+from applause.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,7 +179,7 @@ def m_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = readers.spread(table(spark, sf_dir, "documents"))
     kind = F.col("doc_id") % 6
     tail = (
         F.when(kind == 0, " This looks amazing, can't wait! 🔥🔥")
@@ -214,7 +215,7 @@ def m_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c_talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations")
+    t = readers.spread(table(spark, sf_dir, "conversations"))
     sentiment = F.when(F.col("role") == "user", "positive").when(F.col("role") == "system", "negative")
     return t.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("comment_id"), "role", "text", "conv_id",

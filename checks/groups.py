@@ -184,7 +184,7 @@ def t20(spark, sf):
 
 @check(
     "a20_strong_themes",
-    """WITH s AS (SELECT event_type, CASE WHEN value / 50 - 1 > -0.4 THEN 'positive' ELSE 'negative' END AS sentiment FROM events),
+    """WITH s AS (SELECT event_type, CASE WHEN value / 50 - 1 > -0.7 THEN 'positive' ELSE 'negative' END AS sentiment FROM events),
        x AS (SELECT event_type, sentiment, count(*) / sum(count(*)) OVER (PARTITION BY event_type) AS share FROM s GROUP BY 1, 2)
        SELECT event_type AS cluster, sentiment, 'Cluster ' || event_type AS theme, round(share, 9) AS share FROM x WHERE share > 0.6""",
 )
@@ -192,7 +192,7 @@ def a20(spark, sf):
     from .base import table
 
     e = table(spark, sf, "events")
-    sentiment = F.when(F.col("value") / 50 - 1 > -0.4, "positive").otherwise("negative")
+    sentiment = F.when(F.col("value") / 50 - 1 > -0.7, "positive").otherwise("negative")
     cross = movie_stats.sentiment_by_cluster(e.select(F.col("event_type").alias("cluster"), sentiment.alias("sentiment")))
     names = spark.createDataFrame([], "cluster string, description string")
     return themes.strong_themes(cross, names).withColumn("share", r("share"))
