@@ -265,8 +265,9 @@ def score_comments(
     refers = F.col("_refers")
     if movie is not None:
         terms = frequent_terms(comments, text, movie, min_count, stops)
-        open_cases = scored.filter((F.col("polarity") < 0) & ~named["has_negative_indicator"] & ~refers)
-        open_cases = cut_lineage(open_cases.select(key, movie, text))
+        open_case = (F.col("polarity") < 0) & ~named["has_negative_indicator"] & ~refers
+        marked = scored.select(key, movie, F.when(open_case, c).alias(text))  # a filter would repeat the scoring
+        open_cases = cut_lineage(marked).filter(F.col(text).isNotNull())
         hits = comments_with_terms(open_cases, terms, key, text, movie)
         scored = scored.join(hits.withColumn("_term", F.lit(True)), key, "left")
         refers = refers | F.coalesce("_term", F.lit(False))
