@@ -202,7 +202,8 @@ def comments_with_terms(
 ) -> DataFrame:
     """Keys of comments that hold any frequent term of their movie as a substring.
 
-    A one-word term lies inside one word of the text, so each distinct word of a movie is tested once, by
+    Most comments use a frequent term as a word of their own; only the others are searched further. A
+    one-word term lies inside one word of the text, so each distinct word of a movie is tested once, by
     equality of its parts with the terms. A phrase is found through its longest inner word, which the
     text must hold whole, and then verified on the text.
     """
@@ -210,7 +211,11 @@ def comments_with_terms(
     single = terms.filter(~F.col("term").rlike(f"[{tx.SPACE}]")).select(by, "term")
     phrases = terms.filter(F.col("term").rlike(f"[{tx.SPACE}]")).select(by, "term")
 
-    own = lowered.select(key, by, F.explode(F.array_distinct(tx.words(F.col("_t"), 3))).alias("word"))
+    used = _distinct_words(lowered, key, by).join(single.withColumnRenamed("term", "word"), [by, "word"], "left_semi")
+    direct = used.select(key).distinct()
+    rest = cut_lineage(lowered.join(direct, key, "left_anti"))
+
+    own = _distinct_words(rest, key, by)
     vocabulary = own.select(by, "word").distinct()
     short = vocabulary.filter(F.length("word") <= LONG_WORD)
     by_parts = short.select(by, "word", F.explode(_substrings(F.col("word"))).alias("term"))
@@ -233,10 +238,15 @@ def comments_with_terms(
     inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = phrases.select(by, "term", longest.alias("_piece"))
-    spread = lowered.select(key, by, F.explode(F.array_distinct(F.split("_t", f"[{tx.SPACE}]"))).alias("_piece"))
+    spread = rest.select(key, by, F.explode(F.array_distinct(F.split("_t", f"[{tx.SPACE}]"))).alias("_piece"))
     pairs = spread.join(keyed, [by, "_piece"]).select(key, "term").distinct()
-    by_phrase = pairs.join(lowered.select(key, "_t"), key).filter(F.col("_t").contains(F.col("term"))).select(key)
-    return by_word.unionByName(by_phrase).distinct()
+    by_phrase = pairs.join(rest.select(key, "_t"), key).filter(F.col("_t").contains(F.col("term"))).select(key)
+    return direct.unionByName(by_word).unionByName(by_phrase).distinct()
+
+
+def _distinct_words(lowered: DataFrame, key: str, by: str) -> DataFrame:
+    """The distinct words of three or more letters of each text."""
+    return lowered.select(key, by, F.explode(F.array_distinct(tx.words(F.col("_t"), 3))).alias("word"))
 
 
 def score_comments(
@@ -264,7 +274,7 @@ def score_comments(
     named = {name: F.col(f"_{name}") for name in marks}
     refers = F.col("_refers")
     if movie is not None:
-        terms = frequent_terms(comments, text, movie, min_count, stops)
+        terms = cut_lineage(frequent_terms(comments, text, movie, min_count, stops))
         open_case = (F.col("polarity") < 0) & ~named["has_negative_indicator"] & ~refers
         marked = scored.select(key, movie, F.when(open_case, c).alias(text))  # a filter would repeat the scoring
         open_cases = cut_lineage(marked).filter(F.col(text).isNotNull())

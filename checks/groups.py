@@ -285,7 +285,7 @@ def summary_sql(source: str, group: str, n: int = 3) -> str:
              FROM {source} LEFT JOIN summ ON summ.g = {group} GROUP BY 1)"""
 
 
-OPTIONS = {"stops": STOPS, "max_steps": STEPS, "tolerance": None, "cut_every": 3}
+OPTIONS = {"stops": STOPS, "max_steps": STEPS, "tolerance": None}
 
 
 @check("t13_sentences", f"WITH {sentences_sql('c_text', 'movie')} SELECT g AS movie, comment_id, pos::INT AS pos, sentence FROM sents")
