@@ -11,7 +11,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", clear: bool = Tr
     """Write a table; ``clear=False`` keeps what earlier runs left and appends."""
     writer = df.write.mode("overwrite" if clear else "append")
     if fmt == "csv":
-        writer = writer.option("header", True).option("quote", '"').option("escape", '"')
+        options = {"header": True, "quote": '"', "escape": '"'}
+        keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer = writer.options(**options, **keep)
     writer.format(fmt).save(path)
 
 
