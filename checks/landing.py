@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from applause.functions import values
-from applause.operators import movie_stats, tables
+from applause.operators import collection, movie_stats, tables
 from applause.schemas import (
     MOVIE_DETAIL, MOVIE_PAGE, MOVIE_SEARCH, SUPPLEMENT, THREAD_PAGE, VIDEO_DETAILS, VIDEO_SEARCH,
 )
@@ -270,4 +269,56 @@ def s08_trailers(spark, sf):
     return readers.likely_trailers(hits).select("page_id", "title")
 
 
-__all__ = ["tables", "values"]
+@check(
+    "j07_collect_dataset",
+    """WITH feed AS (SELECT c_nationkey + 1 AS page, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos
+                     FROM customer),
+            known AS (SELECT f.page, f.pos, m.tmdb_id, m.title, m.release_date,
+                             CASE WHEN regexp_matches(replace(replace(box_office, '$', ''), ',', ''), '^[0-9]+$')
+                                  THEN try_cast(replace(replace(box_office, '$', ''), ',', '') AS BIGINT) END AS box, m.revenue
+                      FROM feed f JOIN m_event m ON m.tmdb_id = f.c_custkey WHERE f.page <= 20 AND f.pos <= 20),
+            gated AS (SELECT * FROM known WHERE (revenue > 0 OR box IS NOT NULL) AND tmdb_id % 3 < 2),
+            early AS (SELECT movie_id, row_number() OVER (PARTITION BY movie_id ORDER BY comment_id) AS rn
+                      FROM c_event JOIN gated ON tmdb_id = movie_id WHERE published_at <= release_date),
+            n AS (SELECT movie_id, count(*) AS comment_count FROM early WHERE rn <= 30 GROUP BY 1 HAVING count(*) >= 10)
+       SELECT tmdb_id, title, comment_count, CASE WHEN coalesce(revenue, 0) = 0 THEN coalesce(box, revenue) ELSE revenue END AS revenue,
+              'v' || tmdb_id AS trailer_id
+       FROM gated JOIN n ON movie_id = tmdb_id ORDER BY page, pos LIMIT 40""",
+)
+def collect(spark, sf):
+    c, m, e = table(spark, sf, "customer"), m_event(spark, sf), table(spark, sf, "events")
+    nothing = {k: F.lit(None).cast("string").alias(k) for k in ("poster_path", "overview")}
+    listed = tables.top_k_per_group(c, ["c_nationkey"], [F.asc("c_custkey")], 20).join(
+        m.select(F.col("tmdb_id").alias("c_custkey"), F.col("release_date").cast("string").alias("release_date")), "c_custkey"
+    )
+    hit = F.struct("rank", F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), "release_date", *nothing.values())
+    popular = listed.groupBy((F.col("c_nationkey") + 1).alias("page")).agg(F.array_sort(F.collect_list(hit)).alias("results"))
+    names = F.array(F.struct(F.col("segment").alias("name")))
+    other = {"runtime": "int", "vote_average": "double", "vote_count": "int", "budget": "bigint", "popularity": "double"}
+    details = m.select(
+        F.col("tmdb_id").alias("id"), names.alias("genres"), names.alias("production_companies"), "revenue",
+        *[F.lit(None).cast(t).alias(k) for k, t in other.items()],
+    )
+    empty = ["imdbRating", "imdbVotes", "imdbID", "Metascore", "Rated", "Awards", "Director", "Actors"]
+    supplement = m.select(
+        F.col("title").alias("Title"), F.lit("True").alias("Response"), F.col("box_office").alias("BoxOffice"),
+        *[F.lit(None).cast("string").alias(k) for k in empty],
+    )
+    kind = F.when(F.col("tmdb_id") % 3 == 0, "Trailer").when(F.col("tmdb_id") % 3 == 1, "Teaser").otherwise("Clip")
+    video = F.struct(kind.alias("type"), F.lit("YouTube").alias("site"), F.concat(F.lit("v"), F.col("tmdb_id").cast("string")).alias("key"))
+    videos = m.select(F.col("tmdb_id").alias("id"), F.array(video).alias("results"))
+    inner = F.struct(
+        F.col("event_type").alias("textDisplay"), F.lit("a").alias("authorDisplayName"), F.lit(1).cast("bigint").alias("likeCount"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("publishedAt"),
+    )
+    wrapped = F.struct(F.struct(inner.alias("snippet")).alias("topLevelComment"))
+    item = F.struct(F.col("event_id").cast("string").alias("id"), wrapped.alias("snippet"))
+    threads = e.select(
+        F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video_id"), F.col("event_id").cast("int").alias("page"),
+        F.array(item).alias("items"),
+    )
+    _, movies = collection.collect_dataset(
+        landed(spark, popular, MOVIE_PAGE), details, supplement, videos, landed(spark, threads, THREAD_PAGE),
+        min_movies=40, min_comments=10, comment_cap=30,
+    )
+    return movies.select("tmdb_id", "title", "comment_count", "revenue", "trailer_id")
