@@ -262,7 +262,8 @@ def score_comments(
     """Adds polarity, subjectivity and sentiment; blank text is neutral.
 
     With ``movie`` the frequent terms of each movie count as references to its content. They can only
-    matter for a negative base score without other marks, so only those comments are kept and searched.
+    matter for a negative base score without other marks, so only those comments are searched. The scored
+    comments are then written once, since the term counts, the search and the result all read them.
     """
     c = F.col(text)
     marks = domain_flags(F.col("_lower"), **(flags or {}))
@@ -271,25 +272,26 @@ def score_comments(
         {f"_{name}": column for name, column in marks.items()}
         | {"_slang": has_slang(F.col("_lower")), "_refers": F.coalesce(refers_to_content(c), F.lit(False))}
     )
+    scored = scored.drop("_lower")
     named = {name: F.col(f"_{name}") for name in marks}
     refers = F.col("_refers")
     if movie is not None:
-        terms = cut_lineage(frequent_terms(comments, text, movie, min_count, stops))
-        open_case = (F.col("polarity") < 0) & ~named["has_negative_indicator"] & ~refers
-        marked = scored.select(key, movie, F.when(open_case, c).alias(text))  # a filter would repeat the scoring
-        open_cases = cut_lineage(marked).filter(F.col(text).isNotNull())
+        scored = cut_lineage(scored)  # read four times below, and far cheaper to read than to score
+        terms = cut_lineage(frequent_terms(scored, text, movie, min_count, stops))
+        open_cases = scored.filter((F.col("polarity") < 0) & ~named["has_negative_indicator"] & ~refers)
         hits = comments_with_terms(open_cases, terms, key, text, movie)
         scored = scored.join(hits.withColumn("_term", F.lit(True)), key, "left")
         refers = refers | F.coalesce("_term", F.lit(False))
     neutral = refers & ~named["has_negative_indicator"]
     adjusted = adjusted_polarity(F.col("polarity"), c, named, F.col("_slang"), neutral)
-    polarity = F.when(tx.is_blank(c), 0.0).otherwise(adjusted)
-    return scored.select(
-        *[F.col(x) for x in comments.columns if x not in ("polarity", "subjectivity", "sentiment")],
-        polarity.alias("polarity"),
-        F.when(tx.is_blank(c), 0.0).otherwise(F.col("subjectivity")).alias("subjectivity"),
-        values.category(polarity).alias("sentiment"),
+    done = scored.withColumns(
+        {
+            "polarity": F.when(tx.is_blank(c), 0.0).otherwise(adjusted),
+            "subjectivity": F.when(tx.is_blank(c), 0.0).otherwise(F.col("subjectivity")),
+        }
     )
+    kept = [x for x in comments.columns if x not in ("polarity", "subjectivity", "sentiment")]
+    return done.select(*kept, "polarity", "subjectivity", values.category(F.col("polarity")).alias("sentiment"))
 
 
 def ensure_scored(comments: DataFrame, key: str = "comment_id", movie: str | None = "movie") -> DataFrame:
