@@ -9,6 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values
+from ..session import cut_lineage
 from . import movie_stats, tables
 
 METRICS = {
@@ -169,7 +170,10 @@ def outlier_summary(
 
 
 def composite_scores(comments: DataFrame, movies: DataFrame, by: str = "movie") -> DataFrame:
-    """Positive part, relative comment count and mean polarity, weighted 0.5 / 0.3 / 0.2."""
+    """Positive part, relative comment count and mean polarity, weighted 0.5 / 0.3 / 0.2.
+
+    The rows per movie are written once, so the maximum does not read the comments again.
+    """
     n = F.count("*")
     s = F.col("sentiment")
     has = set(comments.columns)
@@ -181,7 +185,7 @@ def composite_scores(comments: DataFrame, movies: DataFrame, by: str = "movie")
     per_movie = comments.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("title")).agg(
         *[c.alias(name) for name, c in aggregates.items()]
     )
-    joined = movies.select("title", "revenue").join(per_movie, "title", "left").na.fill(0)
+    joined = cut_lineage(movies.select("title", "revenue").join(per_movie, "title", "left").na.fill(0))
     scaled = tables.by_maximum(joined, "comment_count", "normalized_count")
     score = 0.5 * F.col("positive_ratio") + 0.3 * F.col("normalized_count") + 0.2 * F.col("avg_polarity")
     return scaled.withColumn("composite_score", score)
@@ -194,10 +198,11 @@ def composite_correlations(scores: DataFrame) -> DataFrame:
 def prediction_scores(comments: DataFrame, movies: DataFrame, by: str = "movie") -> DataFrame:
     """Engagement of paid movies with the weighted prediction score.
 
-    Without any likes every score is 0; where the largest ratio is 0 its term is 0.
+    Without any likes every score is 0; where the largest ratio is 0 its term is 0. The rows per movie are
+    written once, so neither the maxima nor later steps read the comments again.
     """
     paid = with_revenue(movies).select("title", "revenue")
-    metrics = paid.join(movie_stats.engagement(comments, by), "title")
+    metrics = cut_lineage(paid.join(movie_stats.engagement(comments, by), "title"))
     top = metrics.agg(
         F.struct(F.max("comment_like_ratio").alias("ratio"), F.max("like_count").alias("likes"))
     ).scalar()
