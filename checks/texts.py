@@ -348,7 +348,7 @@ def a23(spark, sf):
           SELECT 1 FROM picked f WHERE f.movie = c.movie AND contains(lower(c.text), f.term))""",
 )
 def t03_terms(spark, sf):
-    comments = c_text(spark, sf)
+    comments = c_text(spark, sf)  # rarer, longer terms, as some short word is in nearly every text
     terms = sentiment.frequent_terms(comments).filter((F.col("n") <= 9) & (F.length("term") >= 10))
     return sentiment.comments_with_terms(comments, terms, "comment_id")
 
@@ -427,9 +427,9 @@ def p23(spark, sf):
     return sentiment.ensure_scored(once).select("comment_id", "clean_text", "sentiment")
 
 
-@check("j09_column_in_place", f"SELECT comment_id, movie, {sentiment_clean_sql('text')} AS clean_text FROM c_text WHERE cluster = 2")
+@check("j09_column_in_place", f"SELECT comment_id, movie, {sentiment_clean_sql('text')} AS clean_text FROM c_text WHERE lang <> 'en'")
 def j09(spark, sf):
-    chosen = c_text(spark, sf).filter("cluster = 2")
+    chosen = c_text(spark, sf).filter("lang <> 'en'")
     return chosen.withColumn("clean_text", tx.clean_for_sentiment(F.col("text"))).select("comment_id", "movie", "clean_text")
 
 
