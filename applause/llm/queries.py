@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from applause.session import scratch_path
 
-from . import exact_dedup, shards, url_filter
+from . import bpe, decontaminate, exact_dedup, language_id, lm_score, shards, simhash, substrings, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +101,31 @@ def op1(spark, sf_dir):
     return url_filter.evaluate(captures, blocked, entries(firsts, 7), path_parts=2)
 
 
+@query("op2_simhash")
+def op2(spark, sf_dir):
+    """Fingerprint and component of all documents: three-word shingles, at most three bits."""
+    return simhash.cluster(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op3_byte_bpe")
+def op3(spark, sf_dir):
+    """All documents encoded and decoded again; digests of the ids and of the bytes."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    spelt = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(spelt.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op4_lm_score")
+def op4(spark, sf_dir):
+    """Pseudo-likelihood of all documents under a network trained on them."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 @query("op5_sharding")
 def op5(spark, sf_dir):
     """All documents on 16 shards, and where a 17th would take rows."""
@@ -110,6 +136,38 @@ def op5(spark, sf_dir):
     return shards.assign(docs, shards.load_map(spark, path, 1), shards.load_map(spark, path, 2))
 
 
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    """Language of all documents; a third of the documents is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    texts = language_id.training_rows(docs.filter(~language_id.held_out()))
+    rows = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.predict(rows, texts).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op7_decontamination")
+def op7(spark, sf_dir):
+    """Every benchmark item found in any document."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    """All documents without the 50-byte strings of earlier ones."""
+    rows = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"])
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op9_token_counts")
+def op9(spark, sf_dir):
+    """Tokens of all documents under the lower-casing word vocabulary."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op10_exact_dedup", r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
