@@ -64,10 +64,11 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", support: fl
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Edge cases as in ``decide``."""
-    kept = decide(docs, key, text, support).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    kept = kept.distinct().withColumn("_kept_hash", F.xxhash64("_id"))
-    mine = docs.withColumn("_own", F.sha2(normalised(F.col(text)), 256)).withColumn("_hash", F.xxhash64(F.col(key)))
-    same = (mine["_hash"] == kept["_kept_hash"]) & (mine["_own"] == kept["_digest"]) & mine[key].eqNullSafe(kept["_id"])
-    found = mine.join(kept, same, "left_semi")
-    first = Window.partitionBy("_hash", "_own").orderBy(F.lit(0))  # lies as the join left it
-    return found.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(docs.columns)
+    kept = decide(docs, key, text, support).filter("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    kept = kept.distinct().withColumn("id_hash", F.xxhash64("doc_id")).alias("kept")
+    own = F.sha2(normalised(F.col(text)), 256).alias("digest")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own, F.xxhash64(F.col(key)).alias("id_hash")).alias("rows")
+    same = F.expr(f"rows.id_hash = kept.id_hash and rows.digest = kept.digest and rows.row.`{key}` <=> kept.doc_id")
+    found = rows.join(kept, same, "left_semi")
+    first = Window.partitionBy("id_hash", "digest").orderBy(F.lit(0))  # lies as the join left it
+    return found.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 ORDER = 3
 PER_LANGUAGE = 400
@@ -25,6 +26,7 @@ LEAST = 2  # a context below the first order is kept if it was seen so often in
 PIECE = 1 << 20  # bytes scored at a time
 UNKNOWN = "und"
 PAD = b"\n"
+LETTER = regex.compile(r"\p{L}")
 
 
 class Model:
@@ -160,36 +162,54 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str =
     return {lang: sorted(found) for lang, found in texts.items()}
 
 
+def guesses(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    usable = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+    preds, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if usable:
+        bits = model.bits([texts[i].encode("utf-8", "surrogatepass") for i in usable])
+        best = bits.argmin(1)
+        share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
+        for i, b, s in zip(usable, best, share):
+            preds[i], scores[i] = model.languages[b], float(s)
+    return preds, scores
+
+
 def predict(docs: DataFrame, texts: dict[str, list[bytes]], order: int = ORDER, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; the prediction reads the text alone.
+    """``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced); only the text is looked at.
 
     ``score`` is the language's share of the probability that all languages give the text. A text that is null, empty
     or without a letter, or any text if nothing was learned, gets ``und`` and 0. Ties go to the first language by name.
     """
-    schema = docs.drop("lang_pred", "score").schema
-    names = schema.names
+    docs = docs.drop("lang_pred", "score")
+    names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(texts)  # bounded by the training sample
-    letter = regex.compile(r"\p{L}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
-            if model is None and shared.value:
-                model = Model(shared.value, order)
-            given = batch.column(names.index(text)).to_pylist()
-            usable = [i for i, t in enumerate(given) if model and t and letter.search(t)]
-            preds, scores = [UNKNOWN] * len(given), [0.0] * len(given)
-            if usable:
-                bits = model.bits([given[i].encode("utf-8", "surrogatepass") for i in usable])
-                best = bits.argmin(1)
-                share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-                for i, b, s in zip(usable, best, share):
-                    preds[i], scores[i] = model.languages[b], float(s)
+            model = model or (Model(shared.value, order) if shared.value else None)
+            preds, scores = guesses(model, batch.column(names.index(text)).to_pylist())
             columns = [*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(work, f"{out}, lang_pred string, score double")
+    out = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
+    return docs.mapInArrow(work, out)
+
+
+def recognised(docs: DataFrame, texts: dict[str, list[bytes]], least: float = 0.5, order: int = ORDER, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whatever their columns, whose text has a learned language with a score of at least ``least``."""
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(texts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            model = model or (Model(shared.value, order) if shared.value else None)
+            preds, scores = guesses(model, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(preds, scores)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def held_out(key: str = "doc_id") -> F.Column:

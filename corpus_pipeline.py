@@ -16,8 +16,7 @@ LEAST_SCORE = 0.5  # below it a text is more likely not in the predicted languag
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter, and undecided ones, go."""
-    found = language_id.predict(docs, language_id.training_rows(docs))
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return language_id.recognised(docs, language_id.training_rows(docs), LEAST_SCORE)
 
 
 def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
