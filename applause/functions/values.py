@@ -58,6 +58,13 @@ def iso_time(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
+def day_start(day: Column, kind: str = "timestamp") -> Column:
+    """The midnight in UTC that starts a day, as a column of the times' own type; independent of the session's zone."""
+    if kind == "timestamp_ntz":
+        return day.cast(kind)
+    return F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400)
+
+
 def until(published_at: Column, cutoff: Column) -> Column:
     """True up to the cut-off; an unknown time or cut-off keeps the row."""
     return F.coalesce(published_at <= cutoff, F.lit(True))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values
 from ..schemas import require_columns
+from ..session import cut_lineage
 from . import tables
 
 COUNTS = ["comment_count", "positive_count", "negative_count", "neutral_count"]
@@ -70,7 +73,7 @@ def score_columns(comments: DataFrame) -> tuple[Column, Column, Column] | None:
     nothing can be counted.
     """
     kinds = dict(comments.dtypes)
-    numeric = kinds.get("sentiment") in ("double", "float", "int", "bigint")
+    numeric = re.match("double|float|decimal|(big|small|tiny)?int$", kinds.get("sentiment", "")) is not None
     if "sentiment_category" in kinds:
         c = F.col("sentiment_category")
         positive, negative = c == values.POSITIVE, c == values.NEGATIVE
@@ -86,14 +89,20 @@ def score_columns(comments: DataFrame) -> tuple[Column, Column, Column] | None:
     return positive, negative, mean
 
 
-def numeric_sentiment_stats(comments: DataFrame, movies: DataFrame, by: str = "movie", key: str = "title") -> DataFrame:
-    """As :func:`movie_sentiment_stats` on scores; movies come back unchanged where nothing can be counted."""
+def _numeric_stats(comments: DataFrame, by: str, key: str) -> DataFrame | None:
     if by not in comments.columns or not {"sentiment", "polarity"} & set(comments.columns):
-        return movies
+        return None
     picked = score_columns(comments)
     if picked is None:
+        return None
+    return _counts_and_shares(comments, by, *picked).withColumnsRenamed({by: key, "_mean": "avg_sentiment"})
+
+
+def numeric_sentiment_stats(comments: DataFrame, movies: DataFrame, by: str = "movie", key: str = "title") -> DataFrame:
+    """As :func:`movie_sentiment_stats` on scores; movies come back unchanged where nothing can be counted."""
+    stats = _numeric_stats(comments, by, key)
+    if stats is None:
         return movies
-    stats = _counts_and_shares(comments, by, *picked).withColumnsRenamed({by: key, "_mean": "avg_sentiment"})
     joined = tables.replace_columns(movies, stats, key)
     return tables.fill_statistics(joined, COUNTS, [*SHARES, "avg_sentiment"])
 
@@ -264,11 +273,17 @@ def integrate(comments: DataFrame, movies: DataFrame, min_comments: int = 50) ->
     """
     require_columns(comments, ["movie"], "comments")
     require_columns(movies, ["title", "revenue"], "movies")
-    valid = integration_gate(comments, movies, min_comments)
+    stats = _numeric_stats(comments, "movie", "title")
+    counted = tables.comments_per_movie(comments) if stats is None else stats
+    # one row per movie: the gate and the statistics are both taken from it
+    joined = cut_lineage(tables.replace_columns(movies, counted, "title"))
+    enough = F.coalesce(F.col("comment_count") >= min_comments, F.lit(min_comments <= 0))
+    valid = joined.filter(enough & (F.col("revenue") > 0))
     if valid.isEmpty():
         return movies, comments
-    kept = tables.known_movies_only(comments, valid)
-    return numeric_sentiment_stats(kept, valid), kept
+    shares = [] if stats is None else [*SHARES, "avg_sentiment"]
+    valid = tables.fill_statistics(valid, ["comment_count"] if stats is None else COUNTS, shares)
+    return valid, tables.known_movies_only(comments, valid)
 
 
 def integration_summary(comments: DataFrame, movies: DataFrame, min_comments: int = 50) -> DataFrame:

@@ -76,16 +76,21 @@ def regression_p_value(movies: DataFrame, x: str = "avg_polarity", y: str = "rev
 
 
 def sentiment_revenue_correlation(movies: DataFrame) -> DataFrame:
-    """One row: correlations, regression line and, below three movies, an error text."""
+    """One row: correlations, regression line with the slope's p value and, below three movies, an error text.
+
+    The p value comes from the fitted line's summary, which is one row.
+    """
+    movies = cut_lineage(movies)
     metrics = ["avg_polarity", "positive_pct", "negative_pct"]
     line = regression_line(movies)
     rho = with_revenue(movies).agg(F.struct(*[correlation(m).alias(m) for m in metrics])).scalar()
     enough = F.col("n") >= 3
+    p = regression_p_value(movies)
     error = F.when(~enough, F.lit("Not enough movies with revenue data for correlation analysis"))
     return line.select(
         "n",
         *[F.when(enough, rho[m]).alias(f"corr_{m}") for m in metrics],
-        "slope", "intercept", "r", "r_squared",
+        "slope", "intercept", "r", "r_squared", F.lit(p[0] if p else None).cast("double").alias("p_value"),
         error.alias("error"),
     )
 
@@ -144,7 +149,7 @@ def without_outliers(
     movies: DataFrame, revenue: str = "revenue", threshold: float = 2.5, min_movies: int = 10
 ) -> DataFrame:
     """Paid movies within ``threshold`` deviations of the mean; all of them if they are few."""
-    scored = _with_z(movies, revenue)
+    scored = _with_z(cut_lineage(movies), revenue)  # the rows per movie are read for the mean, the ladder and the result
     limit = _chosen_threshold(scored, threshold_ladder(threshold), min_movies)
     return scored.filter((F.col("_n") <= min_movies) | (F.col("_z") <= limit)).drop("_z", "_n")
 
@@ -153,7 +158,7 @@ def outlier_summary(
     movies: DataFrame, revenue: str = "revenue", threshold: float = 2.5, min_movies: int = 10
 ) -> DataFrame:
     """One row: paid movies, kept, left out, the part left out and the starting threshold."""
-    scored = _with_z(movies, revenue)
+    scored = _with_z(cut_lineage(movies), revenue)
     limit = _chosen_threshold(scored, threshold_ladder(threshold), min_movies)
     kept = (F.col("_n") <= min_movies) | (F.col("_z") <= limit)
     one = scored.withColumn("_kept", kept).agg(

@@ -262,8 +262,8 @@ def score_comments(
     """Adds polarity, subjectivity and sentiment; blank text is neutral.
 
     With ``movie`` the frequent terms of each movie count as references to its content. They can only
-    matter for a negative base score without other marks, so only those comments are searched. The scored
-    comments are then written once, since the term counts, the search and the result all read them.
+    matter for a negative base score without other marks, so only those comments are searched and joined; all others
+    pass through. The scored comments are written once, since the term counts, the search and the result read them.
     """
     c = F.col(text)
     marks = domain_flags(F.col("_lower"), **(flags or {}))
@@ -278,9 +278,11 @@ def score_comments(
     if movie is not None:
         scored = cut_lineage(scored)  # read four times below, and far cheaper to read than to score
         terms = cut_lineage(frequent_terms(scored, text, movie, min_count, stops))
-        open_cases = scored.filter((F.col("polarity") < 0) & ~named["has_negative_indicator"] & ~refers)
-        hits = comments_with_terms(open_cases, terms, key, text, movie)
-        scored = scored.join(hits.withColumn("_term", F.lit(True)), key, "left")
+        undecided = F.coalesce((F.col("polarity") < 0) & ~named["has_negative_indicator"] & ~refers, F.lit(False))
+        open_cases = scored.filter(undecided)
+        hits = comments_with_terms(open_cases, terms, key, text, movie).withColumn("_term", F.lit(True))
+        closed = scored.filter(~undecided).withColumn("_term", F.lit(None).cast("boolean"))
+        scored = closed.unionByName(open_cases.join(hits, key, "left"))
         refers = refers | F.coalesce("_term", F.lit(False))
     neutral = refers & ~named["has_negative_indicator"]
     adjusted = adjusted_polarity(F.col("polarity"), c, named, F.col("_slang"), neutral)
@@ -294,12 +296,12 @@ def score_comments(
     return done.select(*kept, "polarity", "subjectivity", values.category(F.col("polarity")).alias("sentiment"))
 
 
-def ensure_scored(comments: DataFrame, key: str = "comment_id", movie: str | None = "movie") -> DataFrame:
-    """Add the clean text and the sentiment only where the columns are absent."""
+def ensure_scored(comments: DataFrame, key: str = "comment_id", movie: str | None = "movie", **scoring) -> DataFrame:
+    """Add the clean text and the sentiment only where the columns are absent; ``scoring`` goes to ``score_comments``."""
     if "clean_text" not in comments.columns:
         comments = comments.withColumn("clean_text", tx.clean_for_sentiment(F.col("text")))
     if "sentiment" not in comments.columns:
-        comments = score_comments(comments, key, "clean_text", movie).drop("subjectivity")
+        comments = score_comments(comments, key, "clean_text", movie, **scoring).drop("subjectivity")
     return comments
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +41,38 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if "APPLAUSE_LOCAL_DIR" not in os.environ:
-        os.environ["APPLAUSE_LOCAL_DIR"] = tempfile.mkdtemp(prefix="applause-")
+        folder = os.environ["APPLAUSE_LOCAL_DIR"] = tempfile.mkdtemp(prefix="applause-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return os.environ["APPLAUSE_LOCAL_DIR"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the folder of the run that is under way."""
+    return f"{(_RUNS[-1] if _RUNS else shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_RUNS: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems reach it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Everything that is written inside goes to one folder, which is gone afterwards.
+
+    Results must be collected or saved inside: they are read from there.
+    """
+    path = scratch_path(spark, "run")
+    _RUNS.append(path)
+    try:
+        yield path
+    finally:
+        _RUNS.remove(path)
+        remove(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -53,4 +82,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    cut = df.sparkSession.read.schema(df.schema).parquet(path)
+    cut._written = path
+    return cut
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for a frame that nothing reads any more."""
+    remove(df.sparkSession, df._written)

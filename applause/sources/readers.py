@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions import values
@@ -27,15 +28,6 @@ def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = Tru
     )
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Share a scan with fewer splits than cores among all cores; larger scans are left as they are.
-
-    Text work is heavy per byte, so a small file in one row group would keep a single core busy.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_comments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return read_csv(spark, path, schemas.COMMENTS) if fmt == "csv" else spark.read.format(fmt).load(path)
 
@@ -166,8 +158,9 @@ def flatten_supplement(records: DataFrame) -> DataFrame:
 
 
 def rows_to_comments(spark: SparkSession, rows: Sequence[dict[str, Any]], schema: str) -> DataFrame:
-    """In-memory comments -> table; a ``published_at`` string becomes a timestamp."""
-    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    """In-memory comments -> table, by field name; absent fields are NULL. A ``published_at`` string becomes a timestamp."""
+    names = StructType.fromDDL(schema).names
+    df = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
     return with_timestamp(df)
 
 

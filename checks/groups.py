@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from applause.functions import lexicon, text as tx
+from applause.functions import lexicon
 from applause.operators import movie_stats, summaries, themes
 from applause.plans import integrated
 
 from .base import STOPS, c_clean, c_talk, c_text, check, listed, m_text, quoted, r
 from .movies import small_descriptions
-from .texts import closed_sql, contains_sql, marked_sql, split_sql
+from .texts import closed_sql, marked_sql, split_sql
 
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -65,28 +65,53 @@ def l10(spark, sf):
     "t07_assign_to_centres",
     f"""WITH {CENTRES}, sq AS (SELECT cluster, sum(weight * weight) AS sq FROM centres GROUP BY 1),
         dots AS (SELECT w.comment_id, c.cluster, sum(w.weight * c.weight) AS dot FROM weights w JOIN centres c USING (term) GROUP BY 1, 2)
-        SELECT comment_id, first(cluster ORDER BY round(sq - 2 * dot, 9), cluster) AS cluster FROM dots JOIN sq USING (cluster) GROUP BY 1""",
+        SELECT t.comment_id, first(sq.cluster ORDER BY round(sq - 2 * coalesce(dot, 0), 9), sq.cluster) AS cluster
+        FROM c_talk t CROSS JOIN sq LEFT JOIN dots d ON d.comment_id = t.comment_id AND d.cluster = sq.cluster GROUP BY 1""",
 )
 def t07_assign(spark, sf):
     talk = c_talk(spark, sf)
     weights = themes.tfidf(talk, "comment_id", "text", stops=STOPS)
     centres = themes.mean_centres(weights, talk.select("comment_id", "cluster"), "comment_id")
-    return themes.nearest_centre(weights, centres, "comment_id")
-
-
-@check("t07_kmeans")
+    return themes.nearest_centre(weights, centres, talk.select("comment_id"), "comment_id")
+
+
+# More steps than any run takes here: further ones change nothing.
+KMEANS_STEPS = 30
+
+
+def kmeans_sql(docs: str, k: int, starts: int = 10, seed: int = 42) -> str:
+    """From ``feat(comment_id, term, weight)`` to ``best(comment_id, cluster)``, steps one after the other."""
+    ctes = [f"""
+    st AS MATERIALIZED (SELECT comment_id, s, row_number() OVER (PARTITION BY s ORDER BY md5(comment_id::VARCHAR || '/' || ({seed} + s)), comment_id) - 1 AS c
+           FROM {docs}, range({starts}) t(s) QUALIFY c < {k}),
+    k0 AS MATERIALIZED (SELECT s, c, term, weight AS w FROM st JOIN feat USING (comment_id))"""]
+    for j in range(KMEANS_STEPS):
+        ctes.append(f"""
+    q{j} AS (SELECT s, c, sum(w * w) AS sq FROM k{j} GROUP BY ALL),
+    e{j} AS (SELECT comment_id, s, c, sum(weight * w) AS dot FROM feat JOIN k{j} USING (term) GROUP BY ALL),
+    g{j} AS (SELECT d.comment_id, st.s, st.c, round(coalesce(sq, 0) - 2 * coalesce(dot, 0), 9) AS gap
+             FROM {docs} d CROSS JOIN st LEFT JOIN q{j} q ON q.s = st.s AND q.c = st.c
+             LEFT JOIN e{j} e ON e.comment_id = d.comment_id AND e.s = st.s AND e.c = st.c),
+    l{j} AS MATERIALIZED (SELECT comment_id, s, first(c ORDER BY gap, c) AS c, min(gap) AS gap FROM g{j} GROUP BY ALL),
+    z{j} AS (SELECT s, c, count(*) AS n FROM l{j} GROUP BY ALL),
+    k{j + 1} AS MATERIALIZED (
+        SELECT s, c, term, sum(weight) / any_value(n) AS w FROM l{j} JOIN z{j} USING (s, c) JOIN feat USING (comment_id) GROUP BY s, c, term
+        UNION ALL SELECT k.s, k.c, term, w FROM k{j} k ANTI JOIN z{j} z ON z.s = k.s AND z.c = k.c)""")
+    last = KMEANS_STEPS - 1
+    ctes.append(f"""
+    win AS (SELECT s FROM l{last} GROUP BY s ORDER BY round(sum(gap), 6), s LIMIT 1),
+    mine AS (SELECT comment_id, c FROM l{last} JOIN win USING (s)),
+    numbers AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, min(comment_id)) - 1 AS cluster FROM mine GROUP BY c),
+    best AS MATERIALIZED (SELECT comment_id, cluster::INT AS cluster FROM mine JOIN numbers USING (c))""")
+    return ",".join(ctes)
+
+
+@check("t07_kmeans", f"WITH {TALK_WEIGHTS}, feat AS MATERIALIZED (SELECT * FROM weights), {kmeans_sql('c_talk', 5)} SELECT comment_id, cluster FROM best")
 def t07(spark, sf):
-    found = themes.cluster_comments(c_talk(spark, sf).select("comment_id", "text"), text="text", k=5, starts=3)
+    found = themes.cluster_comments(c_talk(spark, sf).select("comment_id", "text"), text="text", k=5, stops=STOPS)
     return found.comments.select("comment_id", "cluster")
 
 
-@check("t10_cluster_comments")
-def t10(spark, sf):
-    talk = c_clean(spark, sf).select("comment_id", "clean_text", "polarity", "sentiment")
-    found = themes.cluster_comments(talk, k=5, starts=2)
-    return found.descriptions.join(found.sentiment, "cluster", "left")
-
-
 # --- themes -----------------------------------------------------------------------------------------
 
 
@@ -98,7 +123,13 @@ def theme_sql(x: str, terms) -> str:
 
 
 INDICATORS = ", ".join(f"{theme_sql('low', terms)} AS {t}" for t, terms in lexicon.THEMES.items())
-INDICATOR_SQL = f"ind AS (SELECT comment_id, cluster, {INDICATORS} FROM (SELECT *, lower(text) AS low FROM c_text))"
+
+
+def indicator_sql(source: str, text: str = "text") -> str:
+    return f"ind AS (SELECT comment_id, cluster, {INDICATORS} FROM (SELECT *, lower({text}) AS low FROM {source}))"
+
+
+INDICATOR_SQL = indicator_sql("c_text")
 
 
 @check("t08_theme_indicators", f"WITH {INDICATOR_SQL} SELECT * EXCLUDE (cluster) FROM ind")
@@ -118,7 +149,7 @@ def a22(spark, sf):
 THEME_ROWS = ", ".join(
     f"({i}, {quoted(t)}, {quoted(lexicon.THEME_NAMES[t])})" for i, t in enumerate(lexicon.THEMES)
 )
-THEME_SQL = f"""{INDICATOR_SQL},
+THEMED_SQL = f"""
     names(ord, theme, shown) AS (VALUES {THEME_ROWS}),
     prev AS (SELECT cluster, {', '.join(f'avg({t}) AS {t}' for t in lexicon.THEMES)} FROM ind GROUP BY 1),
     long AS (SELECT * FROM prev UNPIVOT (p FOR theme IN ({', '.join(lexicon.THEMES)}))),
@@ -136,6 +167,7 @@ THEME_SQL = f"""{INDICATOR_SQL},
         WHEN list_contains(t, 'visuals') AND list_contains(t, 'emotion') THEN
              CASE WHEN emotion > 0 THEN 'Visual Appreciation' ELSE 'Visual Criticism' END
         ELSE two END AS theme FROM lists JOIN prev USING (cluster))"""
+THEME_SQL = f"{INDICATOR_SQL}, {THEMED_SQL}"
 
 
 @check("t09_cluster_themes", f"WITH {THEME_SQL} SELECT cluster, theme FROM themed UNION ALL SELECT 5, 'Miscellaneous Comments'")
@@ -143,6 +175,36 @@ def t09(spark, sf):
     return themes.cluster_themes(themes.theme_indicators(c_text(spark, sf), "text"), 6)
 
 
+def z_sql(name: str, value: str) -> str:
+    return f"SELECT comment_id, '{name}' AS term, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS weight FROM (SELECT comment_id, {value} AS v FROM docs)"
+
+
+@check(
+    "t10_cluster_comments",
+    f"""WITH docs AS MATERIALIZED (SELECT * FROM c_clean), {tfidf_sql('docs', 'clean_text')},
+        feat AS MATERIALIZED (SELECT * FROM weights UNION ALL {z_sql('#p', 'polarity')}
+          UNION ALL {z_sql('#positive', "(sentiment = 'positive')::INT::DOUBLE")} UNION ALL {z_sql('#neutral', "(sentiment = 'neutral')::INT::DOUBLE")}
+          UNION ALL {z_sql('#negative', "(sentiment = 'negative')::INT::DOUBLE")}),
+        {kmeans_sql('docs', 5)},
+        labelled AS (SELECT docs.* EXCLUDE (cluster), best.cluster FROM docs JOIN best USING (comment_id)),
+        {indicator_sql('labelled', 'clean_text')}, {THEMED_SQL},
+        tops AS (SELECT cluster, string_agg(term, ', ' ORDER BY rn) AS five FROM (
+            SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY round(sum(weight) / any_value(n), 12) DESC, term) AS rn
+            FROM best JOIN weights USING (comment_id) JOIN (SELECT cluster, count(*) AS n FROM best GROUP BY 1) USING (cluster)
+            GROUP BY cluster, term) WHERE rn <= 5 GROUP BY 1),
+        cross_table AS (SELECT cluster, avg((sentiment = 'positive')::INT) AS positive, avg((sentiment = 'negative')::INT) AS negative,
+            avg((sentiment = 'neutral')::INT) AS neutral FROM labelled GROUP BY 1)
+        SELECT cluster, theme || ': ' || coalesce(five, '') AS description, round(positive, 9) AS positive, round(negative, 9) AS negative,
+               round(neutral, 9) AS neutral
+        FROM themed LEFT JOIN tops USING (cluster) LEFT JOIN cross_table USING (cluster)""",
+)
+def t10(spark, sf):
+    talk = c_clean(spark, sf).select("comment_id", "clean_text", "polarity", "sentiment")
+    found = themes.cluster_comments(talk, k=5, stops=STOPS)
+    shares = found.sentiment.select("cluster", *[r(c).alias(c) for c in ("positive", "negative", "neutral")])
+    return found.descriptions.join(shares, "cluster", "left")
+
+
 SMALL = "d(cluster, description) AS (VALUES (0, 'Music: beat'), (1, 'Story & Plot: arc'), (3, 'Cast: star'))"
 NAMED = f"""{SMALL},
     n AS (SELECT c.cluster, count(*) AS count, coalesce(any_value(description), 'Cluster ' || c.cluster) AS description,
@@ -186,7 +248,8 @@ def t20(spark, sf):
     "a20_strong_themes",
     """WITH s AS (SELECT event_type, CASE WHEN value / 50 - 1 > -0.7 THEN 'positive' ELSE 'negative' END AS sentiment FROM events),
        x AS (SELECT event_type, sentiment, count(*) / sum(count(*)) OVER (PARTITION BY event_type) AS share FROM s GROUP BY 1, 2)
-       SELECT event_type AS cluster, sentiment, 'Cluster ' || event_type AS theme, round(share, 9) AS share FROM x WHERE share > 0.6""",
+       SELECT event_type AS cluster, sentiment, CASE event_type WHEN 'click' THEN 'Clicks' ELSE 'Cluster ' || event_type END AS theme,
+              round(share, 9) AS share FROM x WHERE share > 0.6""",
 )
 def a20(spark, sf):
     from .base import table
@@ -194,7 +257,7 @@ def a20(spark, sf):
     e = table(spark, sf, "events")
     sentiment = F.when(F.col("value") / 50 - 1 > -0.7, "positive").otherwise("negative")
     cross = movie_stats.sentiment_by_cluster(e.select(F.col("event_type").alias("cluster"), sentiment.alias("sentiment")))
-    names = spark.createDataFrame([], "cluster string, description string")
+    names = spark.createDataFrame([("click", "Clicks: a, b"), ("nowhere", "No: c")], "cluster string, description string")
     return themes.strong_themes(cross, names).withColumn("share", r("share"))
 
 
@@ -269,7 +332,7 @@ def rank_sql(steps: int) -> str:
     return ",\n".join(ctes)
 
 
-STEPS = 6
+STEPS = 30
 
 
 def summary_sql(source: str, group: str, n: int = 3) -> str:
@@ -390,13 +453,12 @@ def l07(spark, sf):
 )
 def m13(spark, sf):
     comments = c_clean(spark, sf).select("comment_id", "movie", "clean_text", "polarity", "sentiment")
-    out = integrated.analyse(comments, m_text(spark, sf), starts=1)
-    return out.outliers.select(
+    out = integrated.analyse(comments, m_text(spark, sf), k=5, stops=STOPS)
+    found = out.outliers.select(
         F.lit(out.run_key).alias("run_key"), "total_box_office_movies", "normal_range_count",
         out.dashboard.select("total_comments").scalar().alias("total_comments"),
         r(out.normal_correlation.select("r").scalar()).alias("r"),
         r(out.all_correlation.select("r").scalar()).alias("r_all"),
     )
-
-
-__all__ = ["contains_sql", "tx"]
+    out.release()
+    return found

@@ -247,8 +247,19 @@ def s13(spark, sf):
     return readers.flatten_supplement(landed(spark, records, SUPPLEMENT)).select("title", "box_office", "rated")
 
 
-@check("s14_rows_to_table", "SELECT event_id AS comment_id, date_trunc('second', ts) AS published_at FROM events")
+@check("s14_rows_to_table", "SELECT n_nationkey AS comment_id, n_name AS text, TIMESTAMP '2024-01-02 03:04:05' AS published_at FROM nation")
 def s14(spark, sf):
+    """In-memory rows with their fields in any order."""
+    rows = [
+        {"text": r["n_name"], "published_at": "2024-01-02T03:04:05Z", "comment_id": r["n_nationkey"]}
+        for r in table(spark, sf, "nation").toLocalIterator()
+    ]
+    typed = readers.rows_to_comments(spark, rows, "comment_id int, text string, published_at string")
+    return typed.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@check("s14_timestamps", "SELECT event_id AS comment_id, date_trunc('second', ts) AS published_at FROM events")
+def s14_times(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select(F.col("event_id").alias("comment_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"))
     typed = readers.with_timestamp(rows)
@@ -269,23 +280,22 @@ def s08_trailers(spark, sf):
     return readers.likely_trailers(hits).select("page_id", "title")
 
 
-@check(
-    "j07_collect_dataset",
-    """WITH feed AS (SELECT c_nationkey + 1 AS page, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos
+COLLECT_SQL = """
+    feed AS (SELECT c_nationkey + 1 AS page, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos
                      FROM customer),
             known AS (SELECT f.page, f.pos, m.tmdb_id, m.title, m.release_date,
                              CASE WHEN regexp_matches(replace(replace(box_office, '$', ''), ',', ''), '^[0-9]+$')
                                   THEN try_cast(replace(replace(box_office, '$', ''), ',', '') AS BIGINT) END AS box, m.revenue
                       FROM feed f JOIN m_event m ON m.tmdb_id = f.c_custkey WHERE f.page <= 20 AND f.pos <= 20),
             gated AS (SELECT * FROM known WHERE (revenue > 0 OR box IS NOT NULL) AND tmdb_id % 3 < 2),
-            early AS (SELECT movie_id, row_number() OVER (PARTITION BY movie_id ORDER BY comment_id) AS rn
+            early AS (SELECT comment_id, movie_id, row_number() OVER (PARTITION BY movie_id ORDER BY comment_id) AS rn
                       FROM c_event JOIN gated ON tmdb_id = movie_id WHERE published_at <= release_date),
-            n AS (SELECT movie_id, count(*) AS comment_count FROM early WHERE rn <= 30 GROUP BY 1 HAVING count(*) >= 10)
-       SELECT tmdb_id, title, comment_count, CASE WHEN coalesce(revenue, 0) = 0 THEN coalesce(box, revenue) ELSE revenue END AS revenue,
-              'v' || tmdb_id AS trailer_id
-       FROM gated JOIN n ON movie_id = tmdb_id ORDER BY page, pos LIMIT 40""",
-)
-def collect(spark, sf):
+            n AS (SELECT movie_id, count(*) AS comment_count FROM early WHERE rn <= 30 GROUP BY 1 HAVING count(*) >= 10),
+       accepted AS (SELECT *, row_number() OVER (ORDER BY page, pos) AS place FROM gated JOIN n ON movie_id = tmdb_id
+                    QUALIFY place <= 40)"""
+
+
+def collect(spark, sf, folder=None):
     c, m, e = table(spark, sf, "customer"), m_event(spark, sf), table(spark, sf, "events")
     nothing = {k: F.lit(None).cast("string").alias(k) for k in ("poster_path", "overview")}
     listed = tables.top_k_per_group(c, ["c_nationkey"], [F.asc("c_custkey")], 20).join(
@@ -317,8 +327,44 @@ def collect(spark, sf):
         F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video_id"), F.col("event_id").cast("int").alias("page"),
         F.array(item).alias("items"),
     )
-    _, movies = collection.collect_dataset(
-        landed(spark, popular, MOVIE_PAGE), details, supplement, videos, landed(spark, threads, THREAD_PAGE),
-        min_movies=40, min_comments=10, comment_cap=30,
+    twice = [x.unionByName(x) for x in (details, supplement, videos)]  # repeated records change nothing
+    return collection.collect_dataset(
+        landed(spark, popular, MOVIE_PAGE), *twice, landed(spark, threads, THREAD_PAGE),
+        min_movies=40, min_comments=10, comment_cap=30, folder=folder,
     )
+
+
+@check(
+    "j07_collect_dataset",
+    f"""WITH {COLLECT_SQL}
+       SELECT tmdb_id, title, comment_count, CASE WHEN coalesce(revenue, 0) = 0 THEN coalesce(box, revenue) ELSE revenue END AS revenue,
+              'v' || tmdb_id AS trailer_id
+       FROM accepted""",
+)
+def collected_movies(spark, sf):
+    _, movies = collect(spark, sf)
     return movies.select("tmdb_id", "title", "comment_count", "revenue", "trailer_id")
+
+
+@check(
+    "j07_collect_comments",
+    f"""WITH {COLLECT_SQL}
+       SELECT c.comment_id::VARCHAR AS comment_id, c.movie_id, title AS movie, event_type AS clean_text, 0.0::DOUBLE AS polarity,
+              'neutral' AS sentiment
+       FROM early JOIN accepted USING (movie_id) JOIN c_event c USING (comment_id) WHERE rn <= 30""",
+)
+def collected_comments(spark, sf):
+    comments, _ = collect(spark, sf)
+    return comments.select("comment_id", "movie_id", "movie", "clean_text", "polarity", "sentiment")
+
+
+@check(
+    "s04_collection_snapshots",
+    f"""WITH {COLLECT_SQL}
+       SELECT ceil(place / 10)::INT AS batch_id, movie_id, comment_count AS comments FROM accepted""",
+)
+def collection_snapshots(spark, sf):
+    folder = scratch_path(spark, "dataset")
+    collect(spark, sf, folder)
+    rows = writers.read_snapshot(spark, f"{folder}/comments_partial", 100)
+    return rows.groupBy("batch_id", "movie_id").agg(F.count("*").alias("comments"))

@@ -91,11 +91,19 @@ BOX_SQL = r"""
 
 @check(
     "p10_box_office_gate",
-    f"WITH {BOX_SQL} SELECT title, full_revenue AS revenue FROM filled WHERE revenue > 0 OR box IS NOT NULL",
+    f"""WITH {BOX_SQL} SELECT 'gate' AS mode, title, full_revenue AS revenue FROM filled
+        WHERE (revenue > 0 OR box IS NOT NULL) AND tmdb_id % 5 <> 0
+        UNION ALL SELECT 'all', title, revenue FROM m_event""",
 )
 def p10(spark, sf):
-    gated = collection.box_office_gate(movie_stats.repair_revenue(m_event(spark, sf)))
-    return gated.select("title", "revenue")
+    m = m_event(spark, sf).withColumn("known", F.col("tmdb_id") % 5 != 0)
+    nothing = [F.lit(None).cast("string").alias(x) for x in ("imdbRating", "imdbVotes", "imdbID", "Metascore", "Rated", "Awards", "Director", "Actors")]
+    once = m.select(F.col("title").alias("Title"), F.lit("True").alias("Response"), F.col("box_office").alias("BoxOffice"), *nothing)
+    base, twice = m.drop("box_office"), once.unionByName(once)
+    gated = collection.box_office_gate(collection.with_box_office(base, twice, details="known"), details="known")
+    every = collection.box_office_gate(collection.with_box_office(base, twice, include_box_office=False), False)
+    out = [x.select(F.lit(mode).alias("mode"), "title", "revenue") for mode, x in (("gate", gated), ("all", every))]
+    return out[0].unionByName(out[1])
 
 
 def picked_videos(spark, sf):
@@ -137,15 +145,15 @@ def p12(spark, sf):
 @check(
     "p13_likely_trailer",
     """SELECT p_partkey AS id, p_name || ' official trailer 2024' AS query FROM part
-       WHERE (contains(lower('The ' || p_name || ' ' || p_type), 'trailer')
-              OR contains(lower('A ' || p_type || ' Teaser'), 'teaser'))
-         AND (contains(lower('A ' || p_type || ' Teaser'), lower(p_type))
-              OR contains(lower(p_name), lower(p_type)))""",
+       WHERE p_partkey % 3 < 2 AND p_partkey % 5 <> 4""",
 )
 def p13(spark, sf):
+    key = F.col("p_partkey")
+    kind = F.when(key % 3 == 0, "Teaser").when(key % 3 == 1, "TRAILER").otherwise("Interview")
+    named = F.when(key % 5 != 4, F.col("p_type")).otherwise("something else")
     hits = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("id"), "p_name", F.concat_ws(" ", F.lit("A"), "p_type", F.lit("Teaser")).alias("title"),
-        F.col("p_name").alias("description"), F.col("p_type").alias("movie_title"),
+        key.alias("id"), "p_name", F.concat_ws(" ", F.lit("A"), F.when(key % 2 == 0, named), kind).alias("title"),
+        F.concat_ws(" ", F.lit("From"), F.when(key % 2 == 1, named)).alias("description"), F.col("p_type").alias("movie_title"),
     )
     return readers.likely_trailers(hits).select("id", values.trailer_query(F.col("p_name"), F.lit(2024)).alias("query"))
 
@@ -195,12 +203,17 @@ def p18(spark, sf):
 
 @check(
     "p19_required_columns",
-    "SELECT count(*) AS n, count(DISTINCT movie) AS movies FROM c_event",
+    "SELECT count(*) AS n, count(DISTINCT movie) AS movies, true AS refused FROM c_event",
 )
 def p19(spark, sf):
     df = c_event(spark, sf)
     require_columns(df, ["movie", "polarity"], "comments")
-    return df.agg(F.count("*").alias("n"), F.count_distinct("movie").alias("movies"))
+    try:
+        require_columns(df.drop("polarity"), ["movie", "polarity"], "comments")
+        refused = False
+    except ValueError:
+        refused = True
+    return df.agg(F.count("*").alias("n"), F.count_distinct("movie").alias("movies"), F.lit(refused).alias("refused"))
 
 
 STATS_SQL = """

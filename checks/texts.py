@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from applause.functions import lexicon, text as tx, values
-from applause.operators import sentiment, tables
+from applause.operators import sentiment
 
 from .base import (
     SPACE_SQL, STOPS, c_clean, c_event, c_text, check, expand_sql, links_sql, listed, prose_sql, quoted, r,
@@ -343,12 +343,23 @@ def a23(spark, sf):
 
 @check(
     "t03_term_references",
+    f"""WITH {terms_sql('text', 'c_text')}
+        SELECT comment_id FROM c_text c WHERE EXISTS (
+          SELECT 1 FROM freq f WHERE f.movie = c.movie AND contains(lower(c.text), f.term))""",
+)
+def t03_terms(spark, sf):
+    comments = c_text(spark, sf)
+    return sentiment.comments_with_terms(comments, sentiment.frequent_terms(comments), "comment_id")
+
+
+@check(
+    "t03_rare_terms",
     f"""WITH {terms_sql('text', 'c_text')}, picked AS (SELECT * FROM freq WHERE n <= 9 AND length(term) >= 10)
         SELECT comment_id FROM c_text c WHERE EXISTS (
           SELECT 1 FROM picked f WHERE f.movie = c.movie AND contains(lower(c.text), f.term))""",
 )
-def t03_terms(spark, sf):
-    comments = c_text(spark, sf)  # rarer, longer terms, as some short word is in nearly every text
+def t03_rare(spark, sf):
+    comments = c_text(spark, sf)  # given terms: some short word is in nearly every text
     terms = sentiment.frequent_terms(comments).filter((F.col("n") <= 9) & (F.length("term") >= 10))
     return sentiment.comments_with_terms(comments, terms, "comment_id")
 
@@ -427,10 +438,9 @@ def p23(spark, sf):
     return sentiment.ensure_scored(once).select("comment_id", "clean_text", "sentiment")
 
 
-@check("j09_column_in_place", f"SELECT comment_id, movie, {sentiment_clean_sql('text')} AS clean_text FROM c_text WHERE lang <> 'en'")
+@check("j09_column_in_place", f"SELECT comment_id, movie, {sentiment_clean_sql('text')} AS clean_text FROM c_text")
 def j09(spark, sf):
-    chosen = c_text(spark, sf).filter("lang <> 'en'")
-    return chosen.withColumn("clean_text", tx.clean_for_sentiment(F.col("text"))).select("comment_id", "movie", "clean_text")
+    return c_text(spark, sf).withColumn("clean_text", tx.clean_for_sentiment(F.col("text"))).select("comment_id", "movie", "clean_text")
 
 
 @check(
@@ -458,5 +468,3 @@ def l02_positive(spark, sf):
 def j10(spark, sf):
     return sentiment.top_comments(c_text(spark, sf), "neutral").select("text", "polarity")
 
-
-__all__ = ["marked_sql", "closed_sql", "split_sql", "tables"]

@@ -1,4 +1,8 @@
-from applause.session import cut_lineage, scratch_path
+import pytest
+from pyspark.sql import functions as F
+
+from applause.operators import collection
+from applause.session import cut_lineage, run_folder, scratch_path
 from applause.sources import readers, writers
 
 
@@ -35,6 +39,48 @@ def test_in_memory_rows(spark):
     assert dict(df.dtypes)["published_at"] == "timestamp" and df.first()["published_at"].hour == 3
 
 
+def test_in_memory_rows_go_by_name(spark):
+    rows = [{"text": "b", "comment_id": "a"}, {"comment_id": "c"}]
+    df = readers.rows_to_comments(spark, rows, "comment_id string, text string")
+    assert sorted(map(tuple, df.collect())) == [("a", "b"), ("c", None)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_cutoff_is_midnight_utc(spark, zone):
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        comments = readers.with_timestamp(spark.createDataFrame(
+            [(1, 7, "2024-01-01T02:00:00Z"), (2, 7, "2023-12-31T23:59:59Z"), (3, 7, "2024-01-01T00:00:00Z")],
+            "comment_id int, movie_id int, published_at string"))
+        movies = spark.sql("SELECT 7 AS tmdb_id, DATE '2024-01-01' AS release_date")
+        got = {x.comment_id for x in collection.comments_until_release(comments, movies).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    assert got == {2, 3}
+
+
+def test_namesakes_do_not_multiply_movies(spark):
+    movies = spark.sql("SELECT 1 AS tmdb_id, 'x' AS title, CAST(NULL AS BIGINT) AS revenue, true AS known")
+    record = spark.createDataFrame([("x", "True", "$5"), ("x", "True", "$7")], "Title string, Response string, BoxOffice string")
+    for c in ("imdbRating", "imdbVotes", "imdbID", "Metascore", "Rated", "Awards", "Director", "Actors"):
+        record = record.withColumn(c, F.lit(None).cast("string"))
+    rows = collection.with_box_office(movies, record, details="known").collect()
+    assert [x.revenue for x in rows] == [5]
+    plain = collection.with_box_office(movies, record, include_box_office=False).collect()
+    assert [x.revenue for x in plain] == [None]
+    unknown = collection.with_box_office(movies.withColumn("known", F.lit(None).cast("boolean")), record, details="known")
+    assert collection.box_office_gate(unknown, details="known").isEmpty()
+
+
+def test_run_folders_are_removed(spark):
+    import os
+
+    with run_folder(spark) as path:
+        assert cut_lineage(spark.range(3)).count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(10).selectExpr("id", "array(id) AS l")
     assert sorted(map(tuple, cut_lineage(df).collect())) == sorted(map(tuple, df.collect()))
