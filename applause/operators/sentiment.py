@@ -10,8 +10,6 @@ from ..functions import lexicon, text as tx, values
 from ..session import cut_lineage
 from . import tables
 
-LONG_WORD = 40  # longer words are searched by their three-letter anchors
-
 
 def _literal_map(entries: Mapping[str, float]) -> Column:
     pairs: list[Column] = []
@@ -185,14 +183,11 @@ def frequent_terms(
     return counted.filter(~F.col("term").isin(list(stops))) if stops else counted
 
 
-def _substrings(word: Column, shortest: int = 3) -> Column:
-    """All distinct parts of a word of at least ``shortest`` letters."""
-    starts = F.sequence(F.lit(1), F.length(word) - (shortest - 1))
+def _parts(word: Column, lengths: Column) -> Column:
+    """All distinct parts of a word that have one of the lengths."""
+    fitting = F.filter(lengths, lambda n: n <= F.length(word))
     parts = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(shortest), F.length(word) - i + 1), lambda n: F.substring(word, i, n)
-        ),
+        fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))
     )
     return F.array_distinct(F.flatten(parts))
 
@@ -203,9 +198,8 @@ def comments_with_terms(
     """Keys of comments that hold any frequent term of their movie as a substring.
 
     Most comments use a frequent term as a word of their own; only the others are searched further. A
-    one-word term lies inside one word of the text, so each distinct word of a movie is tested once, by
-    equality of its parts with the terms. A phrase is found through its longest inner word, which the
-    text must hold whole, and then verified on the text.
+    one-word term lies inside one word of the text, so each distinct word of a movie is tested once: its
+    parts, of the lengths that the movie's terms have, are compared with the terms by equality.
     """
     lowered = comments.select(key, by, F.lower(F.col(text)).alias("_t")).filter(F.col("_t").isNotNull())
     single = terms.filter(~F.col("term").rlike(f"[{tx.SPACE}]")).select(by, "term")
@@ -216,32 +210,56 @@ def comments_with_terms(
     rest = cut_lineage(lowered.join(direct, key, "left_anti"))
 
     own = _distinct_words(rest, key, by)
-    vocabulary = own.select(by, "word").distinct()
-    short = vocabulary.filter(F.length("word") <= LONG_WORD)
-    by_parts = short.select(by, "word", F.explode(_substrings(F.col("word"))).alias("term"))
-    short_hits = by_parts.join(single, [by, "term"], "left_semi").select(by, "word")
-    anchors = F.transform(
-        F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3))
+    lengths = single.groupBy(by).agg(F.collect_set(F.length("term")).alias("_lengths"))  # a few dozen at most
+    vocabulary = own.select(by, "word").distinct().join(lengths, by)
+    by_parts = vocabulary.select(by, "word", F.explode(_parts(F.col("word"), F.col("_lengths"))).alias("term"))
+    word_hits = by_parts.join(single, [by, "term"], "left_semi").select(by, "word").distinct()
+    by_word = own.join(word_hits, [by, "word"], "left_semi").select(key)
+    return direct.unionByName(by_word).unionByName(_comments_with_phrases(rest, phrases, key, by)).distinct()
+
+
+def _comments_with_phrases(rest: DataFrame, phrases: DataFrame, key: str, by: str) -> DataFrame:
+    """Keys of texts ``_t`` that hold a phrase of their movie.
+
+    A phrase in a text ends the word before its inner words and begins the word after them. Places with the inner
+    words of a phrase are found by equality; only there the ends of the word before and the beginnings of the word
+    after are spelt out and compared, so a text meets a phrase only where it holds it, up to the kind of white space.
+    """
+    words = F.split("_t", f"[{tx.SPACE}]")
+    cut = phrases.select(by, "term", F.split("term", f"[{tx.SPACE}]").alias("_p"))
+    keyed = cut.select(
+        by, "term", (F.size("_p") - 2).alias("_n"), F.element_at("_p", 1).alias("_first"), F.element_at("_p", -1).alias("_last"),
+        F.array_join(F.slice("_p", F.lit(2), F.size("_p") - 2), " ").alias("_inner"),
     )
-    anchored = vocabulary.filter(F.length("word") > LONG_WORD).select(
-        by, "word", F.explode(F.array_distinct(anchors)).alias("_anchor")
+    sizes = keyed.groupBy(by).agg(
+        F.collect_set("_n").alias("_sizes"),  # a few at most, as phrases are short
+        F.max(F.length("_first")).alias("_most_before"), F.max(F.length("_last")).alias("_most_after"),
     )
-    long_hits = (
-        anchored.join(single.withColumn("_anchor", F.substring("term", 1, 3)), [by, "_anchor"])
-        .filter(F.col("word").contains(F.col("term")))
-        .select(by, "word")
+    split = rest.join(sizes, by).select(
+        key, by, words.alias("_w"), F.explode("_sizes").alias("_n"), "_most_before", "_most_after"
+    ).filter(F.size("_w") >= F.col("_n") + 2)
+    places = F.transform(
+        F.sequence(F.lit(2), F.size("_w") - F.col("_n")),
+        lambda i: F.struct(
+            F.array_join(F.slice("_w", i, F.col("_n")), " ").alias("_inner"),
+            F.element_at("_w", i - 1).alias("_before"), F.element_at("_w", i + F.col("_n")).alias("_after"),
+        ),
     )
-    word_hits = short_hits.unionByName(long_hits).distinct()
-    by_word = own.join(word_hits, [by, "word"], "left_semi").select(key)
-
-    pieces = F.split("term", f"[{tx.SPACE}]")
-    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = phrases.select(by, "term", longest.alias("_piece"))
-    spread = rest.select(key, by, F.explode(F.array_distinct(F.split("_t", f"[{tx.SPACE}]"))).alias("_piece"))
-    pairs = spread.join(keyed, [by, "_piece"]).select(key, "term").distinct()
-    by_phrase = pairs.join(rest.select(key, "_t"), key).filter(F.col("_t").contains(F.col("term"))).select(key)
-    return direct.unionByName(by_word).unionByName(by_phrase).distinct()
+    around = split.select(key, by, "_n", "_most_before", "_most_after", F.explode(places).alias("_x"))
+    around = around.select(key, by, "_n", "_most_before", "_most_after", "_x.*")
+    near = around.join(keyed.select(by, "_n", "_inner").distinct(), [by, "_n", "_inner"], "left_semi")
+    ends = F.transform(
+        F.sequence(F.lit(0), F.least(F.length("_before"), F.col("_most_before"))),
+        lambda n: F.substring("_before", F.length("_before") - n + 1, n),
+    )
+    near = near.select(key, by, "_n", "_inner", F.explode(ends).alias("_first"), "_after", "_most_after")
+    near = near.join(keyed.select(by, "_n", "_inner", "_first").distinct(), [by, "_n", "_inner", "_first"], "left_semi")
+    starts = F.transform(
+        F.sequence(F.lit(0), F.least(F.length("_after"), F.col("_most_after"))), lambda n: F.substring("_after", F.lit(1), n)
+    )
+    near = near.select(key, by, "_n", "_inner", "_first", F.explode(starts).alias("_last")).distinct()
+    pairs = near.join(keyed, [by, "_n", "_inner", "_first", "_last"]).select(key, "term")
+    return pairs.join(rest.select(key, "_t"), key).filter(F.col("_t").contains(F.col("term"))).select(key)
 
 
 def _distinct_words(lowered: DataFrame, key: str, by: str) -> DataFrame:
