@@ -134,22 +134,16 @@ CONTRACTIONS = [
 ]
 
 # A small general opinion lexicon: word -> (polarity, subjectivity). Pass a larger one as an argument.
-OPINIONS = {
-    "good": (0.7, 0.6), "great": (0.8, 0.75), "amazing": (0.6, 0.9), "awesome": (1.0, 1.0),
-    "best": (1.0, 0.3), "better": (0.5, 0.5), "beautiful": (0.85, 1.0), "brilliant": (0.9, 1.0),
-    "excellent": (1.0, 1.0), "excited": (0.375, 0.75), "exciting": (0.3, 0.8), "fantastic": (0.4, 0.9),
-    "fun": (0.3, 0.2), "funny": (0.25, 1.0), "glad": (0.5, 1.0), "happy": (0.8, 1.0),
-    "hilarious": (0.5, 1.0), "interesting": (0.5, 0.5), "love": (0.5, 0.6), "loved": (0.7, 0.8),
-    "nice": (0.6, 1.0), "perfect": (1.0, 1.0), "stunning": (0.5, 1.0), "wonderful": (1.0, 1.0),
-    "cool": (0.35, 0.65), "epic": (0.1, 0.4), "fresh": (0.3, 0.5), "favorite": (0.5, 1.0),
-    "bad": (-0.7, 0.67), "worse": (-0.4, 0.6), "worst": (-1.0, 1.0), "awful": (-1.0, 1.0),
-    "boring": (-1.0, 1.0), "terrible": (-1.0, 1.0), "horrible": (-1.0, 1.0), "hate": (-0.8, 0.9),
-    "hated": (-0.9, 0.7), "lame": (-0.5, 0.75), "stupid": (-0.8, 1.0), "ugly": (-0.7, 1.0),
-    "sad": (-0.5, 1.0), "poor": (-0.4, 0.6), "pathetic": (-1.0, 1.0), "disappointing": (-0.6, 0.7),
-    "disappointed": (-0.75, 0.75), "wrong": (-0.5, 0.9), "weak": (-0.375, 0.625), "annoying": (-0.8, 0.9),
-    "scary": (-0.5, 1.0), "evil": (-1.0, 1.0), "dark": (-0.15, 0.4), "crazy": (-0.6, 0.9),
-    "sick": (-0.7, 0.86), "insane": (-1.0, 1.0), "brutal": (-0.875, 1.0), "embarrassing": (-0.5, 0.8),
+# Our own scale: strong, clear and mild opinions. Subjectivity grows with the strength.
+STRENGTHS = {
+    0.9: "awesome best brilliant excellent fantastic perfect stunning wonderful amazing hilarious",
+    0.6: "good great beautiful excited exciting glad happy love loved favorite epic",
+    0.3: "better fun funny interesting nice cool fresh",
+    -0.3: "dark weak crazy scary poor wrong",
+    -0.6: "bad worse boring lame sad ugly disappointing disappointed annoying embarrassing stupid",
+    -0.9: "worst awful terrible horrible hate hated pathetic evil sick insane brutal",
 }
+OPINIONS = {word: (p, abs(p)) for p, words in STRENGTHS.items() for word in words.split()}
 INTENSIFIERS = {
     "very": 1.3, "really": 1.3, "so": 1.3, "extremely": 1.5, "absolutely": 1.4, "too": 1.2,
     "totally": 1.3, "incredibly": 1.5, "quite": 1.1, "slightly": 0.6, "somewhat": 0.7, "pretty": 1.1,
