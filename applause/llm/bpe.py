@@ -10,17 +10,19 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import sys
 from collections.abc import Iterable, Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .packing import steps
+
 WORDS_PER_QUERY = 20_000
 IDS_PER_QUERY = 400_000
-DISTINCT_KEPT = 400_000  # pre-tokens remembered inside a task
+DISTINCT_KEPT = 100_000  # pre-tokens remembered inside a task
 LONG_WORD = 128  # bytes; one row pass per contraction is quadratic in a word, so longer ones use a heap
 
 CONTRACT = """
@@ -53,12 +55,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def character_class(name: str) -> str:
-    """All characters of a Unicode class, as ranges of a character class of ``re``."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-    return "".join(f"{re.escape(m[0])}-{re.escape(m[-1])}" for m in regex.findall(rf"{name}+", every))
-
-
 class Splitter:
     """Pre-tokens of a text by a pattern in which only letters, numbers and white space classes occur.
 
@@ -69,17 +65,18 @@ class Splitter:
     def __init__(self, pattern: str):
         self.pattern = regex.compile(pattern)
         self.uneven = re.compile(r"\A | \Z| \s|\s ")
-        self.known: dict[str, tuple[str, ...]] = {}
 
     def whole(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
     def cuts(self, text: str) -> list[str] | None:
         """The cuts of a text, each with its leading space; None if it can't be cut."""
-        if self.uneven.search(text):
-            return None
-        first, *others = text.split(" ")
-        return [first, *[" " + x for x in others]]
+        return None if self.uneven.search(text) else text.split(" ")
+
+    def pieces(self, cut: str, first: bool) -> list[str]:
+        """Pre-tokens of a cut, with its leading space unless it starts a text; letters alone are one."""
+        cut = cut if first else " " + cut
+        return [cut] if cut.isalpha() or not first and cut[1:].isalpha() else self.whole(cut)
 
 
 class Tokenizer:
@@ -88,13 +85,15 @@ class Tokenizer:
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
         self.ranks, self.split = ranks, Splitter(pattern)
-        self.byte_ids = [ranks[bytes([i])] for i in range(256)]
-        self.known: dict[str, list[int]] = {}
+        self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.known: dict[str, bytes] = {}  # ids of pre-tokens, four bytes each
+        self.starts: dict[str, bytes] = {}  # of cuts that start a text
+        self.cuts: dict[str, bytes] = {}  # of cuts after a space
         pairs = [
             (ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         ]
         columns = list(zip(*pairs)) or [(), (), ()]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("l", "r", "merged"), columns)})
         vocabulary = pa.table({
             "id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.hex() for t in ranks], pa.string()),
@@ -105,27 +104,31 @@ class Tokenizer:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
+    def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (not empty), by the recursive query."""
-        out: list[list[int]] = [[] for _ in words]
+        out = [b""] * len(words)
         for start in range(0, len(words), WORDS_PER_QUERY):
             part = words[start : start + WORDS_PER_QUERY]
-            w, pos, tok, nxt = [], [], [], []
-            for i, word in enumerate(part):
-                ids = [self.byte_ids[b] for b in word]
-                w += [i] * len(ids)
-                pos += range(len(ids))
-                tok += ids
-                nxt += ids[1:]
-                nxt.append(None)
-            spelt = {n: pa.array(c, pa.int32()) for n, c in (("w", w), ("pos", pos), ("tok", tok), ("nxt", nxt))}
-            self.db.register("spelt", pa.table(spelt))
-            found = self.db.sql(CONTRACT).to_arrow_table()
-            for i, ids in zip(found.column("w").to_pylist(), found.column("ids").to_pylist()):
-                out[start + i] = ids
+            lens = np.array([len(w) for w in part])
+            ends = np.cumsum(lens)
+            tok = self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]
+            last = np.zeros(len(tok), bool)
+            last[ends - 1] = True
+            columns = {
+                "w": np.repeat(np.arange(len(part), dtype=np.int32), lens),
+                "pos": np.arange(len(tok), dtype=np.int32) - np.repeat(ends - lens, lens).astype(np.int32),
+                "tok": tok,
+                "nxt": pa.array(np.roll(tok, -1), mask=last),
+            }
+            self.db.register("spelt", pa.table(columns))
+            found = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
+            ids = found.column("ids").combine_chunks()
+            flat, edges = ids.values.to_numpy().tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+            for i, a, z in zip(found.column("w").to_pylist(), edges, edges[1:]):
+                out[start + i] = flat[a:z]
         return out
 
-    def contract_long(self, word: bytes) -> list[int]:
+    def contract_long(self, word: bytes) -> bytes:
         """The same contraction of one long word with a heap of its pairs."""
         ranks, parts = self.ranks, [word[i : i + 1] for i in range(len(word))]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
@@ -147,7 +150,7 @@ class Tokenizer:
             for k in (before[i], i):
                 if k >= 0 and (r := pair(k)) is not None:
                     heapq.heappush(heap, (r, k))
-        return [ranks[p] for p in parts if p is not None]
+        return np.array([ranks[p] for p in parts if p is not None], np.int32).tobytes()
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Make the ids of pre-tokens known."""
@@ -160,24 +163,31 @@ class Tokenizer:
             if len(c) > LONG_WORD:
                 self.known[p] = self.contract_long(c)
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; a null text is empty."""
-        split = self.split
-        if len(self.known) > DISTINCT_KEPT:
-            self.known.clear()
-            split.known.clear()
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, four bytes each; a null text is empty."""
+        split, starts, others = self.split, self.starts, self.cuts
+        for memory in (self.known, starts, others):
+            if len(memory) > DISTINCT_KEPT:
+                memory.clear()
         cut = [split.cuts(t) if t else [] for t in texts]
-        fresh = {c for cuts in cut if cuts is not None for c in cuts if c not in split.known}
-        for c in fresh:
-            split.known[c] = tuple(split.whole(c))
         whole = {i: split.whole(texts[i]) for i, cuts in enumerate(cut) if cuts is None}
-        self.learn({p for c in fresh for p in split.known[c]} | {p for w in whole.values() for p in w})
-        known, ids_of = self.known, {c: [i for p in split.known[c] for i in self.known[p]] for cuts in cut if cuts for c in set(cuts)}
+        first = {c[0]: split.pieces(c[0], True) for c in cut if c and c[0] not in starts}
+        later = {x: split.pieces(x, False) for c in cut if c for x in set(c[1:]).difference(others)}
+        self.learn({p for pieces in (*first.values(), *later.values(), *whole.values()) for p in pieces})
+        known = self.known
+        starts.update((c, b"".join([known[p] for p in pieces])) for c, pieces in first.items())
+        others.update((c, b"".join([known[p] for p in pieces])) for c, pieces in later.items())
         return [
-            [i for p in whole[n] for i in known[p]] if cuts is None else [i for c in cuts for i in ids_of[c]]
-            for n, cuts in enumerate(cut)
+            b"".join([known[p] for p in whole[n]]) if c is None else starts[c[0]] + b"".join(map(others.__getitem__, c[1:])) if c else b""
+            for n, c in enumerate(cut)
         ]
 
+    def encoded(self, texts: pa.Array) -> pa.ListArray:
+        """``encode`` from and to Arrow."""
+        ids = self.encode(texts.to_pylist())
+        offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32()))
+
     def decode(self, ids: pa.ChunkedArray | pa.Array) -> list[bytes]:
         """Bytes of each list of ids; a null list is empty."""
         lists = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
@@ -209,10 +219,9 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
-        for batch in batches:
+        for batch in steps(batches):
             coder = coder or Tokenizer(path, pattern)
-            ids = coder.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), coder.encoded(batch.column("text"))], ["doc_id", "ids"])
 
     return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>")
 
@@ -224,7 +233,7 @@ def decode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
-        for batch in batches:
+        for batch in steps(batches):
             coder = coder or Tokenizer(path, pattern)
             plain = coder.decode(batch.column("ids"))
             yield pa.RecordBatch.from_arrays(
@@ -232,3 +241,19 @@ def decode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: s
             )
 
     return given.mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded``: both directions in one task, so that the ids need not travel in between."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = None
+        for batch in steps(batches):
+            coder = coder or Tokenizer(path, pattern)
+            ids = coder.encoded(batch.column("text"))
+            plain = pa.array(coder.decode(ids), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, plain], ["doc_id", "ids", "decoded"])
+
+    return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")

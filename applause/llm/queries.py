@@ -111,7 +111,7 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     """All documents encoded and decoded again; digests of the ids and of the bytes."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    rows = bpe.encode_and_decode(table(spark, sf_dir, "documents"), ranks, pattern)
     spelt = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(spelt.cast("binary"), 256).alias("ids_sha256"),
