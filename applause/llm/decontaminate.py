@@ -15,6 +15,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .packing import steps
+
 CHARS_PER_EDIT = 16
 BLOCK_CHARS = 4_000_000  # characters of test items that are broadcast at a time
 WORD = re.compile(r"\w+")
@@ -138,7 +140,7 @@ def find(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_
         def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block.value, chars_per_edit)
             kept = None
-            for batch in batches:
+            for batch in steps(batches, 1024):
                 docs_of = batch.column("doc_id")
                 found = [(i, *hit) for i, t in enumerate(batch.column("text").to_pylist()) for hit in matcher.hits(t)]
                 at, ids, edits, starts, ends = zip(*found) if found else ((),) * 5

@@ -20,9 +20,12 @@ import regex
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .packing import steps
+
 ORDER = 3
 PER_LANGUAGE = 400
 LEAST = 2  # a context below the first order is kept if it was seen so often in some language
+SALTS = 64
 PIECE = 1 << 20  # bytes scored at a time
 UNKNOWN = "und"
 PAD = b"\n"
@@ -153,8 +156,11 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str =
     """At most ``per_language`` texts of each label, by the hash of the id; only these rows reach the driver."""
     named = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     ranked = named.select(F.col(key).alias("_id"), F.col(label).alias("_label"), F.xxhash64(key).alias("_hash"))
-    first = F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_id"))
-    chosen = ranked.withColumn("_nth", first).filter(F.col("_nth") <= per_language).select("_id").distinct()
+    order = ["_hash", "_id"]
+    for part in (["_label", F.pmod("_hash", F.lit(SALTS))], ["_label"]):  # within parts of a label first, as labels are few
+        first = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+        ranked = ranked.withColumn("_nth", first).filter(F.col("_nth") <= per_language)
+    chosen = ranked.select("_id").distinct()
     ids = [row[0] for row in chosen.collect()]  # bounded by per_language and the number of labels
     texts: dict[str, list[bytes]] = {}
     for row in named.filter(F.col(key).isin(ids)).select(label, text, key).collect() if ids else []:
@@ -187,7 +193,7 @@ def predict(docs: DataFrame, texts: dict[str, list[bytes]], order: int = ORDER,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for batch in batches:
+        for batch in steps(batches):
             model = model or (Model(shared.value, order) if shared.value else None)
             preds, scores = guesses(model, batch.column(names.index(text)).to_pylist())
             columns = [*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
@@ -204,7 +210,7 @@ def recognised(docs: DataFrame, texts: dict[str, list[bytes]], least: float = 0.
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for batch in batches:
+        for batch in steps(batches):
             model = model or (Model(shared.value, order) if shared.value else None)
             preds, scores = guesses(model, batch.column(at).to_pylist())
             yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(preds, scores)], pa.bool_()))

@@ -19,7 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from applause.session import cut_lineage
+from applause.session import cut_lineage, release
+
+from .packing import steps
 
 SHINGLE, DISTANCE = 3, 3
 HOT_PAIRS = 1 << 14  # keys whose two sides would make more pairs are keyed once more
@@ -55,7 +57,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             found = [simhash(shingle_hashes(t.as_py(), size)) for t in batch.column("text")]
             fps = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
@@ -171,12 +173,14 @@ def components(edges: DataFrame) -> DataFrame:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(large.filter("u <> v").distinct())
+        last, edges = edges, cut_lineage(large.filter("u <> v").distinct())
+        release(last)
         # small star: the node and its smaller neighbours go to the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(small.filter("u <> v").distinct())
+        last, edges = edges, cut_lineage(small.filter("u <> v").distinct())
+        release(last)
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -37,7 +37,7 @@ def unseen_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, text``: the ids of each document and the text they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    rows = bpe.encode_and_decode(docs, ranks, pattern)
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
