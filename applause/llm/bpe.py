@@ -18,11 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .packing import steps
+from .packing import give_back, steps
 
 WORDS_PER_QUERY = 20_000
 IDS_PER_QUERY = 400_000
-DISTINCT_KEPT = 100_000  # pre-tokens remembered inside a task
+DISTINCT_KEPT = 400_000  # pre-tokens remembered inside a task
 LONG_WORD = 128  # bytes; one row pass per contraction is quadratic in a word, so longer ones use a heap
 
 CONTRACT = """
@@ -222,6 +222,8 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         for batch in steps(batches):
             coder = coder or Tokenizer(path, pattern)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), coder.encoded(batch.column("text"))], ["doc_id", "ids"])
+        del coder
+        give_back()
 
     return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>")
 
@@ -239,6 +241,8 @@ def decode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: s
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("ids"), pa.array(plain, pa.binary())], ["doc_id", "ids", "decoded"]
             )
+        del coder
+        give_back()
 
     return given.mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")
 
@@ -255,5 +259,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_
             ids = coder.encoded(batch.column("text"))
             plain = pa.array(coder.decode(ids), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, plain], ["doc_id", "ids", "decoded"])
+        del coder
+        give_back()
 
     return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")

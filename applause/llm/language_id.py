@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .packing import steps
+from .packing import give_back, steps
 
 ORDER = 3
 PER_LANGUAGE = 400
@@ -198,6 +198,8 @@ def predict(docs: DataFrame, texts: dict[str, list[bytes]], order: int = ORDER,
             preds, scores = guesses(model, batch.column(names.index(text)).to_pylist())
             columns = [*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+        del model
+        give_back()
 
     out = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.mapInArrow(work, out)
@@ -214,6 +216,8 @@ def recognised(docs: DataFrame, texts: dict[str, list[bytes]], least: float = 0.
             model = model or (Model(shared.value, order) if shared.value else None)
             preds, scores = guesses(model, batch.column(at).to_pylist())
             yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(preds, scores)], pa.bool_()))
+        del model
+        give_back()
 
     return docs.mapInArrow(work, docs.schema)
 
