@@ -80,7 +80,8 @@ def evaluate(captures: DataFrame, blocked: DataFrame, allowed: DataFrame | None
 
     The longest active pattern decides (``blocked_by``, ``allowed_by``: the longest, then the first by name); an allow
     pattern at least as long as the longest block pattern lets a capture pass. A null URL or time, or a URL without a
-    host, is named by no list and stays. Captures that repeat a key must be equal; they give one row.
+    host, is named by no list and stays. Captures that repeat a key must be equal; they give one row, whose
+    ``n_blocking`` counts the patterns of every repetition.
     """
     hits = matches(captures, intervals(blocked), url, at, key, path_parts).withColumn("_block", F.lit(True))
     if allowed is not None:
