@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +21,6 @@ def steps(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_STEP) -> Itera
 
 def give_back() -> None:
     """Return freed memory to the system: a worker process outlives its task."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
         ctypes.CDLL(None).malloc_trim(0)

@@ -21,29 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .packing import give_back, packed, restored, unpacked
+
 LENGTH = 50
 GRAM = 24
-DOCS_PER_BLOCK = 1024
-BLOCKS_PER_BUCKET = 4
-HOT = 512  # an anchor in more documents is split into its windows
+DOCS_PER_BLOCK = 512
+BLOCKS_PER_BUCKET = 2
+HOT = 8192  # an anchor in more documents is split into its windows
 PIECE = 1 << 18  # bytes of text hashed at a time
-POSITIONS = 1 << 20  # positions of a suffix array, beyond one anchor's contexts
+POSITIONS = 1 << 18  # positions of a suffix array, beyond one anchor's contexts
 BITS = 24  # of a position in a piece; a single longer text is cut with overlap
 LATE = np.iinfo(np.int64).max  # stands for a missing id
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def packed(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, dtype) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), dtype)
-
-
 # --- anchors of a block -----------------------------------------------------------------------------
 
 
@@ -281,11 +273,12 @@ def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarr
     return [table[i, : lens[i] - length + 1] for i in range(len(texts))]
 
 
-def verdicts(keys: np.ndarray, texts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """``least_ids`` for the contexts of a bucket, ``keys`` first: contexts of one key are compared with one another.
+def verdicts(keys: np.ndarray, texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, list]:
+    """``least_ids`` of the distinct contexts of a bucket, and which of them each context is.
 
-    Equal contexts are one. A key with one distinct context has nothing to compare. The others are laid side by side
-    in suffix arrays of bounded size.
+    Contexts of one key are compared with one another. Equal contexts are one. A key with one distinct context has
+    nothing to compare: a single id stands for all its windows. The others are laid side by side in suffix arrays of
+    bounded size and give ids and run lengths.
     """
     numbers: dict[tuple[int, bytes], int] = {}
     of = np.array([numbers.setdefault((k, t), len(numbers)) for k, t in zip(keys.tolist(), texts)], np.int64)
@@ -295,7 +288,7 @@ def verdicts(keys: np.ndarray, texts: list[bytes], ids: np.ndarray, length: int)
     for (k, _), i in numbers.items():
         groups.setdefault(k, []).append(i)
     listed = [t for _, t in numbers]
-    out: list[np.ndarray | None] = [None] * len(numbers)
+    out: list = [None] * len(numbers)
     held: list[list[int]] = []
     size = 0
 
@@ -303,11 +296,12 @@ def verdicts(keys: np.ndarray, texts: list[bytes], ids: np.ndarray, length: int)
         members = [i for g in held for i in g]
         if members:
             for i, found in zip(members, least_ids([listed[i] for i in members], least[members], length)):
-                out[i] = found
+                new = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                out[i] = (found[new].tolist(), np.diff(np.append(new, len(found))).tolist())
 
     for g in groups.values():
         if len(g) == 1:
-            out[g[0]] = np.full(len(listed[g[0]]) - length + 1, least[g[0]], np.int64)
+            out[g[0]] = ((int(least[g[0]]),), (len(listed[g[0]]) - length + 1,))
             continue
         held.append(g)
         size += sum(len(listed[i]) + 1 for i in g)
@@ -315,7 +309,7 @@ def verdicts(keys: np.ndarray, texts: list[bytes], ids: np.ndarray, length: int)
             settle()
             held, size = [], 0
     settle()
-    return [out[i] for i in of]
+    return of, out
 
 
 # --- the job ------------------------------------------------------------------------------------------
@@ -381,26 +375,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                 lens = np.array([len(t) for t in texts[i:j]], np.uint16)
                 body = np.frombuffer(b"".join(texts[i:j]), np.uint8)
                 out.append((b, group.column("block")[0].as_py(), packed(keys[i:j]), packed(least[i:j]), packed(lens), packed(body)))
+            del texts
+            give_back()
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(
             (("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("least", pa.binary()), ("lens", pa.binary()), ("body", pa.binary())))})
 
     def judge(group: pa.Table) -> pa.Table:
         keys, ids, texts, sizes = [], [], [], []
-        for r in group.to_pylist():
+        for i in range(group.num_rows):
+            r = {n: group.column(n)[i].as_py() for n in ("keys", "least", "lens", "body")}
             keys.append(unpacked(r["keys"], np.uint64))
             ids.append(unpacked(r["least"], np.int64))
             ends = np.cumsum(unpacked(r["lens"], np.uint16).astype(np.int64))
-            body = unpacked(r["body"], np.uint8).tobytes()
+            body = restored(r["body"])
             texts += [body[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
             sizes.append(len(ends))
-        found = verdicts(np.concatenate(keys), texts, np.concatenate(ids), length)
+        of, found = verdicts(np.concatenate(keys), texts, np.concatenate(ids), length)
+        del keys, ids, texts
         values, runs, start = [], [], 0
         for n in sizes:
-            flat = np.concatenate(found[start : start + n])
+            own = [found[i] for i in of[start : start + n].tolist()]
             start += n
-            new = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            values.append(packed(flat[new]))
-            runs.append(packed(np.diff(np.append(new, len(flat))).astype(np.uint32)))
+            values.append(packed(np.array([x for v, _ in own for x in v], np.int64)))
+            runs.append(packed(np.array([x for _, w in own for x in w], np.uint32)))
+        del found
+        give_back()
         return pa.table({
             "block": group.column("block"), "bucket": group.column("bucket"), "kind": pa.array([1] * len(sizes), pa.int32()),
             "a": pa.array(values, pa.binary()), "b": pa.array(runs, pa.binary()),
