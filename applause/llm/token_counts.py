@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from applause.session import scratch_path
 
-from .packing import packed, packed_words, unpacked, unpacked_words
+from .packing import give_back, packed, packed_words, unpacked, unpacked_words
 
-BLOCK_BYTES = 1 << 24  # text of a block; one longer text is a block of its own
+BLOCK_BYTES = 1 << 23  # text of a block; one longer text is a block of its own
 DOCS_PER_BUCKET = 4096
 CUTS_PER_CALL = 20_000
 
@@ -165,8 +165,11 @@ def blocks(docs: DataFrame, path: str, buckets: int, key: str = "doc_id", text:
                 if size >= BLOCK_BYTES:
                     yield row()
                     held, size, made = [], 0, made + 1
+                    give_back()
         if held:
             yield row()
+        held = []
+        give_back()
 
     return rows.mapInArrow(work, schema)
 
