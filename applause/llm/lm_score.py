@@ -1,20 +1,26 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every word of a document is masked in turn and predicted from the words on both sides; the summed logarithms score the
-document. The network (embeddings of the window, one hidden layer, a softmax over the frequent words and one class for
-all others) is trained here in numpy: each task trains on a fixed share of the positions of every document it holds,
-and the weights are averaged over the tasks, weighted by their positions, after every round. Words outside the softmax
-are spelt byte by byte under the byte frequencies of such words, so any text has a probability.
-
-Word counts come from all documents. What reaches the driver is the vocabulary, 257 byte counts and the weights, whose
-sizes are parameters.
+document. The network (embeddings of the window, one hidden layer, a softmax over classes) is trained here in numpy: each
+task trains on a fixed share of the positions of every document it holds, and the weights are averaged over the tasks,
+weighted by their positions, after every round.
+
+The vocabulary follows the counted corpus: every word of at least a given relative frequency has a number, an embedding
+and a probability of its own. The most frequent words are classes; the others share classes by rank, and a binary tree
+of logistic decisions over the same hidden layer leads from the class to the word, so a word costs the logarithm of its
+class's size. Rarer words are one class and are spelt by bytes, whose probabilities depend on the window as well; as
+neighbours they are told apart by a hash. So any text has a probability, and all of it looks at both sides.
+
+Word counts come from all documents. What reaches the driver is the vocabulary (at most one word by the least relative
+frequency), 257 byte counts and the weights, 45 numbers a word.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +34,18 @@ from .packing import steps
 PAD, OTHER = 0, 1
 COUNTED = 400_000  # distinct words held by a task before they are passed on
 SALTS = 32
+CHUNK = 1 << 18  # weights that are averaged in one group
 
 
 @dataclass(frozen=True)
 class Settings:
     """Sizes of the model and of its training."""
 
-    inputs: int = 1024  # word numbers with an embedding, padding and the other words included
-    outputs: int = 256  # classes of the softmax: the most frequent words, padding and the other words
+    inputs: int = 1024  # embeddings at least: numbered words, padding and the other words; ``fit`` adds what the corpus needs
+    outputs: int = 256  # classes of the softmax: the most frequent words, padding, the other words and groups of words
+    least: float = 1e-6  # relative frequency from which on a word has a number
+    buckets: int = 4096  # embeddings that rarer words share as neighbours
+    words: int | None = None  # numbered words; set by ``fit``
     side: int = 2  # words on either side
     width: int = 12  # of an embedding
     hidden: int = 32
@@ -51,6 +61,10 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def in_bytes(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` over all documents; counted inside each task first."""
 
@@ -78,7 +92,7 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(257, np.int64)
         for batch in batches:
-            coded = [w.encode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()]
+            coded = [in_bytes(w) for w in batch.column("word").to_pylist()]
             n = batch.column("n").to_numpy(zero_copy_only=False)
             weights = np.repeat(n, [len(c) for c in coded])
             total[:256] += np.bincount(np.frombuffer(b"".join(coded), np.uint8), weights, 256).astype(np.int64)
@@ -91,29 +105,83 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
+class Layout:
+    """Class of every word number, and the decisions that lead from a class to a word.
+
+    Without more words than classes each has its own. Otherwise half of the classes are groups of neighbouring ranks,
+    larger for rarer words. A group of ``n`` words is a tree kept as a heap: decisions 1 to ``n - 1``, words from ``n``.
+    """
+
+    def __init__(self, s: Settings):
+        known = s.outputs if s.words is None else s.words + 2
+        self.classes = np.where(np.arange(s.inputs) < min(known, s.outputs), np.arange(s.inputs), OTHER).astype(np.int32)
+        self.nodes, self.path, self.turn = 0, np.zeros((s.inputs, 0), np.int32), np.zeros((s.inputs, 0), np.int8)
+        if known <= s.outputs:
+            return
+        single = s.outputs // 2
+        edges = np.rint(np.linspace(np.sqrt(single), np.sqrt(known), s.outputs - single + 1) ** 2).astype(np.int64)
+        ids = np.arange(single, known)
+        group = np.searchsorted(edges, ids, "right") - 1
+        self.classes[ids] = single + group
+        self.nodes = known - single
+        first, node = edges[group], np.diff(edges)[group] + ids - edges[group]
+        depth = int(np.log2(node.max())) if len(node) else 0
+        self.path, self.turn = np.zeros((s.inputs, depth), np.int32), np.zeros((s.inputs, depth), np.int8)
+        for step in range(depth):
+            on = node > 1
+            self.turn[ids[on], step] = np.where(node[on] & 1, 1, -1)
+            node = np.where(on, node >> 1, node)
+            self.path[ids[on], step] = (first - single + node)[on]
+
+
+def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct row numbers and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True))
+    sums = np.cumsum(grads[order], 0, dtype=np.float64)[last]
+    sums[1:] -= sums[:-1].copy()
+    return rows[last], sums.astype(np.float32)
+
+
+def byte_table(words: list[bytes]) -> np.ndarray:
+    """How often each byte, and the end (number 256), occurs in each word."""
+    lens = [len(w) for w in words]
+    at = np.repeat(np.arange(len(words)) * 257, lens) + np.frombuffer(b"".join(words), np.uint8)
+    table = np.bincount(at, minlength=257 * len(words)).reshape(-1, 257).astype(np.float32)
+    table[:, 256] = 1
+    return table
+
+
 class Network:
-    """Weights and their use. All arrays are float32."""
+    """Weights and their use. All arrays are float32.
+
+    ``arrays`` are the embeddings, the hidden layer and the softmax; ``more`` are the decisions inside the groups and
+    what the hidden layer adds to the spelling.
+    """
 
     NAMES = ("embed", "inner", "inner_bias", "outer", "outer_bias")
 
-    def __init__(self, settings: Settings, arrays: list[np.ndarray] | None = None):
+    def __init__(self, settings: Settings, layout: Layout | None = None):
         s = self.settings = settings
+        self.layout = layout or Layout(s)
         shapes = [(s.inputs, s.width), (2 * s.side * s.width, s.hidden), (s.hidden,), (s.hidden, s.outputs), (s.outputs,)]
-        if arrays is None:
-            rng = np.random.default_rng(s.seed)
-            arrays = [rng.normal(0, 1 / np.sqrt(x[0] if i else 4), x) if len(x) > 1 else np.zeros(x) for i, x in enumerate(shapes)]
-        self.arrays = [np.array(a, np.float32).reshape(x) for a, x in zip(arrays, shapes)]
+        rng = np.random.default_rng(s.seed)
+        arrays = [rng.normal(0, 1 / np.sqrt(x[0] if i else 4), x) if len(x) > 1 else np.zeros(x) for i, x in enumerate(shapes)]
+        self.arrays = [np.array(a, np.float32) for a in arrays]
+        self.more = [np.zeros(x, np.float32) for x in ((self.layout.nodes, s.hidden), (self.layout.nodes,), (s.hidden, 257))]
 
     @classmethod
     def from_flat(cls, settings: Settings, flat: np.ndarray) -> Network:
         net, at = cls(settings), 0
-        for i, a in enumerate(net.arrays):
-            net.arrays[i] = flat[at : at + a.size].astype(np.float32).reshape(a.shape)
-            at += a.size
+        for own in (net.arrays, net.more):
+            for i, a in enumerate(own):
+                own[i] = flat[at : at + a.size].astype(np.float32).reshape(a.shape)
+                at += a.size
         return net
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([a.reshape(-1) for a in self.arrays])
+        return np.concatenate([a.reshape(-1) for a in (*self.arrays, *self.more)])
 
     def windows(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ids around the positions ``at`` of a document, without the position itself."""
@@ -128,48 +196,102 @@ class Network:
         h = np.tanh(x @ inner + inner_bias)
         return x, h, h @ outer + outer_bias
 
-    def log_probs(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Logarithm of the probability of each target class given its window."""
-        out = np.empty(len(targets), np.float32)
-        for i in range(0, len(targets), 4096):
-            *_, z = self.forward(windows[i : i + 4096])
+    def decisions(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every decision on the way from the class to the word: position, number, direction (1 or -1) and its logit."""
+        turns = self.layout.turn[ids]
+        at, step = np.nonzero(turns)
+        nodes = self.layout.path[ids[at], step]
+        leaf, leaf_bias, _ = self.more
+        return at, nodes, turns[at, step], np.einsum("ij,ij->i", h[at], leaf[nodes]) + leaf_bias[nodes]
+
+    def log_probs(self, windows: np.ndarray, ids: np.ndarray, spelt: list[bytes], spelling: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each word given its window; ``spelt`` are the words without a number in turn."""
+        out, done = np.empty(len(ids), np.float32), 0
+        for i in range(0, len(ids), 4096):
+            own = ids[i : i + 4096]
+            classes = self.layout.classes[own]
+            _, h, z = self.forward(windows[i : i + 4096])
             z -= z.max(1, keepdims=True)
-            own = z[np.arange(len(z)), targets[i : i + 4096]]
+            part = z[np.arange(len(z)), classes]
             np.exp(z, out=z)
-            out[i : i + 4096] = own - np.log(z.sum(1))
+            part -= np.log(z.sum(1))
+            if self.layout.nodes:
+                at, _, turn, logit = self.decisions(h, own)
+                part -= np.bincount(at, np.logaddexp(0, -turn * logit), len(own)).astype(np.float32)
+            rare = np.flatnonzero(classes == OTHER)
+            if len(rare):
+                table = byte_table(spelt[done : done + len(rare)])
+                done += len(rare)
+                y = spelling.astype(np.float32) + h[rare] @ self.more[2]
+                top = y.max(1)
+                y -= (top + np.log(np.exp(y - top[:, None]).sum(1)))[:, None]
+                part[rare] += (table * y).sum(1)
+            out[i : i + 4096] = part
         return out
 
-    def train(self, windows: np.ndarray, targets: np.ndarray, memory: list[np.ndarray]) -> None:
+    def train(self, windows: np.ndarray, ids: np.ndarray, spelt: list[bytes], spelling: np.ndarray, memory: list[np.ndarray]) -> None:
         """One step of Adagrad on a batch; ``memory`` holds the squared gradients so far."""
         embed, inner, inner_bias, outer, outer_bias = self.arrays
+        leaf, leaf_bias, spell = self.more
+        rate, n, classes = self.settings.rate, len(ids), self.layout.classes[ids]
         x, h, z = self.forward(windows)
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
-        z[np.arange(len(z)), targets] -= 1
-        z /= len(z)
-        back = (z @ outer.T) * (1 - h * h)
-        to_embed = np.zeros_like(embed)
-        np.add.at(to_embed, windows.reshape(-1), (back @ inner.T).reshape(-1, embed.shape[1]))
-        grads = [to_embed, x.T @ back, back.sum(0), h.T @ z, z.sum(0)]
-        for a, g, m in zip(self.arrays, grads, memory):
+        z[np.arange(n), classes] -= 1
+        z /= n
+        to_hidden = z @ outer.T
+        touched = []
+        if self.layout.nodes:
+            at, nodes, turn, logit = self.decisions(h, ids)
+            if len(at):
+                g = (-turn / (1 + np.exp(np.minimum(turn * logit, 60))) / n).astype(np.float32)
+                rows, sums = summed(at, g[:, None] * leaf[nodes])
+                to_hidden[rows] += sums
+                rows, sums = summed(nodes, g[:, None] * np.concatenate([h, np.ones((n, 1), np.float32)], 1)[at])
+                touched += [(leaf, memory[5], rows, sums[:, :-1]), (leaf_bias, memory[6], rows, sums[:, -1])]
+        dense = [(inner, memory[1]), (inner_bias, memory[2]), (outer, memory[3]), (outer_bias, memory[4])]
+        to_spell = []
+        rare = np.flatnonzero(classes == OTHER)
+        if len(rare):
+            table = byte_table(spelt)
+            y = spelling.astype(np.float32) + h[rare] @ spell
+            y = np.exp(y - y.max(1, keepdims=True))
+            y *= table.sum(1, keepdims=True) / y.sum(1, keepdims=True)
+            y = (y - table) / n
+            to_hidden[rare] += y @ spell.T
+            dense.append((spell, memory[7]))
+            to_spell.append(h[rare].T @ y)
+        back = to_hidden * (1 - h * h)
+        rows, sums = summed(windows.reshape(-1), (back @ inner.T).reshape(-1, embed.shape[1]))
+        touched.append((embed, memory[0], rows, sums))
+        for (a, m), g in zip(dense, [x.T @ back, back.sum(0), h.T @ z, z.sum(0), *to_spell]):
             m += g * g
-            a -= self.settings.rate * g / (np.sqrt(m) + 1e-6)
+            a -= rate * g / (np.sqrt(m) + 1e-6)
+        for a, m, rows, g in touched:
+            m[rows] += g * g
+            a[rows] -= rate * g / (np.sqrt(m[rows]) + 1e-6)
 
 
 @dataclass(frozen=True)
 class Model:
     settings: Settings
-    numbers: dict[str, int]  # of the frequent words
-    spelling: np.ndarray  # logarithm of the probability of each byte and of a word's end
+    numbers: dict[str, int]  # of the words that are frequent enough
+    spelling: np.ndarray  # logarithm of the probability of each byte and of a word's end, whatever the window
     weights: np.ndarray
 
     def coded(self, words: list[str]) -> np.ndarray:
-        get = self.numbers.get
-        return np.fromiter((get(w, OTHER) for w in words), np.int32, len(words))
+        """Numbers of words; the others have one of the shared numbers, or ``OTHER`` if all words of the corpus are numbered."""
+        get, first, buckets = self.numbers.get, (self.settings.words or 0) + 2, self.settings.buckets
+        ids = np.fromiter((get(w, OTHER) for w in words), np.int32, len(words))
+        if buckets:
+            for i in np.flatnonzero(ids == OTHER):
+                ids[i] = first + crc32(in_bytes(words[i])) % buckets
+        return ids
 
-    def targets(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.settings.outputs, ids, OTHER)
+    def spelt(self, ids: np.ndarray) -> np.ndarray:
+        """Whether the words of these numbers are spelt."""
+        return (ids == OTHER) | (ids >= (self.settings.words or 0) + 2)
 
 
 def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str) -> np.ndarray:
@@ -180,65 +302,75 @@ def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         net = Network.from_flat(settings, model.weights)
-        memory = [np.full_like(a, 0.01) for a in net.arrays]
-        windows, targets, seen, held = [], [], 0, 0
+        memory = [np.full_like(a, 0.01) for a in (*net.arrays, *net.more)]
+        windows, targets, spelt, seen, held = [], [], [], 0, 0
 
         def step() -> None:
             w, t = np.concatenate(windows), np.concatenate(targets)
+            rare, letters = model.spelt(t), np.empty(len(t), object)
+            letters[rare] = spelt
             order = np.random.default_rng(settings.seed + seen).permutation(len(t))
             for i in range(0, len(t), settings.batch):
                 part = order[i : i + settings.batch]
-                net.train(w[part], t[part], memory)
+                net.train(w[part], t[part], letters[part[rare[part]]].tolist(), model.spelling, memory)
 
         for batch in steps(batches):
             for start, t in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist()):
-                ids = model.coded(words_of(t))
+                words = words_of(t)
+                ids = model.coded(words)
                 at = np.arange(start, len(ids), settings.stride)
                 if len(at):
                     windows.append(net.windows(ids, at))
-                    targets.append(model.targets(ids)[at])
+                    targets.append(ids[at])
+                    spelt += [in_bytes(words[i]) for i in at[model.spelt(ids[at])]]
                     held += len(at)
                 if held >= 32 * settings.batch:
                     step()
                     seen, held = seen + held, 0
                     windows.clear()
                     targets.clear()
+                    spelt.clear()
         if held:
             step()
             seen += held
         if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([float(seen)]),
-                 pa.array([net.flat()], pa.list_(pa.float32()))],
-                ["salt", "n", "weights"],
-            )
+            flat, salt = net.flat(), TaskContext.get().partitionId() % SALTS
+            for i in range(0, len(flat), CHUNK):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i // CHUNK], pa.int32()), pa.array([salt], pa.int32()), pa.array([float(seen)]),
+                     pa.array([flat[i : i + CHUNK].tobytes()], pa.binary())],
+                    ["chunk", "salt", "n", "weights"],
+                )
 
     def average(group: pa.Table) -> pa.Table:
         n = group.column("n").to_numpy()
-        rows = np.stack([x.values.to_numpy() for x in group.column("weights")])
-        mean = (rows * (n / n.sum())[:, None].astype(np.float32)).sum(0)
-        return pa.table({"salt": pa.array([0], pa.int32()), "n": pa.array([n.sum()]), "weights": pa.array([mean], pa.list_(pa.float32()))})
+        mean = sum(np.frombuffer(x.as_py(), np.float32) * np.float32(k) for x, k in zip(group.column("weights"), n / n.sum()))
+        return pa.table({
+            "chunk": group.column("chunk")[:1], "salt": pa.array([0], pa.int32()), "n": pa.array([n.sum()]),
+            "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
+        })
 
     # positions shift from round to round and from document to document
     start = F.pmod(F.xxhash64(key) + F.lit(number * 7), F.lit(settings.stride)).cast("int")
     rows = docs.select(start.alias("start"), F.col(text).alias("text"))
-    schema = "salt int, n double, weights array<float>"
-    means = rows.mapInArrow(work, schema).groupBy("salt").applyInArrow(average, schema)
-    found = means.collect()  # SALTS rows at most
+    schema = "chunk int, salt int, n double, weights binary"
+    means = rows.mapInArrow(work, schema).groupBy("chunk", "salt").applyInArrow(average, schema)
+    found = means.groupBy("chunk").applyInArrow(average, schema).collect()  # the weights once
     shared.unpersist()
     if not found:
         return model.weights
-    n = np.array([r["n"] for r in found])
-    return (np.array([r["weights"] for r in found]) * (n / n.sum())[:, None]).sum(0).astype(np.float32)
+    return np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["chunk"])])
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Model:
     """The model of a table. An empty table gives the untrained network and even byte frequencies."""
     counts = cut_lineage(word_counts(docs, text))
-    ordered = counts.orderBy(F.desc("n"), "word").limit(settings.inputs - 2)
-    numbers = {r["word"]: i + 2 for i, r in enumerate(ordered.collect())}
-    softmax = [w for w, i in numbers.items() if i < settings.outputs]
-    rare = counts.filter(~F.col("word").isin(softmax)) if softmax else counts
+    least = max(1, settings.least * (counts.agg(F.sum("n")).first()[0] or 0))
+    common = sorted((-r["n"], r["word"]) for r in counts.filter(F.col("n") >= least).collect())  # 1 / settings.least at most
+    numbers = {word: i + 2 for i, (_, word) in enumerate(common)}
+    rare = counts.filter(F.col("n") < least)
+    buckets = 0 if rare.isEmpty() else settings.buckets
+    settings = replace(settings, inputs=max(settings.inputs, len(numbers) + 2 + buckets), words=len(numbers), buckets=buckets)
     bytes_seen = byte_counts(rare) + 1
     spelling = np.log(bytes_seen / bytes_seen.sum())
     model = Model(settings, numbers, spelling, Network(settings).flat())
@@ -250,15 +382,12 @@ def fit(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", t
 def score_words(model: Model, net: Network, words: list[str]) -> float:
     """Summed logarithm (natural) of the probability of every word given the words around it."""
     ids = model.coded(words)
-    targets = model.targets(ids)
     total = 0.0
     for i in range(0, len(ids), 1 << 16):
         at = np.arange(i, min(len(ids), i + (1 << 16)))
-        total += float(net.log_probs(net.windows(ids, at), targets[at]).sum(dtype=np.float64))
-    spelt = [words[i].encode("utf-8", "surrogatepass") for i in np.flatnonzero(targets == OTHER)]
-    used = np.bincount(np.frombuffer(b"".join(spelt), np.uint8), minlength=257).astype(np.float64)
-    used[256] = len(spelt)
-    return total + float(used @ model.spelling)
+        spelt = [in_bytes(words[k]) for k in at[model.spelt(ids[at])]]
+        total += float(net.log_probs(net.windows(ids, at), ids[at], spelt, model.spelling).sum(dtype=np.float64))
+    return total
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

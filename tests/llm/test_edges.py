@@ -446,6 +446,43 @@ def test_lm_score(spark, docs):
         assert (r["per_word"] is None) == (r["n_words"] == 0) and np.isfinite(r["log_likelihood"])
 
 
+def test_lm_vocabulary_follows_the_corpus(spark):
+    """Under the registered settings: a probability of its own for every frequent word, and spelling that looks at the window."""
+    rng = np.random.default_rng(9)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 60)) for _ in range(400)]
+    lines += ["left left rare" + "zq"[i % 2] * 3 + str(i) + " right right" for i in range(300)]
+    train = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(2)
+    model = lm_score.fit(train)
+    counted = {w for t in lines for w in t.split()}
+    assert set(model.numbers) == counted and len(counted) > 3000  # every word is frequent in so few
+    net = lm_score.Network.from_flat(model.settings, model.weights)
+    window = net.windows(model.coded(lines[0].split()), np.array([5]))
+    every = np.array([lm_score.PAD, lm_score.OTHER, *range(2, len(counted) + 2)])
+    logs = net.log_probs(np.repeat(window, len(every), 0), every, [b"x"], np.where(np.arange(257) == 120, 0.0, -200.0))
+    logs[1] -= np.float32(-200.0)  # the word "x" is spelt by one letter and the end
+    assert np.isclose(np.exp(logs.astype(float)).sum(), 1, atol=1e-3) and len(set(logs[-500:].tolist())) > 100
+    words = lines[1].split()
+    leaf, leaf_bias, _ = net.more
+    embed, inner, inner_bias, outer, outer_bias = (a.astype(float) for a in net.arrays)
+    ids, total = model.coded(words), 0.0
+    for i in range(len(words)):
+        h = np.tanh(embed[net.windows(ids, np.array([i]))[0]].reshape(-1) @ inner + inner_bias)
+        z = h @ outer + outer_bias
+        total += z[net.layout.classes[ids[i]]] - np.log(np.exp(z).sum())
+        for node, turn in zip(net.layout.path[ids[i]], net.layout.turn[ids[i]]):
+            total -= np.log1p(np.exp(-turn * (h @ leaf[node] + leaf_bias[node]))) if turn else 0
+    assert np.isclose(lm_score.score_words(model, net, words), total, rtol=1e-4)
+    bound = lm_score.fit(train, lm_score.Settings(least=0.005, stride=1, rounds=3))
+    net = lm_score.Network.from_flat(bound.settings, bound.weights)
+    assert set(bound.numbers) == {"left", "right"} and len({int(x) for x in bound.coded(["w1", "w2", "w3"])}) == 3
+    near, far = (net.windows(bound.coded(t.split()), np.array([2])) for t in ("left left w1 right right", "w5 w6 w1 w7 w8"))
+    ids = bound.coded(["w1"])
+    h = [net.forward(w)[1] @ net.more[2] for w in (near, far)]
+    assert np.abs(h[0] - h[1]).max() > 0.1
+    gains = [net.log_probs(w, ids, [b"rarezzz"], bound.spelling) - net.log_probs(w, ids, [b"w1234"], bound.spelling) for w in (near, far)]
+    assert gains[0] > gains[1]
+
+
 def test_empty_tables(nothing, spark):
     none = nothing
     benchmark = none.selectExpr("doc_id item_id", "text")
