@@ -1,9 +1,9 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every word of a document is masked in turn and predicted from the words on both sides; the summed logarithms score the
-document. The network (embeddings of the window, one hidden layer, a softmax over classes) is trained here in numpy: each
-task trains on a fixed share of the positions of every document it holds, and the weights are averaged over the tasks,
-weighted by their positions, after every round.
+document. The network (embeddings of the window, one hidden layer, a softmax over classes) is trained here in numpy: the
+rounds share the positions of every document, so each is trained on once; each task trains on the documents it holds,
+and the weights are averaged over the tasks, weighted by their positions, after every round.
 
 The vocabulary follows the counted corpus: every word of at least a given relative frequency has a number, an embedding
 and a probability of its own. The most frequent words are classes; the others share classes by rank, and a binary tree
@@ -17,6 +17,7 @@ frequency), 257 byte counts and the weights, 45 numbers a word.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -33,7 +34,7 @@ from .packing import steps
 
 PAD, OTHER = 0, 1
 COUNTED = 400_000  # distinct words held by a task before they are passed on
-SALTS = 32
+WORDS_PER_TASK = 1 << 22  # of a training task at least, if there are more tasks than cores
 CHUNK = 1 << 18  # weights that are averaged in one group
 
 
@@ -49,8 +50,8 @@ class Settings:
     side: int = 2  # words on either side
     width: int = 12  # of an embedding
     hidden: int = 32
-    stride: int = 16  # one position in so many is trained on in a round
-    rounds: int = 2
+    stride: int = 2  # one position in so many is trained on in a round
+    rounds: int = 2  # as many as the stride, so that every position comes up once
     batch: int = 512
     rate: float = 0.05
     seed: int = 7
@@ -279,6 +280,7 @@ class Model:
     numbers: dict[str, int]  # of the words that are frequent enough
     spelling: np.ndarray  # logarithm of the probability of each byte and of a word's end, whatever the window
     weights: np.ndarray
+    trained: int = 0  # positions in all rounds
 
     def coded(self, words: list[str]) -> np.ndarray:
         """Numbers of words; the others have one of the shared numbers, or ``OTHER`` if all words of the corpus are numbered."""
@@ -294,9 +296,16 @@ class Model:
         return (ids == OTHER) | (ids >= (self.settings.words or 0) + 2)
 
 
-def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str) -> np.ndarray:
-    """Weights after a round: every task trains from the same weights, then they are averaged."""
-    settings = model.settings
+def positions(start: int, length: int, settings: Settings) -> np.ndarray:
+    """Positions of a text that a round trains on. With fewer rounds than the stride a short text gives one all the same."""
+    if settings.rounds < settings.stride and length:
+        start %= length
+    return np.arange(start, length, settings.stride)
+
+
+def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str, tasks: int) -> Model:
+    """The model after a round: every task trains from the same weights, then they are averaged."""
+    settings, salts = model.settings, math.isqrt(tasks)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary and weights: sizes are settings
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +327,7 @@ def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str)
             for start, t in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(t)
                 ids = model.coded(words)
-                at = np.arange(start, len(ids), settings.stride)
+                at = positions(start, len(ids), settings)
                 if len(at):
                     windows.append(net.windows(ids, at))
                     targets.append(ids[at])
@@ -334,7 +343,7 @@ def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str)
             step()
             seen += held
         if seen:
-            flat, salt = net.flat(), TaskContext.get().partitionId() % SALTS
+            flat, salt = net.flat(), TaskContext.get().partitionId() % salts
             for i in range(0, len(flat), CHUNK):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i // CHUNK], pa.int32()), pa.array([salt], pa.int32()), pa.array([float(seen)]),
@@ -350,22 +359,26 @@ def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str)
             "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
         })
 
-    # positions shift from round to round and from document to document
-    start = F.pmod(F.xxhash64(key) + F.lit(number * 7), F.lit(settings.stride)).cast("int")
-    rows = docs.select(start.alias("start"), F.col(text).alias("text"))
+    # positions shift by one from round to round, and from text to text
+    stride = F.lit(settings.stride)
+    start = F.pmod(F.pmod(F.xxhash64(key, text), stride) + F.lit(number), stride).cast("int")
+    rows = docs.select(start.alias("start"), F.col(text).alias("text")).coalesce(tasks)  # each sends all weights
     schema = "chunk int, salt int, n double, weights binary"
     means = rows.mapInArrow(work, schema).groupBy("chunk", "salt").applyInArrow(average, schema)
     found = means.groupBy("chunk").applyInArrow(average, schema).collect()  # the weights once
     shared.unpersist()
     if not found:
-        return model.weights
-    return np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["chunk"])])
+        return model
+    weights = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["chunk"])])
+    return replace(model, weights=weights, trained=model.trained + round(found[0]["n"]))
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Model:
     """The model of a table. An empty table gives the untrained network and even byte frequencies."""
     counts = cut_lineage(word_counts(docs, text))
-    least = max(1, settings.least * (counts.agg(F.sum("n")).first()[0] or 0))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, total // WORDS_PER_TASK)
+    least = max(1, settings.least * total)
     common = sorted((-r["n"], r["word"]) for r in counts.filter(F.col("n") >= least).collect())  # 1 / settings.least at most
     numbers = {word: i + 2 for i, (_, word) in enumerate(common)}
     rare = counts.filter(F.col("n") < least)
@@ -375,7 +388,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", t
     spelling = np.log(bytes_seen / bytes_seen.sum())
     model = Model(settings, numbers, spelling, Network(settings).flat())
     for number in range(settings.rounds):
-        model = Model(settings, numbers, spelling, train_round(docs, model, number, key, text))
+        model = train_round(docs, model, number, key, text, tasks)
     return model
 
 

@@ -483,6 +483,17 @@ def test_lm_vocabulary_follows_the_corpus(spark):
     assert gains[0] > gains[1]
 
 
+def test_lm_trains_on_every_position(spark, docs):
+    """Under the registered settings, short texts and rows without an id included."""
+    settings = lm_score.Settings()
+    for length in range(40):
+        found = np.concatenate([lm_score.positions(n % settings.stride, length, settings) for n in range(5, 5 + settings.rounds)])
+        assert sorted(found.tolist()) == list(range(length))
+    sparse = lm_score.Settings(stride=16, rounds=2)
+    assert all(len(lm_score.positions(start, length, sparse)) for start in range(16) for length in range(1, 20))
+    assert lm_score.fit(docs).trained == sum(len(lm_score.words_of(t)) for _, t, *_ in rows())
+
+
 def test_empty_tables(nothing, spark):
     none = nothing
     benchmark = none.selectExpr("doc_id item_id", "text")
