@@ -128,12 +128,14 @@ def op4(spark, sf_dir):
 
 @query("op5_sharding")
 def op5(spark, sf_dir):
-    """All documents on 16 shards, and where a 17th would take rows."""
+    """All documents on 16 shards, where a 17th would take rows, and where all 17 hold near equal bytes."""
     path = scratch_path(spark, "slot_map")
     shards.store_map(shards.first_map(spark, 16), path)
     shards.store_map(shards.grow(shards.load_map(spark, path, 1), 16), path)
     docs = table(spark, sf_dir, "documents")
-    return shards.assign(docs, shards.load_map(spark, path, 1), shards.load_map(spark, path, 2))
+    shards.store_map(shards.rebalance(shards.load_map(spark, path, 2), shards.slot_sizes(docs), 17), path)
+    first, grown, balanced = (shards.load_map(spark, path, version) for version in (1, 2, 3))
+    return shards.assign(docs, first, grown, balanced=balanced)
 
 
 @query("op6_language_id")

@@ -96,9 +96,10 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 
 def assign(
     docs: DataFrame, slot_map: DataFrame, grown: DataFrame | None = None, key: str = "doc_id", text: str = "text",
-    slots: int = SLOTS,
+    slots: int = SLOTS, balanced: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot``.
+    """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot``, and
+    ``balanced_shard`` if a map ``balanced`` is given.
 
     ``slot`` numbers the rows of a shard from 0 without a gap: rows are numbered inside their virtual slot, and the
     virtual slots of a shard are laid end to end, so no shard is ever sorted as a whole. A null text has size 1 and the
@@ -117,9 +118,13 @@ def assign(
         placed = placed.join(grown.select(F.col("slot").alias("virtual_slot"), F.col("shard").alias("grown_shard")), "virtual_slot")
     else:
         placed = placed.withColumn("grown_shard", F.lit(None).cast("int"))
+    if balanced is not None:
+        even = balanced.select(F.col("slot").alias("virtual_slot"), F.col("shard").alias("balanced_shard"))
+        placed = placed.join(even, "virtual_slot")
     inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))
     numbered = rows.withColumn("nth", inside)
     return numbered.join(F.broadcast(placed), "virtual_slot").select(  # one row per virtual slot
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("first") + F.col("nth") - 1).cast("bigint").alias("slot"), "grown_shard", "virtual_slot",
+        *(["balanced_shard"] if balanced is not None else []),
     )

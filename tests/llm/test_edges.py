@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from applause.llm import bpe, decontaminate, exact_dedup, language_id, lm_score, shards, simhash, substrings, token_counts, url_filter
+from applause.llm import bpe, decontaminate, exact_dedup, language_id, lm_score, queries, shards, simhash, substrings, token_counts, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -105,6 +105,20 @@ def test_slot_maps(spark, docs, tmp_path):
     assert even.first()["version"] == 2
 
 
+def test_sharding_applies_the_byte_aware_map(spark, tmp_path):
+    many = spark.range(4000).selectExpr("id doc_id", "repeat('x', cast(if(id % 97 = 0, 3000, id % 50) as int)) text")
+    many.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op5_sharding"](spark, str(tmp_path)).collect()
+    assert len(found) == 4000
+    slots, full = {}, [0] * 17
+    for r in found:
+        slots[r["virtual_slot"]] = slots.get(r["virtual_slot"], 0) + r["size"]
+        full[r["balanced_shard"]] += r["size"]
+    assert max(full) <= sum(full) / 17 + max(slots.values())
+    grown = [sum(r["size"] for r in found if r["grown_shard"] == k) for k in range(17)]
+    assert max(full) - min(full) < max(grown) - min(grown)
+
+
 def test_url_filter(spark):
     pages = spark.createDataFrame(
         [(1, "https://WWW.a.bad.org/x/y?z", "2024-03-01 00:00:00"), (2, "http://a.bad.org/x", "2024-01-31 23:59:59"),
