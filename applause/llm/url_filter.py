@@ -38,6 +38,11 @@ def patterns(url: Column, path_parts: int = 3) -> Column:
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, prefixes)))
 
 
+def depth_of(pattern: Column) -> Column:
+    """Parts of the path of a pattern."""
+    return F.size(F.filter(F.split(pattern, "/"), lambda x: x != "")) - 1
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """``pattern, valid_from, valid_to``: when each pattern was listed; ``valid_to`` is open (null) for the last.
 
@@ -55,12 +60,18 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def matches(captures: DataFrame, listed: DataFrame, url: str = "url", at: str = "fetched_at", key: str = "page_id",
-            path_parts: int = 3) -> DataFrame:
+            path_parts: int | None = None) -> DataFrame:
     """``page_id, pattern``: every listed pattern that names a capture and was active at its fetch time.
 
     ``listed`` are intervals that do not overlap for one pattern. Intervals are cut by month, and so are captures; an
-    open interval reaches the last capture. Captures without a host or a time match nothing.
+    open interval reaches the last capture. Captures without a host or a time match nothing. Without ``path_parts`` the
+    depth of the paths comes from the list; a listed pattern deeper than a given one is an error.
     """
+    if path_parts is None:
+        path_parts = listed.agg(F.max(depth_of(F.col("pattern")))).first()[0] or 0  # one number
+    else:
+        deeper = F.raise_error(F.concat(F.lit(f"deeper than path_parts={path_parts}: "), F.col("pattern"))).cast("string")
+        listed = listed.withColumn("pattern", F.when(depth_of(F.col("pattern")) > path_parts, deeper).otherwise(F.col("pattern")))
     month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
     wanted = captures.select(
         F.col(key).alias("page_id"), F.col(at).alias("_at"), F.explode(patterns(F.col(url), path_parts)).alias("pattern")
@@ -75,13 +86,13 @@ def matches(captures: DataFrame, listed: DataFrame, url: str = "url", at: str =
 
 
 def evaluate(captures: DataFrame, blocked: DataFrame, allowed: DataFrame | None = None, url: str = "url",
-             at: str = "fetched_at", key: str = "page_id", path_parts: int = 3) -> DataFrame:
+             at: str = "fetched_at", key: str = "page_id", path_parts: int | None = None) -> DataFrame:
     """One row per capture key: ``page_id, host, fetched_at, n_blocking, blocked_by, allowed_by, keep``.
 
     The longest active pattern decides (``blocked_by``, ``allowed_by``: the longest, then the first by name); an allow
     pattern at least as long as the longest block pattern lets a capture pass. A null URL or time, or a URL without a
     host, is named by no list and stays. Captures that repeat a key must be equal; they give one row, whose
-    ``n_blocking`` counts the patterns of every repetition.
+    ``n_blocking`` counts the patterns of every repetition. ``path_parts`` as in ``matches``.
     """
     hits = matches(captures, intervals(blocked), url, at, key, path_parts).withColumn("_block", F.lit(True))
     if allowed is not None:

@@ -142,6 +142,16 @@ def test_url_filter(spark):
     assert all(r["keep"] for r in url_filter.evaluate(pages, listed.limit(0)).collect())
 
 
+def test_url_filter_deep_patterns(spark):
+    pages = spark.sql("select 1 page_id, 'http://h.org/a/b/c/d/e' url, timestamp_ntz'2024-03-01 00:00:00' fetched_at")
+    listed = spark.sql("select 'h.org/a/b/c/d' pattern, 'add' action, timestamp_ntz'2024-01-01 00:00:00' at")
+    row = url_filter.evaluate(pages, listed).first()
+    assert row["blocked_by"] == "h.org/a/b/c/d" and not row["keep"]
+    assert url_filter.evaluate(pages, listed, path_parts=4).first()["blocked_by"] == "h.org/a/b/c/d"
+    with pytest.raises(Exception, match="deeper than path_parts=3"):
+        url_filter.evaluate(pages, listed, path_parts=3).collect()
+
+
 def brute_components(fps, distance):
     root = list(range(len(fps)))
     for i in range(len(fps)):
