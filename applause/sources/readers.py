@@ -157,9 +157,17 @@ def flatten_supplement(records: DataFrame) -> DataFrame:
     )
 
 
-def rows_to_comments(spark: SparkSession, rows: Sequence[dict[str, Any]], schema: str) -> DataFrame:
-    """In-memory comments -> table, by field name; absent fields are NULL. A ``published_at`` string becomes a timestamp."""
-    names = StructType.fromDDL(schema).names
+def rows_to_comments(spark: SparkSession, rows: DataFrame | Sequence[dict[str, Any]], schema: str) -> DataFrame:
+    """Comments, in memory or a table of structs -> table, by field name; absent fields are NULL.
+
+    A ``published_at`` string becomes a timestamp.
+    """
+    fields = StructType.fromDDL(schema)
+    if isinstance(rows, DataFrame):
+        return with_timestamp(rows.select(*(
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+        )))
+    names = fields.names
     df = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
     return with_timestamp(df)
 

@@ -249,11 +249,10 @@ def s13(spark, sf):
 
 @check("s14_rows_to_table", "SELECT n_nationkey AS comment_id, n_name AS text, TIMESTAMP '2024-01-02 03:04:05' AS published_at FROM nation")
 def s14(spark, sf):
-    """In-memory rows with their fields in any order."""
-    rows = [
-        {"text": r["n_name"], "published_at": "2024-01-02T03:04:05Z", "comment_id": r["n_nationkey"]}
-        for r in table(spark, sf, "nation").toLocalIterator()
-    ]
+    """Rows with their fields in any order."""
+    rows = table(spark, sf, "nation").select(
+        F.col("n_name").alias("text"), F.lit("2024-01-02T03:04:05Z").alias("published_at"), F.col("n_nationkey").alias("comment_id")
+    )
     typed = readers.rows_to_comments(spark, rows, "comment_id int, text string, published_at string")
     return typed.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 

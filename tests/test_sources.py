@@ -45,6 +45,13 @@ def test_in_memory_rows_go_by_name(spark):
     assert sorted(map(tuple, df.collect())) == [("a", "b"), ("c", None)]
 
 
+def test_rows_of_a_table_go_by_name(spark):
+    rows = spark.sql("SELECT 'b' AS text, '2024-01-02T03:04:05Z' AS published_at, 7 AS comment_id, 1 AS other")
+    df = readers.rows_to_comments(spark, rows, "comment_id string, text string, published_at string, author string")
+    assert df.columns == ["comment_id", "text", "published_at", "author"] and dict(df.dtypes)["published_at"] == "timestamp"
+    assert tuple(df.select("comment_id", "text", "author").first()) == ("7", "b", None) and df.first()["published_at"].hour == 3
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_cutoff_is_midnight_utc(spark, zone):
     kept = spark.conf.get("spark.sql.session.timeZone")
