@@ -153,18 +153,24 @@ class Model:
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text",
                   label: str = "lang") -> dict[str, list[bytes]]:
-    """At most ``per_language`` texts of each label, by the hash of the id; only these rows reach the driver."""
+    """At most ``per_language`` texts of each label, by the hash of the id; only these rows reach the driver.
+
+    Of rows that share id, label and text one counts; different texts of an id count each.
+    """
     named = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    ranked = named.select(F.col(key).alias("_id"), F.col(label).alias("_label"), F.xxhash64(key).alias("_hash"))
-    order = ["_hash", "_id"]
-    for part in (["_label", F.pmod("_hash", F.lit(SALTS))], ["_label"]):  # within parts of a label first, as labels are few
+    named = named.select(
+        F.col(key).alias("_id"), F.col(label).alias("_label"), F.xxhash64(text).alias("_text"), F.col(text).alias("_whole")
+    )
+    ranked = named.select("_id", "_label", "_text").distinct().withColumn("_hash", F.xxhash64("_id"))
+    order = ["_hash", "_id", "_text"]
+    for part in (["_label", F.pmod(F.xxhash64("_id", "_text"), F.lit(SALTS))], ["_label"]):  # within parts of a label first, as labels are few
         first = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
         ranked = ranked.withColumn("_nth", first).filter(F.col("_nth") <= per_language)
-    chosen = ranked.select("_id").distinct()
-    ids = [row[0] for row in chosen.collect()]  # bounded by per_language and the number of labels
+    chosen = ranked.select("_id", "_label", "_text")  # bounded by per_language and the number of labels
+    whole = named.join(F.broadcast(chosen), ["_id", "_label", "_text"])
     texts: dict[str, list[bytes]] = {}
-    for row in named.filter(F.col(key).isin(ids)).select(label, text, key).collect() if ids else []:
-        texts.setdefault(row[0], []).append(row[1].encode("utf-8", "surrogatepass"))
+    for row in whole.groupBy("_id", "_label", "_text").agg(F.first("_whole").alias("_whole")).collect():
+        texts.setdefault(row["_label"], []).append(row["_whole"].encode("utf-8", "surrogatepass"))
     return {lang: sorted(found) for lang, found in texts.items()}
 
 

@@ -391,6 +391,13 @@ def test_language(spark, docs):
     assert {r[0] for r in language_id.predict(docs, {}).select("lang_pred").collect()} == {"und"}
 
 
+def test_language_sample_of_repeated_ids(spark):
+    given = [(1, f"text {i}", "en") for i in range(50)] + [(1, "text 0", "en")] * 50 + [(2, "zwei", "de")] * 9 + [(1, "eins", "de")]
+    train = spark.createDataFrame(given, "doc_id bigint, text string, lang string").repartition(3)
+    texts = language_id.training_rows(train, 5)
+    assert len(texts["en"]) == len(set(texts["en"])) == 5 and texts["de"] == [b"eins", b"zwei"]
+
+
 def test_language_model_is_exact():
     texts = {"a": [b"abracadabra", b"abba"], "b": [b"banana bandana", b""]}
     model = language_id.Model(texts, 3)
