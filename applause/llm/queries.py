@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from applause.session import scratch_path
 
-from . import bpe, decontaminate, exact_dedup, language_id, lm_score, shards, simhash, substrings, token_counts, url_filter
+from . import (
+    bpe, decontaminate, exact_dedup, language_id, lm_score, periodic_runs, prefix_trie, quality, shards, simhash, substrings,
+    token_counts, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +181,69 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 def op10(spark, sf_dir):
     """Exact duplicates of all documents."""
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
+
+
+THRESHOLD = 0.3  # from this score on a document is predicted to have label 1
+
+
+@query("op11_quality")
+def op11(spark, sf_dir):
+    """Quality score of all documents; a fifth of the documents is held out of training."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    meta = ["n_chars"]
+    rows = quality.training_rows(docs.filter(~quality.held_out()), labels.filter(~quality.held_out()), metadata=meta)
+    scored = quality.score(docs, quality.fit(rows), metadata=meta)
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in one of ten documents, by checksum, the words from one place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.col("words")
+    n = F.size(words).cast("bigint")
+    a = F.col("a")
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), n - 1),
+        lambda i: F.element_at(words, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")),
+    )
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"))).alias("words"))
+    placed = split.withColumn("a", F.when(n > 0, g % n))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    """Periodic runs of words of all documents, and the texts without what repeats."""
+    rows = periodic_runs.find_runs(periodic(table(spark, sf_dir, "documents")))
+    runs = F.col("runs")
+    order = F.transform(runs, lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period")))
+    best = F.array_min(order)
+    spelt = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size(runs) > 0, F.concat(spelt, F.lit("\n"))).otherwise("")
+    return rows.withColumn("best", best).select(
+        "doc_id", F.size(runs).cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.n")).alias("length"),
+        F.col("best.period").alias("period"), F.floor(-1000 * F.col("best.n") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """``conv_id, turns``: the first turns of every twentieth conversation stand before the rest of those after it."""
+    c, own = F.col("conv_id"), F.col("turns")
+    h = (F.crc32(c.cast("string")) % 4).cast("int")
+    heads = sequences.filter(c % 20 == 0).select(c.alias("base"), F.slice(own, 1, 3).alias("head"))
+    joined = sequences.withColumn("base", c - c % 20).join(heads, "base", "left")
+    none = F.array().cast(sequences.schema["turns"].dataType)
+    lead = F.when(h > 0, F.slice(F.coalesce("head", none), F.lit(1), h)).otherwise(none)
+    rest = F.slice(own, h + 1, F.greatest(F.size(own) - h, F.lit(0)))
+    return joined.select("conv_id", F.concat(lead, rest).alias("turns"))
+
+
+@query("op13_prefix_trie")
+def op13(spark, sf_dir):
+    """The trie of the prefixes of all rebuilt conversations."""
+    return prefix_trie.build(rebuilt(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
