@@ -6,8 +6,9 @@ shorter, whose probabilities are then shared out among the bytes not yet exclude
 The statistics are frozen after training, so the code length of a text is exact and does not depend on the order in
 which texts are scored. The language with the shortest code wins.
 
-The model is fitted on a bounded sample: at most ``per_language`` labelled documents of each language, those with the
-smallest hash of their id. Prediction reads every whole text.
+The model is fitted on a bounded sample: at most ``per_language`` labelled documents and about ``sample_bytes`` bytes of
+each language, those with the smallest hash of their id. It is built once, on the driver, and travels as plain arrays;
+no worker builds it. Prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .packing import give_back, steps
 
 ORDER = 3
 PER_LANGUAGE = 400
+SAMPLE_BYTES = 4 << 20  # of a language's texts that the model is fitted on
+NODES_AT_ONCE = 512  # whose probabilities are worked out together, which bounds the memory of building
 LEAST = 2  # a context below the first order is kept if it was seen so often in some language
 SALTS = 64
 PIECE = 1 << 20  # bytes scored at a time
@@ -54,36 +57,50 @@ class Model:
         base = np.full(size, 1 / 256)
         base[0] = rare / 256  # the whole class; one byte of it costs the log of its number more
         self.rare_bits = np.float32(np.log2(rare)) if rare else np.float32(0)
-        probs = self.blend(np.stack([self.followed(coded[x], None, 1)[0] for x in self.languages], 1)[None], base[None, :, None].repeat(n, 2))
-        rows, steps = [probs[0][None]], []
+        bits = lambda probs: (-np.log2(probs)).astype(np.float32)
+        parents = self.blended([self.followed(coded[x], None, 1) for x in self.languages], base[None, :, None].repeat(n, 2), np.zeros(1, np.int64))
+        costs, steps = [bits(parents)], []
         nodes = {x: np.zeros(len(coded[x][0]), np.int64) for x in self.languages}  # of each position; -1: none
-        first, parents = 0, probs
+        first = 0
         for length in range(1, order + 1):
             level = len(parents)
-            counts = []
-            keys = {}
+            kept = np.zeros(level * size, bool)
             for x in self.languages:
-                data, real = coded[x]
-                older = np.concatenate([np.zeros(length, np.int64), data[:-length]])
-                keys[x] = np.where((nodes[x] >= 0) & real, nodes[x] * size + older, -1)
-                counts.append(np.bincount(keys[x][keys[x] >= 0], minlength=level * size))
-            kept = np.flatnonzero(np.max(counts, 0) >= (1 if length == 1 else LEAST)) if counts else np.zeros(0, np.int64)
+                keys = self.longer(coded[x], nodes[x], length)
+                kept |= np.bincount(keys[keys >= 0], minlength=level * size) >= (1 if length == 1 else LEAST)
+            kept = np.flatnonzero(kept)
             child = np.full(level * size, -1, np.int64)
             child[kept] = np.arange(len(kept))
             for x in self.languages:
-                nodes[x] = np.where(keys[x] >= 0, child[keys[x]], -1)
+                keys = self.longer(coded[x], nodes[x], length)
+                nodes[x] = np.where(keys >= 0, child[keys], -1)
             table = np.full((level, size), -1, np.int32)
             table.reshape(-1)[kept] = first + level + np.arange(len(kept))
             steps.append(table)
-            seen_here = np.stack([self.followed(coded[x], nodes[x], len(kept)) for x in self.languages], 2)
-            parents = self.blend(seen_here, parents[kept // size])
-            rows.append(parents)
+            parents = self.blended([self.followed(coded[x], nodes[x], len(kept)) for x in self.languages], parents, kept // size)
+            costs.append(bits(parents))
             first += level
         steps.append(np.full((len(parents), size), -1, np.int32))
         self.step = np.concatenate(steps)
-        self.cost = (-np.log2(np.concatenate(rows))).astype(np.float32)
+        self.cost = np.concatenate(costs)
         self.cost[:, 0, :] += self.rare_bits
 
+    def state(self) -> dict:
+        """Everything as plain values, which any worker can read."""
+        return vars(self)
+
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        own = cls.__new__(cls)
+        own.__dict__.update(state)
+        return own
+
+    def longer(self, coded: tuple[np.ndarray, np.ndarray], nodes: np.ndarray, length: int) -> np.ndarray:
+        """Context of each position with one (older) byte more, -1 where the shorter one is not kept."""
+        data, real = coded
+        older = np.concatenate([np.zeros(length, np.int64), data[:-length]])
+        return np.where((nodes >= 0) & real, nodes * self.width + older, -1)
+
     def padded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts, each after ``order`` padding bytes, and which bytes are text."""
         pad = PAD * self.order
@@ -99,7 +116,15 @@ class Model:
         data, real = coded
         here = real if nodes is None else real & (nodes >= 0)
         at = data[here] + (0 if nodes is None else nodes[here] * self.width)
-        return np.bincount(at, minlength=level * self.width).reshape(level, self.width).astype(np.float64)
+        return np.bincount(at, minlength=level * self.width).reshape(level, self.width)
+
+    def blended(self, counts: list[np.ndarray], shorter: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """``blend`` of the counts of each language and the rows of ``shorter`` that belong to them, some nodes at a time."""
+        out = np.empty((len(parent), self.width, len(counts)))
+        for i in range(0, len(parent), NODES_AT_ONCE):
+            part = slice(i, i + NODES_AT_ONCE)
+            out[part] = self.blend(np.stack([c[part] for c in counts], 2).astype(np.float64), shorter[parent[part]])
+        return out
 
     @staticmethod
     def blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -152,20 +177,23 @@ class Model:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text",
-                  label: str = "lang") -> dict[str, list[bytes]]:
+                  label: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
     """At most ``per_language`` texts of each label, by the hash of the id; only these rows reach the driver.
 
-    Of rows that share id, label and text one counts; different texts of an id count each.
+    Texts are taken as long as those before them have less than ``sample_bytes`` bytes, each of them whole. Of rows that
+    share id, label and text one counts; different texts of an id count each.
     """
     named = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     named = named.select(
         F.col(key).alias("_id"), F.col(label).alias("_label"), F.xxhash64(text).alias("_text"), F.col(text).alias("_whole")
     )
-    ranked = named.select("_id", "_label", "_text").distinct().withColumn("_hash", F.xxhash64("_id"))
+    ranked = named.select("_id", "_label", "_text", F.octet_length("_whole").alias("_size")).distinct().withColumn("_hash", F.xxhash64("_id"))
     order = ["_hash", "_id", "_text"]
     for part in (["_label", F.pmod(F.xxhash64("_id", "_text"), F.lit(SALTS))], ["_label"]):  # within parts of a label first, as labels are few
         first = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
         ranked = ranked.withColumn("_nth", first).filter(F.col("_nth") <= per_language)
+    before = F.sum("_size").over(Window.partitionBy("_label").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = ranked.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < sample_bytes)
     chosen = ranked.select("_id", "_label", "_text")  # bounded by per_language and the number of labels
     whole = named.join(F.broadcast(chosen), ["_id", "_label", "_text"])
     texts: dict[str, list[bytes]] = {}
@@ -187,6 +215,11 @@ def guesses(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
     return preds, scores
 
 
+def model_of(texts: dict[str, list[bytes]], order: int = ORDER) -> dict | None:
+    """The state of the model of some training rows; None if there are none."""
+    return Model(texts, order).state() if texts else None
+
+
 def predict(docs: DataFrame, texts: dict[str, list[bytes]], order: int = ORDER, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (columns of these names are replaced); only the text is looked at.
 
@@ -195,16 +228,14 @@ def predict(docs: DataFrame, texts: dict[str, list[bytes]], order: int = ORDER,
     """
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(texts)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(model_of(texts, order))  # bounded by the training sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
+        model = Model.of(shared.value) if shared.value else None
         for batch in steps(batches):
-            model = model or (Model(shared.value, order) if shared.value else None)
             preds, scores = guesses(model, batch.column(names.index(text)).to_pylist())
             columns = [*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
-        del model
         give_back()
 
     out = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
@@ -214,15 +245,13 @@ def predict(docs: DataFrame, texts: dict[str, list[bytes]], order: int = ORDER,
 def recognised(docs: DataFrame, texts: dict[str, list[bytes]], least: float = 0.5, order: int = ORDER, text: str = "text") -> DataFrame:
     """The rows of ``docs``, whatever their columns, whose text has a learned language with a score of at least ``least``."""
     at = docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(texts)
+    shared = docs.sparkSession.sparkContext.broadcast(model_of(texts, order))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
+        model = Model.of(shared.value) if shared.value else None
         for batch in steps(batches):
-            model = model or (Model(shared.value, order) if shared.value else None)
             preds, scores = guesses(model, batch.column(at).to_pylist())
             yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(preds, scores)], pa.bool_()))
-        del model
         give_back()
 
     return docs.mapInArrow(work, docs.schema)

@@ -292,10 +292,10 @@ def score(docs: DataFrame, machine: Machine | None, key: str = "doc_id", text: s
         F.array(*[F.col(n).cast("double") for n in metadata]).cast("array<double>").alias("meta"),
     )
     schema = StructType([rows.schema["doc_id"]]).add("score", DoubleType())
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(machine) if machine else None)  # plain values, which any worker can read
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, features = shared.value, None
+        own, features = Machine(**shared.value) if shared.value else None, None
         for batch, texts in stepped(batches):
             if own is None:
                 found = np.full(batch.num_rows, 0.5)

@@ -398,6 +398,28 @@ def test_language_sample_of_repeated_ids(spark):
     assert len(texts["en"]) == len(set(texts["en"])) == 5 and texts["de"] == [b"eins", b"zwei"]
 
 
+def test_language_sample_of_long_texts(spark):
+    given = [(i, f"{i} " + "long " * 300, "en") for i in range(30)] + [(50, "x " * 9000, "de"), (51, "kurz", "de")]
+    train = spark.createDataFrame(given, "doc_id bigint, text string, lang string").repartition(3)
+    texts = language_id.training_rows(train, sample_bytes=4000)
+    assert len(texts["en"]) == 3 and sum(map(len, texts["en"])) < 4000 + 1600 and 1 <= len(texts["de"]) <= 2
+    assert language_id.training_rows(train) == {lang: sorted(t.encode() for _, t, x in given if x == lang) for lang in ("de", "en")}
+
+
+def test_no_worker_builds_the_language_model(spark, monkeypatch):
+    """Workers get arrays: with no way to build a model left, they predict all the same."""
+    texts = {"en": [b"the cat sat on the mat"], "de": [b"die Katze lag auf dem Teppich"]}
+    state = language_id.model_of(texts)
+    assert all(isinstance(v, (int, list, np.ndarray, np.generic)) for v in state.values())
+    built = language_id.Model(texts)
+    monkeypatch.setattr(language_id, "model_of", lambda *_: state)
+    monkeypatch.setattr(language_id.Model, "__init__", None)
+    docs = spark.createDataFrame([(1, "the mat"), (2, "die Katze")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, texts).collect()} == {1: "en", 2: "de"}
+    assert language_id.recognised(docs, texts).count() == 2
+    assert np.array_equal(language_id.Model.of(state).cost, built.cost)
+
+
 def test_language_model_is_exact():
     texts = {"a": [b"abracadabra", b"abba"], "b": [b"banana bandana", b""]}
     model = language_id.Model(texts, 3)
