@@ -2,7 +2,10 @@
 
 Spark deals out the documents; inside a task DuckDB holds the merge table. Each distinct pre-token of the task is
 spelt as rows ``word, pos, tok, next`` and a recursive query contracts every word's leftmost pair of minimum rank, all
-words at a time, until no pair has a rank. Decoding joins id rows with the vocabulary and concatenates in order.
+words at a time, until no pair has a rank. That query keeps the rows of every step, so words are handed over in batches
+bounded by the sum of their squared lengths. Longer words go through a recursive query that keeps the last step of a
+word alone and contracts all places of its pair of minimum rank in one step, unless the token that this makes could start
+a pair of lower rank (then the leftmost alone). Decoding joins id rows with the vocabulary and concatenates in order.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .packing import give_back, steps
+from .packing import give_back, kept, steps
 
-WORDS_PER_QUERY = 20_000
+ROWS_PER_QUERY = 2_000_000  # token rows of all steps of a query
 IDS_PER_QUERY = 400_000
 DISTINCT_KEPT = 400_000  # pre-tokens remembered inside a task
-LONG_WORD = 128  # bytes; one row pass per contraction is quadratic in a word, so longer ones use a heap
+LONG_WORD = 128  # bytes; beyond it only the last step is kept
+HEAP_WORD = 1024  # bytes; a step passes over the whole word, so steps times rows grow too fast for words beyond it
 
 CONTRACT = """
 WITH RECURSIVE s(step, w, pos, tok, nxt) AS (
@@ -43,6 +47,38 @@ FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step)
 GROUP BY w
 """
 
+CONTRACT_LONG = """
+WITH RECURSIVE s(w, toks) USING KEY (w) AS (
+  SELECT w, toks FROM spelt
+  UNION
+  SELECT w, list(tok ORDER BY pos) AS toks
+  FROM (
+    SELECT w, pos, CASE WHEN met THEN merged ELSE tok END AS tok, lag(met, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
+    FROM (
+      SELECT w, pos, tok, merged, odd AND (alone OR pos = min(CASE WHEN odd THEN pos END) OVER (PARTITION BY w)) AS met
+      FROM (
+        SELECT w, pos, tok, merged, alone,  -- of pairs that overlap, as in a a a, every other one from the left
+               merged IS NOT NULL AND (pos - max(CASE WHEN merged IS NULL THEN pos END) OVER (PARTITION BY w ORDER BY pos)) % 2 = 1 AS odd
+        FROM (
+          SELECT w, pos, tok, alone, least, CASE WHEN merged = least THEN merged END AS merged
+          FROM (
+            SELECT w, pos, tok, merged, alone, min(merged) OVER (PARTITION BY w) AS least
+            FROM (
+              SELECT w, pos, tok, m.merged, m.alone
+              FROM (
+                SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt
+                FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM s)
+              ) LEFT JOIN merges m ON tok = m.l AND nxt = m.r
+              UNION ALL SELECT w, 0, NULL, NULL, NULL FROM s
+            )
+          ) WHERE least IS NOT NULL
+        )
+      )
+    ) WHERE pos > 0
+  ) WHERE NOT gone GROUP BY w)
+SELECT w, toks AS ids FROM s
+"""
+
 JOIN_UP = """
 SELECT i.doc, string_agg(v.piece, '' ORDER BY i.pos) AS pieces
 FROM ids i JOIN vocabulary v ON i.id = v.id GROUP BY i.doc
@@ -93,10 +129,16 @@ class Tokenizer:
             (ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         ]
         columns = list(zip(*pairs)) or [(), (), ()]
+        lowest: dict[int, int] = {}  # rank of the first pair that a token is a part of
+        for a, b, m in pairs:
+            lowest[a], lowest[b] = min(m, lowest.get(a, m)), min(m, lowest.get(b, m))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("l", "r", "merged"), columns)})
+        merges = pa.table({
+            **{n: pa.array(c, pa.int32()) for n, c in zip(("l", "r", "merged"), columns)},
+            "alone": pa.array([lowest.get(m, m) >= m for m in columns[2]], pa.bool_()),  # no pair that this makes comes before it
+        })
         vocabulary = pa.table({
-            "id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.hex() for t in ranks], pa.string()),
+            "id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string()),
         })
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -105,31 +147,45 @@ class Tokenizer:
         self.db.unregister("given")
 
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (not empty), by the recursive query."""
+        """Ids of each word (not empty), by the recursive queries."""
         out = [b""] * len(words)
-        for start in range(0, len(words), WORDS_PER_QUERY):
-            part = words[start : start + WORDS_PER_QUERY]
-            lens = np.array([len(w) for w in part])
-            ends = np.cumsum(lens)
-            tok = self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]
+        lens = np.array([len(w) for w in words], np.int64)
+        for many, longer in ((lens <= LONG_WORD, False), (lens > LONG_WORD, True)):
+            which = np.flatnonzero(many)
+            rows = np.cumsum(16 * lens[which] if longer else lens[which] * (lens[which] + 1) // 2 + 1)
+            for part in np.split(which, np.flatnonzero(np.diff(rows // ROWS_PER_QUERY)) + 1):
+                if len(part):
+                    for i, ids in zip(part.tolist(), self.contract_batch([words[i] for i in part.tolist()], longer)):
+                        out[i] = ids
+        return out
+
+    def contract_batch(self, words: list[bytes], longer: bool = False) -> list[bytes]:
+        lens = np.array([len(w) for w in words])
+        ends = np.cumsum(lens)
+        tok = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        numbers = np.arange(len(words), dtype=np.int32)
+        if longer:
+            edges = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            rows = pa.table({"w": numbers, "toks": pa.ListArray.from_arrays(edges, pa.array(tok))})
+        else:
             last = np.zeros(len(tok), bool)
             last[ends - 1] = True
-            columns = {
-                "w": np.repeat(np.arange(len(part), dtype=np.int32), lens),
+            rows = pa.table({
+                "w": np.repeat(numbers, lens),
                 "pos": np.arange(len(tok), dtype=np.int32) - np.repeat(ends - lens, lens).astype(np.int32),
                 "tok": tok,
                 "nxt": pa.array(np.roll(tok, -1), mask=last),
-            }
-            self.db.register("spelt", pa.table(columns))
-            found = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
-            ids = found.column("ids").combine_chunks()
-            flat, edges = ids.values.to_numpy().tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-            for i, a, z in zip(found.column("w").to_pylist(), edges, edges[1:]):
-                out[start + i] = flat[a:z]
+            })
+        self.db.register("spelt", rows)
+        found = self.db.sql(CONTRACT_LONG if longer else CONTRACT).to_arrow_table().combine_chunks()
+        out, ids = [b""] * len(words), found.column("ids").combine_chunks()
+        flat, edges = ids.values.to_numpy().tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+        for i, a, z in zip(found.column("w").to_pylist(), edges, edges[1:]):
+            out[i] = flat[a:z]
         return out
 
-    def contract_long(self, word: bytes) -> bytes:
-        """The same contraction of one long word with a heap of its pairs."""
+    def contract_heap(self, word: bytes) -> bytes:
+        """The same contraction of one very long word with a heap of its pairs."""
         ranks, parts = self.ranks, [word[i : i + 1] for i in range(len(word))]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
 
@@ -156,12 +212,17 @@ class Tokenizer:
         """Make the ids of pre-tokens known."""
         new = [p for p in pieces if p not in self.known]
         coded = [p.encode("utf-8", "surrogatepass") for p in new]
-        short = [i for i, c in enumerate(coded) if len(c) <= LONG_WORD]
-        for i, ids in zip(short, self.contract([coded[i] for i in short])):
+        within = [i for i, c in enumerate(coded) if len(c) <= HEAP_WORD]
+        for i, ids in zip(within, self.contract([coded[i] for i in within])):
             self.known[new[i]] = ids
         for p, c in zip(new, coded):
-            if len(c) > LONG_WORD:
-                self.known[p] = self.contract_long(c)
+            if len(c) > HEAP_WORD:
+                self.known[p] = self.contract_heap(c)
+
+    def forget(self) -> None:
+        """Let go of what was remembered; the merge table stays."""
+        for memory in (self.known, self.starts, self.cuts):
+            memory.clear()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, four bytes each; a null text is empty."""
@@ -200,15 +261,20 @@ class Tokenizer:
                 end += 1
             part = lists.slice(start, end - start)
             flat = part.flatten()
-            rows = pa.table({"doc": part.value_parent_indices(), "pos": pa.array(range(len(flat)), pa.int64()), "id": flat})
+            rows = pa.table({"doc": part.value_parent_indices(), "pos": np.arange(len(flat)), "id": flat})
             self.db.register("ids", rows)
             found = self.db.sql(JOIN_UP).to_arrow_table()
-            for i, hexed in zip(found.column("doc").to_pylist(), found.column("pieces").to_pylist()):
-                out[start + i] = bytes.fromhex(hexed)
+            for i, spelt in zip(found.column("doc").to_pylist(), found.column("pieces").to_pylist()):
+                out[start + i] = spelt.encode("latin-1")
             start = end
         return out
 
 
+def tokenizer(path: str, pattern: str) -> Tokenizer:
+    """The one of this worker process; reading the ranks takes longer than a small task."""
+    return kept(("tokenizer", path, pattern), lambda: Tokenizer(path, pattern))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids``: token ids of each whole text, each match of ``pattern`` contracted by itself, no special tokens.
 
@@ -218,11 +284,10 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder = tokenizer(path, pattern)
         for batch in steps(batches):
-            coder = coder or Tokenizer(path, pattern)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), coder.encoded(batch.column("text"))], ["doc_id", "ids"])
-        del coder
+        coder.forget()
         give_back()
 
     return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>")
@@ -234,14 +299,13 @@ def decode(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: s
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder = tokenizer(path, pattern)
         for batch in steps(batches):
-            coder = coder or Tokenizer(path, pattern)
             plain = coder.decode(batch.column("ids"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("ids"), pa.array(plain, pa.binary())], ["doc_id", "ids", "decoded"]
             )
-        del coder
+        coder.forget()
         give_back()
 
     return given.mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")
@@ -253,13 +317,12 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder = tokenizer(path, pattern)
         for batch in steps(batches):
-            coder = coder or Tokenizer(path, pattern)
             ids = coder.encoded(batch.column("text"))
             plain = pa.array(coder.decode(ids), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, plain], ["doc_id", "ids", "decoded"])
-        del coder
+        coder.forget()
         give_back()
 
     return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def kept(key: Hashable, make: Callable):
+    """One value for a worker process, which outlives the functions that travel to it for every task."""
+    shelf = vars(sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))).setdefault("values", {})
+    if key not in shelf:
+        shelf[key] = make()
+    return shelf[key]
+
+
 def squeezed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 

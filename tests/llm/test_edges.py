@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -228,7 +229,40 @@ def test_bpe_words():
     texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(400)] + ["a" * 1000, " " * 300, "é" * 400]
     assert [np.frombuffer(x, np.int32).tolist() for x in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
     words = [w.encode() for w in ("thththeer", "aaaaaaa", "tokenization", "x" * 90)]
-    assert [coder.contract_long(w) for w in words] == coder.contract(words)
+    words += [bytes(rng.choice(list(b"abcde"), n)) for n in (120, 128, 129, 300, 1000)] + [b"a" * n for n in range(126, 140)]
+    assert [coder.contract_heap(w) for w in words] == coder.contract(words)
+    assert [coder.contract_batch([w], longer=True)[0] for w in words] == coder.contract(words)
+
+
+@pytest.mark.parametrize("n, length", [(20_000, 40), (10_000, 60), (5_000, 100), (20, 1000), (1, 60_000)])
+def test_bpe_of_many_long_words(n, length):
+    """Texts whose steps together would not fit into the memory of a query."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    letters = np.random.default_rng(n).choice(list("abcdefghijklmnopqrstuvwxyz"), (n, length))
+    text = " ".join(map("".join, letters))
+    coder = bpe.Tokenizer(RANKS, PATTERN)
+    ids = coder.encoded(pa.array([text, None, "", text[:100]]))
+    assert ids[0].as_py() == library.encode_ordinary(text)
+    assert coder.decode(ids) == [text.encode(), b"", b"", text[:100].encode()]
+
+
+def test_bpe_where_a_contraction_makes_an_earlier_pair(tmp_path):
+    """Ranks in any order: after one contraction the pair beside it may come first."""
+    rng = np.random.default_rng(9)
+    for n in range(20):
+        tokens = sorted({bytes(rng.choice(list(b"abc"), rng.integers(2, 5))) for _ in range(40)})
+        tokens = [bytes([i]) for i in range(256)] + [tokens[i] for i in rng.permutation(len(tokens))]
+        path = tmp_path / f"{n}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+        coder = bpe.Tokenizer(str(path), PATTERN)
+        words = [bytes(rng.choice(list(b"abc"), rng.integers(1, 60))) for _ in range(60)]
+        heap = [coder.contract_heap(w) for w in words]
+        assert heap == coder.contract_batch(words) == coder.contract_batch(words, longer=True)
+
+
+def test_one_tokenizer_for_a_worker():
+    assert bpe.tokenizer(RANKS, PATTERN) is bpe.tokenizer(RANKS, PATTERN)
 
 
 def test_token_counts(docs):
