@@ -52,17 +52,17 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long), one row per row of ``docs``."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    """``doc_id, mark, fp`` (a hash of the text; the 64 bits as a signed long), one row per row of ``docs``."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             found = [simhash(shingle_hashes(t.as_py(), size)) for t in batch.column("text")]
             fps = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), fps], ["doc_id", "mark", "fp"])
 
-    return rows.mapInArrow(work, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(work, f"doc_id {kind}, mark bigint, fp bigint")
 
 
 def pieces(bits: list[int], distance: int) -> list[list[int]]:
@@ -184,7 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fp, fingerprint, component_id``.
+    """One row per row of ``docs``: ``doc_id, mark, fp, fingerprint, component_id``; ``mark`` is a hash of the text.
 
     ``fingerprint`` has 16 lowercase hex digits. ``component_id`` is the smallest ``doc_id`` that can be reached over
     links of at most ``distance`` bits, the document itself included; null only where a component has no id at all.
@@ -192,18 +192,24 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """
     rows = cut_lineage(fingerprints(docs, key, text, size))  # texts are read once
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), distance))
+    # every fingerprint makes many keys, so they are dealt out in a number that adaptive execution leaves alone
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = components(links(nodes.select("fp").repartition(n, "fp"), distance))
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "mark", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE,
                          distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id; all columns. Rows without an id stay."""
-    gone = cluster(docs, key, text, size, distance).filter("doc_id <> component_id").select(F.col("doc_id").alias(key))
-    return docs.join(gone.distinct(), key, "left_anti").select(docs.columns)
+    """The rows of ``docs`` without those whose own component has a smaller id; all columns. Rows without an id stay.
+
+    Rows that share an id are judged each by its own text.
+    """
+    gone = cluster(docs, key, text, size, distance).filter("doc_id <> component_id").select("doc_id", "mark").distinct().alias("gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("mark")).alias("rows")
+    return rows.join(gone, F.expr("rows.id = gone.doc_id and rows.mark = gone.mark"), "left_anti").select("row.*")
