@@ -1,9 +1,11 @@
 """Benchmark passages in documents, found with a bounded number of edits.
 
 Text is lower-cased and reduced to words joined by one space. A test item of ``m`` characters may differ in
-``m // CHARS_PER_EDIT`` edits. It is cut into one piece more than that, so any occurrence within the budget holds one
-piece unchanged. One automaton finds all pieces of a block of items in one pass over a text; around each hit, Myers'
-bit-parallel distance verifies the whole item. Items travel in blocks of bounded size, each with its own pass.
+``m // CHARS_PER_EDIT`` edits, from ``FLOOR_FROM`` characters on in enough to lose its longest word, as far as that is one
+edit in ``FLOOR_PER_EDIT`` characters. It is cut into one piece more than that, so any occurrence within the budget holds
+one piece unchanged. One automaton finds all pieces of a block of items in one pass over a text; around each hit, Myers'
+bit-parallel distance verifies the whole item. An item without edits must stand between word borders. Items travel in
+blocks of bounded size, each with its own pass.
 """
 
 from __future__ import annotations
@@ -13,11 +15,15 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructType
 
 from .packing import steps
 
 CHARS_PER_EDIT = 16
+FLOOR_FROM, FLOOR_PER_EDIT = 32, 10
 BLOCK_CHARS = 4_000_000  # characters of test items that are broadcast at a time
 WORD = re.compile(r"\w+")
 
@@ -27,7 +33,10 @@ def normalised(text: str) -> str:
 
 
 def budget(item: str, chars_per_edit: int = CHARS_PER_EDIT) -> int:
-    return len(item) // chars_per_edit
+    edits = len(item) // chars_per_edit
+    if len(item) < FLOOR_FROM:
+        return edits
+    return max(edits, min(max(map(len, item.split())) + 1, len(item) // FLOOR_PER_EDIT))
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -72,7 +81,7 @@ class Matcher:
             for i, c in enumerate(clean):
                 masks[c] = masks.get(c, 0) | 1 << i
             edits = budget(clean, chars_per_edit)
-            for offset, piece in pieces(clean, edits):
+            for offset, piece in pieces(clean, edits) if edits else [(0, f" {clean} ")]:
                 parts.setdefault(piece, []).append((len(self.items), offset))
             self.items.append((item_id, len(clean), edits, masks))
         for piece, uses in parts.items():
@@ -86,9 +95,14 @@ class Matcher:
             return []
         clean = normalised(text)
         spans: dict[int, list[list[int]]] = {}
-        for last, (length, uses) in self.found.iter(clean):
+        exact: dict[int, int] = {}  # first end of items without edits
+        for last, (length, uses) in self.found.iter(f" {clean} "):
+            last -= 1  # as a place in ``clean``
             for which, offset in uses:
                 _, m, edits, _ = self.items[which]
+                if not edits:
+                    exact.setdefault(which, last)
+                    continue
                 start = last + 1 - length - offset - edits
                 end = start + m + 2 * edits
                 of = spans.setdefault(which, [])
@@ -96,7 +110,7 @@ class Matcher:
                     of[-1][1] = max(of[-1][1], end)
                 else:
                     of.append([start, end])
-        out = []
+        out = [(self.items[which][0], 0, end - self.items[which][1], end) for which, end in exact.items()]
         for which, windows in spans.items():
             item_id, m, edits, masks = self.items[which]
             best = None
@@ -125,17 +139,14 @@ def find(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_
     wordless texts and items match nothing; items with equal texts are each reported, and so are repeated documents.
     A document in which several places are equally near reports the first. Without items or documents there are no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
     items = benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).filter("text is not null").distinct()
-    kinds = (rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, span_start int, span_end int"
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = total // BLOCK_CHARS + 1
+    schema = StructType([rows.schema["doc_id"], items.schema["item_id"]])
+    for name in ("edits", "span_start", "span_end"):
+        schema = schema.add(name, IntegerType())
+    kind = to_arrow_type(items.schema["item_id"].dataType)
     out = None
-    for number in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number)
-        block = spark.sparkContext.broadcast([tuple(x) for x in part.collect()])  # about BLOCK_CHARS characters
+    for block in blocks(items):
 
         def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block.value, chars_per_edit)
@@ -145,7 +156,7 @@ def find(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_
                 found = [(i, *hit) for i, t in enumerate(batch.column("text").to_pylist()) for hit in matcher.hits(t)]
                 at, ids, edits, starts, ends = zip(*found) if found else ((),) * 5
                 kept = pa.RecordBatch.from_arrays(
-                    [docs_of.take(pa.array(at, pa.int64())), pa.array(ids, kind(kinds[1])), *(pa.array(x, pa.int32()) for x in (edits, starts, ends))],
+                    [docs_of.take(pa.array(at, pa.int64())), pa.array(ids, kind), *(pa.array(x, pa.int32()) for x in (edits, starts, ends))],
                     ["doc_id", "item_id", "edits", "span_start", "span_end"],
                 )
                 yield kept
@@ -155,12 +166,29 @@ def find(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_
     return out
 
 
-def kind(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+def blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """The items (``item_id, text``) in parts of about ``BLOCK_CHARS`` characters, each broadcast."""
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = total // BLOCK_CHARS + 1
+    for number in range(n):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == number)
+        yield items.sparkSession.sparkContext.broadcast([tuple(x) for x in part.collect()])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, text: str = "text",
+                      item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns.
+
+    Each row is judged by its own text, whatever its id. Null and wordless texts hold no item.
+    """
+    at = docs.columns.index(text)
+    items = benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).filter("text is not null").distinct()
+    for block in blocks(items):
 
+        def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block.value, chars_per_edit)
+            for batch in steps(batches, 1024):
+                yield batch.filter(pa.array([not (t and matcher.hits(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, key: str = "doc_id",
-                      text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item was found, with all their columns. Rows without an id stay."""
-    hit = find(docs, benchmark, chars_per_edit, key, text).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(hit, key, "left_anti").select(docs.columns)
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
