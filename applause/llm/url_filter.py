@@ -38,6 +38,14 @@ def patterns(url: Column, path_parts: int = 3) -> Column:
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, prefixes)))
 
 
+def spelt(pattern: Column) -> Column:
+    """A listed pattern as ``patterns`` spells it: without scheme, user, port, ``www.`` and slashes too many; null without a host."""
+    bare = F.regexp_replace(F.trim(pattern), r"(?i)^([a-z][a-z0-9+.-]*:)?//", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.|\.$", "")
+    parts = F.filter(F.split(F.regexp_extract(bare, r"^[^/?#]*(/[^?#]*)", 1), "/"), lambda x: x != "")
+    return F.when(host != "", F.array_join(F.concat(F.array(host), parts), "/"))
+
+
 def depth_of(pattern: Column) -> Column:
     """Parts of the path of a pattern."""
     return F.size(F.filter(F.split(pattern, "/"), lambda x: x != "")) - 1
@@ -47,9 +55,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     """``pattern, valid_from, valid_to``: when each pattern was listed; ``valid_to`` is open (null) for the last.
 
     ``entries`` has ``pattern, action`` (``add`` or ``remove``) and ``at``. Of several entries of a pattern at one time a
-    removal counts. Repeated adds extend the interval; entries with a null in any column are left out.
+    removal counts. Repeated adds extend the interval; entries with a null in any column or without a host are left out.
+    Patterns are hosts or hosts with leading parts of a path, spelt in any way that a URL may be.
     """
-    clean = entries.select("pattern", "action", "at").filter(
+    clean = entries.select(spelt(F.col("pattern")).alias("pattern"), "action", "at").filter(
         "pattern is not null and at is not null and action in ('add', 'remove')"
     )
     states = clean.groupBy("pattern", "at").agg(F.min((F.col("action") == "add").cast("int")).alias("listed"))
@@ -61,7 +70,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def matches(captures: DataFrame, listed: DataFrame, url: str = "url", at: str = "fetched_at", key: str = "page_id",
             path_parts: int | None = None) -> DataFrame:
-    """``page_id, pattern``: every listed pattern that names a capture and was active at its fetch time.
+    """``page_id, mark, at, pattern``: every listed pattern that names a capture and was active at its fetch time.
+
+    ``mark`` is a hash of the URL; with the id and the time it tells captures apart. Repeated captures give repeated rows.
 
     ``listed`` are intervals that do not overlap for one pattern. Intervals are cut by month, and so are captures; an
     open interval reaches the last capture. Captures without a host or a time match nothing. Without ``path_parts`` the
@@ -74,7 +85,8 @@ def matches(captures: DataFrame, listed: DataFrame, url: str = "url", at: str =
         listed = listed.withColumn("pattern", F.when(depth_of(F.col("pattern")) > path_parts, deeper).otherwise(F.col("pattern")))
     month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
     wanted = captures.select(
-        F.col(key).alias("page_id"), F.col(at).alias("_at"), F.explode(patterns(F.col(url), path_parts)).alias("pattern")
+        F.col(key).alias("page_id"), F.xxhash64(url).alias("mark"), F.col(at).alias("_at"),
+        F.explode(patterns(F.col(url), path_parts)).alias("pattern"),
     ).filter("_at is not null").withColumn("_month", month(F.col("_at")))
     last = captures.agg(F.max(month(F.col(at)))).first()[0] or 0  # one number
     until = F.least(F.coalesce(month(F.col("valid_to")), F.lit(last)), F.lit(last))
@@ -82,17 +94,17 @@ def matches(captures: DataFrame, listed: DataFrame, url: str = "url", at: str =
         "pattern", "valid_from", "valid_to", F.explode(F.sequence(month(F.col("valid_from")), until)).alias("_month")
     )
     active = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
-    return wanted.join(cut, ["pattern", "_month"]).filter(active).select("page_id", "pattern")
+    return wanted.join(cut, ["pattern", "_month"]).filter(active).select("page_id", "mark", F.col("_at").alias("at"), "pattern")
 
 
 def evaluate(captures: DataFrame, blocked: DataFrame, allowed: DataFrame | None = None, url: str = "url",
              at: str = "fetched_at", key: str = "page_id", path_parts: int | None = None) -> DataFrame:
-    """One row per capture key: ``page_id, host, fetched_at, n_blocking, blocked_by, allowed_by, keep``.
+    """One row per row of ``captures``: ``page_id, host, fetched_at, n_blocking, blocked_by, allowed_by, keep``.
 
     The longest active pattern decides (``blocked_by``, ``allowed_by``: the longest, then the first by name); an allow
     pattern at least as long as the longest block pattern lets a capture pass. A null URL or time, or a URL without a
-    host, is named by no list and stays. Captures that repeat a key must be equal; they give one row, whose
-    ``n_blocking`` counts the patterns of every repetition. ``path_parts`` as in ``matches``.
+    host, is named by no list and stays. Captures may share an id, or have none: each is judged by its own URL and time.
+    ``path_parts`` as in ``matches``.
     """
     hits = matches(captures, intervals(blocked), url, at, key, path_parts).withColumn("_block", F.lit(True))
     if allowed is not None:
@@ -100,23 +112,21 @@ def evaluate(captures: DataFrame, blocked: DataFrame, allowed: DataFrame | None
             matches(captures, intervals(allowed), url, at, key, path_parts).withColumn("_block", F.lit(False))
         )
     rows = captures.select(
-        F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), F.col(at).alias("fetched_at"),
-        F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("boolean").alias("_block"),
-    )
-    named = hits.select(
-        "page_id", F.lit(None).cast("string").alias("host"), F.lit(None).cast(captures.schema[at].dataType).alias("fetched_at"),
-        "pattern", "_block",
+        F.col(key).alias("page_id"), F.xxhash64(url).alias("mark"), F.col(at).alias("at"), host_of(F.col(url)).alias("host"),
+        F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("boolean").alias("_block"), F.lit(1).alias("_times"),
     )
+    named = hits.select("page_id", "mark", "at", F.lit(None).cast("string").alias("host"), "pattern", "_block", F.lit(0).alias("_times"))
 
     def longest(of):
         return F.min(F.when(of, F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("p"))))
 
-    both = rows.unionByName(named).groupBy("page_id").agg(
-        F.max("host").alias("host"), F.max("fetched_at").alias("fetched_at"),
-        F.count_if(F.col("_block")).alias("n_blocking"),
+    both = rows.unionByName(named).groupBy("page_id", "mark", "at").agg(
+        F.max("host").alias("host"), F.sum("_times").alias("times"), F.count_if(F.col("_block")).alias("hits"),
         longest(F.col("_block")).alias("b"), longest(~F.col("_block")).alias("a"),
     )
-    return both.select(
-        "page_id", "host", "fetched_at", "n_blocking", F.col("b.p").alias("blocked_by"), F.col("a.p").alias("allowed_by"),
-        (F.col("b").isNull() | (F.coalesce(F.col("a.n") <= F.col("b.n"), F.lit(False)))).alias("keep"),
+    decided = both.select(
+        "page_id", "host", F.col("at").alias("fetched_at"), F.expr("hits div times").alias("n_blocking"),
+        F.col("b.p").alias("blocked_by"), F.col("a.p").alias("allowed_by"),
+        (F.col("b").isNull() | (F.coalesce(F.col("a.n") <= F.col("b.n"), F.lit(False)))).alias("keep"), "times",
     )
+    return decided.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
