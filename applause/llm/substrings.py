@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from .packing import give_back, packed, restored, unpacked
 
@@ -322,10 +323,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     ``spans`` are the maximal removed byte ranges (``start``, ``end``) and ``kept`` is what remains. A byte goes if it
     lies in a string of ``length`` bytes that also starts in a row with a smaller ``doc_id``; strings are judged on the
     input. Matches never cross documents. Null texts are empty. Rows without an id come after all others and take
-    nothing from each other; nor do repeated rows of one id. ``length`` must be at least ``GRAM``.
+    nothing from each other; nor do repeated rows of one id. ``length`` must be at least ``GRAM``, and ids whole numbers
+    of any width: other types have no order that the transform could carry, and are refused.
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{key} is {kind.simpleString()}; number the documents with whole numbers first")
     n_blocks = docs.count() // docs_per_block + 1
     buckets = n_blocks // BLOCKS_PER_BUCKET + 8
     rows = docs.select(
@@ -445,4 +450,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     judged = met.groupBy("bucket").applyInArrow(judge, reply)
     return by_block.cogroup(shared.unionByName(judged).groupBy("block")).applyInArrow(
         cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    )
+    ).withColumn("doc_id", F.col("doc_id").cast(kind))

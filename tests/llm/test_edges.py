@@ -134,15 +134,38 @@ def test_url_filter(spark):
     listed = spark.createDataFrame(entries, "pattern string, action string, t string").selectExpr(
         "pattern", "action", "cast(t as timestamp_ntz) at")
     allow = listed.filter("pattern = 'bad.org/ok'")
-    found = {r["page_id"]: r for r in url_filter.evaluate(pages, listed, allow).collect()}
-    assert len(found) == 8
+    every = url_filter.evaluate(pages, listed, allow).collect()
+    found = {r["page_id"]: r for r in every}
+    assert len(every) == 9 and len(found) == 8
     assert {k for k, r in found.items() if not r["keep"]} == {1, None}
     assert found[1]["blocked_by"] == "bad.org" and found[1]["host"] == "a.bad.org"
-    assert found[6]["n_blocking"] == 2 * 2 and found[6]["allowed_by"] == "bad.org/ok" and found[6]["keep"]
+    assert [r["n_blocking"] for r in every if r["page_id"] == 6] == [2, 2] and found[6]["allowed_by"] == "bad.org/ok" and found[6]["keep"]
     assert got(url_filter.evaluate(pages.limit(0), listed, allow)) == []
     assert all(r["keep"] for r in url_filter.evaluate(pages, listed.limit(0)).collect())
 
 
+def test_url_filter_judges_each_capture(spark):
+    """Captures that share an id, or have none, keep their own URL, time and decision."""
+    rows = [(None, "http://bad.com/x", "2024-03-01"), (None, "http://ok.com/x", "2024-03-01"), (1, "http://bad.com/", "2023-12-31"),
+            (1, "http://bad.com/", "2024-02-01"), (1, "http://bad.com/", None), (1, None, "2024-02-01"), (1, None, "2024-02-01")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, t string").selectExpr("page_id", "url", "cast(t as timestamp_ntz) fetched_at")
+    listed = spark.sql("select 'bad.com' pattern, 'add' action, timestamp_ntz'2024-01-01 00:00:00' at")
+    found = [(r["page_id"], r["host"], str(r["fetched_at"])[:10], r["keep"]) for r in url_filter.evaluate(pages, listed).collect()]
+    assert order(found) == order([
+        (None, "bad.com", "2024-03-01", False), (None, "ok.com", "2024-03-01", True), (1, "bad.com", "2023-12-31", True),
+        (1, "bad.com", "2024-02-01", False), (1, "bad.com", "None", True), (1, None, "2024-02-01", True), (1, None, "2024-02-01", True),
+    ])
+
+
+@pytest.mark.parametrize("pattern", ["WWW.Ok.com", "ok.com/y/", "http://ok.com", " //ok.com/y ", "ok.com:80", "https://u@www.OK.com.//y?q#z"])
+def test_url_filter_list_spelling(spark, pattern):
+    pages = spark.sql("select 1 page_id, 'http://www.ok.com/y/z' url, timestamp_ntz'2024-03-01 00:00:00' fetched_at")
+    listed = spark.createDataFrame([(pattern,), ("/only/a/path",), ("",)], "pattern string").selectExpr(
+        "pattern", "'add' action", "timestamp_ntz'2024-01-01 00:00:00' at")
+    row = url_filter.evaluate(pages, listed).first()
+    assert not row["keep"] and row["blocked_by"] in ("ok.com", "ok.com/y") and row["n_blocking"] == 1
+
+
 def test_url_filter_deep_patterns(spark):
     pages = spark.sql("select 1 page_id, 'http://h.org/a/b/c/d/e' url, timestamp_ntz'2024-03-01 00:00:00' fetched_at")
     listed = spark.sql("select 'h.org/a/b/c/d' pattern, 'add' action, timestamp_ntz'2024-01-01 00:00:00' at")
@@ -185,6 +208,13 @@ def test_simhash_rows(docs):
     assert {r["doc_id"] for r in left.collect()} == ids
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are judged by their own text."""
+    rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "wholly other words that nobody else has"), (None, "a b c d e"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert order(got(simhash.drop_near_duplicates(docs))) == order([rows[0], *rows[2:]])
+
+
 @pytest.mark.parametrize("limit", [1 << 14, 1])
 def test_simhash_links(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "HOT_PAIRS", limit)  # 1: every key with a pair is keyed once more
@@ -378,6 +408,52 @@ def test_decontamination(spark, docs):
     assert left.columns == docs.columns and left.count() == docs.count()
 
 
+def test_decontamination_of_repeated_and_missing_ids(spark):
+    item = "a passage of the benchmark that no document should hold"
+    rows = [(7, "x " + item), (7, "clean"), (None, item), (None, "clean too"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert order(got(decontaminate.drop_contaminated(docs, items))) == order([rows[1], *rows[3:]])
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "string", "decimal(9,0)", "double", "date"])
+def test_decontamination_with_any_id_type(spark, kind):
+    item = "a passage of the benchmark that no document should hold"
+    value = "date'2024-01-01'" if kind == "date" else f"cast(3 as {kind})"
+    docs = spark.sql(f"select {value} doc_id, 'x {item} y' text")
+    items = spark.sql(f"select {value} item_id, '{item}' text")
+    found = decontaminate.find(docs, items)
+    row = found.first()
+    assert found.schema["item_id"].dataType.simpleString() == kind and row["item_id"] == row["doc_id"] and row["edits"] == 0
+
+
+def test_short_items_stand_alone(spark):
+    items = [(1, "he"), (2, "zz top"), (3, "é")]
+    matcher = decontaminate.Matcher(items)
+    hits = lambda t: [(h[0], t_of(t)[h[2] : h[3]]) for h in matcher.hits(t)]
+    t_of = decontaminate.normalised
+    assert hits("the puzzle: there, zz topping, éa") == []
+    assert hits("so he said; ZZ  top!") == [(1, "he"), (2, "zz top")] and hits("é") == [(3, "é")] and hits("he he") == [(1, "he")]
+
+
+def test_an_item_without_its_longest_word():
+    item = "why would an unusually known committee meet in the small town by the lake at night, and for what good"
+    for gone in ("unusually ", "committee ", "town "):
+        assert decontaminate.Matcher([(1, item)]).hits("Intro " + item.replace(gone, "") + " and so on")
+    assert not decontaminate.Matcher([(1, item)]).hits("why would an old man meet by the lake at night, he said, and for what reason in the town")
+    assert decontaminate.budget("x" * 31) == 1 and decontaminate.budget("") == 0
+
+
+def test_suffix_dedup_id_types(spark):
+    base = spark.range(3).selectExpr("id", "repeat('abc ', 30) text")
+    for kind in ("tinyint", "smallint", "int"):
+        found = substrings.remove_repeats(base.selectExpr(f"cast(id as {kind}) doc_id", "text"))
+        assert found.schema["doc_id"].dataType.simpleString() == kind
+        assert sorted((r["doc_id"], len(r["kept"])) for r in found.collect()) == [(0, 120), (1, 0), (2, 0)]
+    with pytest.raises(TypeError, match="doc_id is string"):
+        substrings.remove_repeats(base.selectExpr("cast(id as string) doc_id", "text"))
+
+
 def test_myers_and_pieces():
     rng = np.random.default_rng(4)
     for _ in range(300):
