@@ -11,9 +11,10 @@ a pair of lower rank (then the leftmost alone). Decoding joins id rows with the
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -25,7 +26,8 @@ from .packing import give_back, kept, steps
 
 ROWS_PER_QUERY = 2_000_000  # token rows of all steps of a query
 IDS_PER_QUERY = 400_000
-DISTINCT_KEPT = 400_000  # pre-tokens remembered inside a task
+DISTINCT_KEPT = 300_000  # pre-tokens remembered inside a task
+ROWS_PER_STEP = 512  # a query costs the same for few words, so many rows share one
 LONG_WORD = 128  # bytes; beyond it only the last step is kept
 HEAP_WORD = 1024  # bytes; a step passes over the whole word, so steps times rows grow too fast for words beyond it
 
@@ -132,7 +134,6 @@ class Tokenizer:
         lowest: dict[int, int] = {}  # rank of the first pair that a token is a part of
         for a, b, m in pairs:
             lowest[a], lowest[b] = min(m, lowest.get(a, m)), min(m, lowest.get(b, m))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         merges = pa.table({
             **{n: pa.array(c, pa.int32()) for n, c in zip(("l", "r", "merged"), columns)},
             "alone": pa.array([lowest.get(m, m) >= m for m in columns[2]], pa.bool_()),  # no pair that this makes comes before it
@@ -140,11 +141,16 @@ class Tokenizer:
         vocabulary = pa.table({
             "id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string()),
         })
-        self.db.register("given", merges)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.db.register("given", vocabulary)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.db.unregister("given")
+        self.tables = {"merges": merges, "vocabulary": vocabulary}
+
+    @functools.cached_property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        for name, rows in self.tables.items():
+            db.register("given", rows)
+            db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+        db.unregister("given")
+        return db
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (not empty), by the recursive queries."""
@@ -208,21 +214,25 @@ class Tokenizer:
                     heapq.heappush(heap, (r, k))
         return np.array([ranks[p] for p in parts if p is not None], np.int32).tobytes()
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Make the ids of pre-tokens known."""
-        new = [p for p in pieces if p not in self.known]
-        coded = [p.encode("utf-8", "surrogatepass") for p in new]
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens."""
+        coded = [p.encode("utf-8", "surrogatepass") for p in pieces]
         within = [i for i, c in enumerate(coded) if len(c) <= HEAP_WORD]
+        out = [b""] * len(coded)
         for i, ids in zip(within, self.contract([coded[i] for i in within])):
-            self.known[new[i]] = ids
-        for p, c in zip(new, coded):
+            out[i] = ids
+        for i, c in enumerate(coded):
             if len(c) > HEAP_WORD:
-                self.known[p] = self.contract_heap(c)
+                out[i] = self.contract_heap(c)
+        return out
 
     def forget(self) -> None:
-        """Let go of what was remembered; the merge table stays."""
+        """Let go of what was remembered and of the database's memory; the merge table stays."""
         for memory in (self.known, self.starts, self.cuts):
             memory.clear()
+        if "db" in vars(self):
+            self.db.close()
+            del self.db
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, four bytes each; a null text is empty."""
@@ -233,11 +243,15 @@ class Tokenizer:
         cut = [split.cuts(t) if t else [] for t in texts]
         whole = {i: split.whole(texts[i]) for i, cuts in enumerate(cut) if cuts is None}
         first = {c[0]: split.pieces(c[0], True) for c in cut if c and c[0] not in starts}
-        later = {x: split.pieces(x, False) for c in cut if c for x in set(c[1:]).difference(others)}
-        self.learn({p for pieces in (*first.values(), *later.values(), *whole.values()) for p in pieces})
+        new = {x for c in cut if c for x in set(c[1:]).difference(others)}
+        plain = [x for x in new if x.isalpha()]  # one pre-token each, remembered as a cut alone
+        mixed = {x: split.pieces(x, False) for x in new.difference(plain)}
+        others.update(zip(plain, self.ids_of([" " + x for x in plain])))
         known = self.known
-        starts.update((c, b"".join([known[p] for p in pieces])) for c, pieces in first.items())
-        others.update((c, b"".join([known[p] for p in pieces])) for c, pieces in later.items())
+        pieces = {p for own in (*first.values(), *mixed.values(), *whole.values()) for p in own}.difference(known)
+        known.update(zip(pieces, self.ids_of(list(pieces))))
+        starts.update((c, b"".join([known[p] for p in own])) for c, own in first.items())
+        others.update((c, b"".join([known[p] for p in own])) for c, own in mixed.items())
         return [
             b"".join([known[p] for p in whole[n]]) if c is None else starts[c[0]] + b"".join(map(others.__getitem__, c[1:])) if c else b""
             for n, c in enumerate(cut)
@@ -285,7 +299,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path, pattern)
-        for batch in steps(batches):
+        for batch in steps(batches, ROWS_PER_STEP):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), coder.encoded(batch.column("text"))], ["doc_id", "ids"])
         coder.forget()
         give_back()
@@ -318,7 +332,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path, pattern)
-        for batch in steps(batches):
+        for batch in steps(batches, ROWS_PER_STEP):
             ids = coder.encoded(batch.column("text"))
             plain = pa.array(coder.decode(ids), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, plain], ["doc_id", "ids", "decoded"])

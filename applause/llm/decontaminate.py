@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, StructType
 
-from .packing import steps
+from .packing import give_back, steps
 
 CHARS_PER_EDIT = 16
 FLOOR_FROM, FLOOR_PER_EDIT = 32, 10
@@ -151,7 +151,7 @@ def find(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_
         def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block.value, chars_per_edit)
             kept = None
-            for batch in steps(batches, 1024):
+            for batch in steps(batches):
                 docs_of = batch.column("doc_id")
                 found = [(i, *hit) for i, t in enumerate(batch.column("text").to_pylist()) for hit in matcher.hits(t)]
                 at, ids, edits, starts, ends = zip(*found) if found else ((),) * 5
@@ -160,6 +160,7 @@ def find(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_
                     ["doc_id", "item_id", "edits", "span_start", "span_end"],
                 )
                 yield kept
+            give_back()
 
         found = rows.mapInArrow(work, schema)
         out = found if out is None else out.unionByName(found)
@@ -187,8 +188,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int
 
         def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block.value, chars_per_edit)
-            for batch in steps(batches, 1024):
+            for batch in steps(batches):
                 yield batch.filter(pa.array([not (t and matcher.hits(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(work, docs.schema)
     return docs

@@ -29,7 +29,7 @@ SAMPLE_BYTES = 4 << 20  # of a language's texts that the model is fitted on
 NODES_AT_ONCE = 512  # whose probabilities are worked out together, which bounds the memory of building
 LEAST = 2  # a context below the first order is kept if it was seen so often in some language
 SALTS = 64
-PIECE = 1 << 20  # bytes scored at a time
+PIECE = 1 << 18  # bytes scored at a time
 UNKNOWN = "und"
 PAD = b"\n"
 LETTER = regex.compile(r"\p{L}")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from applause.session import cut_lineage, release
 
-from .packing import steps
+from .packing import give_back, steps
 
 SHINGLE, DISTANCE = 3, 3
 HOT_PAIRS = 1 << 14  # keys whose two sides would make more pairs are keyed once more
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             found = [simhash(shingle_hashes(t.as_py(), size)) for t in batch.column("text")]
             fps = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), fps], ["doc_id", "mark", "fp"])
+        give_back()
 
     return rows.mapInArrow(work, f"doc_id {kind}, mark bigint, fp bigint")
 
