@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from applause.functions import lexicon
-from applause.operators import movie_stats, summaries, themes
+from applause.operators import movie_stats, similarity, summaries, themes
 from applause.plans import integrated
 
 from .base import STOPS, c_clean, c_talk, c_text, check, listed, m_text, quoted, r
@@ -369,6 +369,47 @@ def j12(spark, sf):
     return sums.withColumn("degree", r("degree", 8))
 
 
+SIMILAR = f"""
+    bag AS (SELECT g, comment_id, pos, list(term ORDER BY term) AS words FROM stok WHERE term NOT IN ({listed(STOPS)}) GROUP BY ALL),
+    class AS MATERIALIZED (SELECT g, comment_id, pos, first(comment_id) OVER same AS head, first(pos) OVER same AS head_pos,
+              count(*) OVER (PARTITION BY g, words) AS copies
+              FROM bag WINDOW same AS (PARTITION BY g, words ORDER BY comment_id, pos)),
+    head AS (SELECT * FROM class WHERE comment_id = head AND pos = head_pos),
+    hw AS MATERIALIZED (SELECT sw.* FROM sw JOIN head USING (g, comment_id, pos)),
+    dots AS (SELECT a.g, a.comment_id AS a_key, a.pos AS a_pos, b.comment_id AS b_key, b.pos AS b_pos, round(sum(a.w * b.w), 9) AS cosine
+             FROM hw a JOIN hw b ON a.g = b.g AND a.term = b.term AND (a.comment_id, a.pos) < (b.comment_id, b.pos)
+             GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.5),
+    pairs AS MATERIALIZED (SELECT dots.*, x.copies AS a_copies, y.copies AS b_copies FROM dots
+              JOIN head x ON x.g = dots.g AND x.comment_id = a_key AND x.pos = a_pos
+              JOIN head y ON y.g = dots.g AND y.comment_id = b_key AND y.pos = b_pos)"""
+
+
+@check(
+    "j12_similar_pairs",
+    f"""WITH {sentences_sql('c_talk', 'role')}, {sentence_weights_sql()}, {SIMILAR}
+        SELECT g AS role, a_key, a_pos::INT AS a_pos, b_key, b_pos::INT AS b_pos, round(cosine, 8) AS cosine, a_copies, b_copies FROM pairs""",
+)
+def j12_pairs(spark, sf):
+    sentences = summaries.comment_sentences(c_talk(spark, sf), ["role"], "comment_id", "text")
+    pairs, _ = similarity.similar_pairs(sentences, ["role"], "comment_id", 0.5, STOPS)
+    return pairs.withColumn("cosine", r("cosine", 8))
+
+
+@check(
+    "j12_similar_counts",
+    f"""WITH {sentences_sql('c_text', 'movie')}, {sentence_weights_sql()}, {SIMILAR},
+        near AS (SELECT g, a_key AS head, a_pos AS head_pos, b_copies AS n FROM pairs
+                 UNION ALL SELECT g, b_key, b_pos, a_copies FROM pairs)
+        SELECT g AS movie, comment_id, pos::INT AS pos, head AS class_key, head_pos::INT AS class_pos,
+               copies - 1 + coalesce((SELECT sum(n) FROM near WHERE near.g = class.g AND near.head = class.head
+                                      AND near.head_pos = class.head_pos), 0)::BIGINT AS links
+        FROM class""",
+)
+def j12_counts(spark, sf):
+    sentences = summaries.comment_sentences(c_text(spark, sf), ["movie"], "comment_id", "text")
+    return similarity.similar_counts(sentences, ["movie"], "comment_id", 0.5, STOPS)
+
+
 @check(
     "t14_textrank",
     f"""WITH {sentences_sql('c_talk', 'role')}, {sentence_weights_sql()}, {rank_sql(STEPS)}
