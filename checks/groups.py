@@ -82,9 +82,22 @@ KMEANS_STEPS = 30
 def kmeans_sql(docs: str, k: int, starts: int = 10, seed: int = 42) -> str:
     """From ``feat(comment_id, term, weight)`` to ``best(comment_id, cluster)``, steps one after the other."""
     ctes = [f"""
-    st AS MATERIALIZED (SELECT comment_id, s, row_number() OVER (PARTITION BY s ORDER BY md5(comment_id::VARCHAR || '/' || ({seed} + s)), comment_id) - 1 AS c
-           FROM {docs}, range({starts}) t(s) QUALIFY c < {k}),
-    k0 AS MATERIALIZED (SELECT s, c, term, weight AS w FROM st JOIN feat USING (comment_id))"""]
+    len AS MATERIALIZED (SELECT d.comment_id, coalesce(sum(weight * weight), 0) AS sq FROM {docs} d LEFT JOIN feat USING (comment_id) GROUP BY 1),
+    p0 AS MATERIALIZED (SELECT comment_id, s FROM {docs}, range({starts}) t(s)
+           QUALIFY row_number() OVER (PARTITION BY s ORDER BY md5(comment_id::VARCHAR || '/' || ({seed} + s)), comment_id) = 1)"""]
+    for j in range(1, k):
+        before = f", (SELECT d FROM n{j - 1} o WHERE o.comment_id = x.comment_id AND o.s = p.s)" if j > 1 else ""
+        ctes.append(f"""
+    m{j} AS (SELECT f.comment_id, p.s, sum(f.weight * c.weight) AS dot
+             FROM p{j - 1} p JOIN feat c ON c.comment_id = p.comment_id JOIN feat f ON f.term = c.term GROUP BY ALL),
+    n{j} AS MATERIALIZED (SELECT x.comment_id, p.s, least(round(greatest(x.sq + y.sq - 2 * coalesce(dot, 0), 0), 9){before}) AS d
+             FROM len x CROSS JOIN p{j - 1} p JOIN len y ON y.comment_id = p.comment_id
+             LEFT JOIN m{j} m ON m.comment_id = x.comment_id AND m.s = p.s),
+    p{j} AS MATERIALIZED (SELECT comment_id, s FROM n{j} WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY s ORDER BY
+             -ln((('0x' || substr(md5(comment_id::VARCHAR || '/' || ({seed} + s) || '/{j}'), 1, 12))::BIGINT + 1) / 281474976710656.0) / d, comment_id) = 1)""")
+    ctes.append(f"""
+    st AS MATERIALIZED ({' UNION ALL '.join(f'SELECT comment_id, s, {j} AS c FROM p{j}' for j in range(k))}),
+    k0 AS MATERIALIZED (SELECT s, c, term, weight AS w FROM st JOIN feat USING (comment_id))""")
     for j in range(KMEANS_STEPS):
         ctes.append(f"""
     q{j} AS (SELECT s, c, sum(w * w) AS sq FROM k{j} GROUP BY ALL),
@@ -179,12 +192,15 @@ def z_sql(name: str, value: str) -> str:
     return f"SELECT comment_id, '{name}' AS term, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS weight FROM (SELECT comment_id, {value} AS v FROM docs)"
 
 
+FEATURES = f"""feat AS MATERIALIZED (SELECT * FROM weights UNION ALL {z_sql('#p', 'polarity')}
+          UNION ALL {z_sql('#positive', "(sentiment = 'positive')::INT::DOUBLE")} UNION ALL {z_sql('#neutral', "(sentiment = 'neutral')::INT::DOUBLE")}
+          UNION ALL {z_sql('#negative', "(sentiment = 'negative')::INT::DOUBLE")})"""
+
+
 @check(
     "t10_cluster_comments",
     f"""WITH docs AS MATERIALIZED (SELECT * FROM c_clean), {tfidf_sql('docs', 'clean_text')},
-        feat AS MATERIALIZED (SELECT * FROM weights UNION ALL {z_sql('#p', 'polarity')}
-          UNION ALL {z_sql('#positive', "(sentiment = 'positive')::INT::DOUBLE")} UNION ALL {z_sql('#neutral', "(sentiment = 'neutral')::INT::DOUBLE")}
-          UNION ALL {z_sql('#negative', "(sentiment = 'negative')::INT::DOUBLE")}),
+        {FEATURES},
         {kmeans_sql('docs', 5)},
         labelled AS (SELECT docs.* EXCLUDE (cluster), best.cluster FROM docs JOIN best USING (comment_id)),
         {indicator_sql('labelled', 'clean_text')}, {THEMED_SQL},
@@ -483,23 +499,28 @@ def l07(spark, sf):
 
 @check(
     "m13_integrated_analysis",
-    """WITH s AS (SELECT movie, avg(polarity) AS a FROM c_text GROUP BY 1),
+    f"""WITH docs AS MATERIALIZED (SELECT * FROM c_clean), {tfidf_sql('docs', 'clean_text')}, {FEATURES}, {kmeans_sql('docs', 5)},
+            s AS (SELECT movie, avg(polarity) AS a FROM c_text GROUP BY 1),
             paid AS (SELECT title, revenue::DOUBLE AS x, a FROM m_text LEFT JOIN s ON title = movie WHERE revenue > 0),
             b AS (SELECT avg(x) AS m, stddev_samp(x) AS sd, count(*) AS n FROM paid),
-            kept AS (SELECT paid.* FROM paid, b WHERE abs((x - m) / sd) <= 2.5)
+            usual AS (SELECT paid.* FROM paid, b WHERE abs((x - m) / sd) <= 2.5)
        SELECT (SELECT count(*) FROM c_text) || '_' || (SELECT count(*) FROM m_text) AS run_key,
-              (SELECT n FROM b) AS total_box_office_movies, (SELECT count(*) FROM kept) AS normal_range_count,
+              (SELECT n FROM b) AS total_box_office_movies, (SELECT count(*) FROM usual) AS normal_range_count,
               (SELECT count(*) FROM c_text) AS total_comments,
-              round((SELECT corr(a, x) FROM kept), 9) AS r, round((SELECT corr(a, x) FROM paid), 9) AS r_all""",
+              round((SELECT corr(a, x) FROM usual), 9) AS r, round((SELECT corr(a, x) FROM paid), 9) AS r_all,
+              (SELECT string_agg(n, ',' ORDER BY cluster) FROM (SELECT cluster, count(*) AS n FROM best GROUP BY 1)) AS cluster_sizes""",
 )
 def m13(spark, sf):
     comments = c_clean(spark, sf).select("comment_id", "movie", "clean_text", "polarity", "sentiment")
     out = integrated.analyse(comments, m_text(spark, sf), k=5, stops=STOPS)
+    counts = out.clusters.comments.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = counts.agg(F.array_sort(F.collect_list(F.struct("cluster", "n"))).alias("sizes"))  # one entry per cluster
     found = out.outliers.select(
         F.lit(out.run_key).alias("run_key"), "total_box_office_movies", "normal_range_count",
         out.dashboard.select("total_comments").scalar().alias("total_comments"),
         r(out.normal_correlation.select("r").scalar()).alias("r"),
         r(out.all_correlation.select("r").scalar()).alias("r_all"),
+        sizes.select(F.array_join(F.transform("sizes", lambda x: x["n"].cast("string")), ",")).scalar().alias("cluster_sizes"),
     )
     out.release()
     return found
