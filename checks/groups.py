@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from applause.functions import lexicon
-from applause.operators import movie_stats, similarity, summaries, themes
+from applause.operators import movie_stats, sentences as trained, similarity, summaries, themes
 from applause.plans import integrated
 
 from .base import STOPS, c_clean, c_talk, c_text, check, listed, m_text, quoted, r
@@ -372,6 +372,69 @@ def t13(spark, sf):
     return summaries.comment_sentences(c_text(spark, sf), ["movie"], "comment_id", "text")
 
 
+CLOSE = """["'')\\]}»”’]*$"""
+
+
+def core_sql(token: str) -> str:
+    return rf"regexp_replace(lower({token}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
+
+
+def likelihood_sql(k: str, n: str, p: str) -> str:
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} > {k} THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+LEARNED = rf"""
+    tokens AS MATERIALIZED (SELECT comment_id, i, t[i + 1] AS token, t[i + 2] AS nxt FROM (
+        SELECT comment_id, t, unnest(range(len(t))) AS i FROM (
+            SELECT comment_id, regexp_extract_all(text, '[^ \t\n\f\r]+') AS t FROM c_talk WHERE length(text) >= 20))),
+    typed AS MATERIALIZED (SELECT *, {core_sql('token')} AS word, {core_sql('nxt')} AS next_word,
+        regexp_matches(token, '\p{{L}}\.{CLOSE}') AS stop, regexp_matches(token, '[.!?]{CLOSE}') AS closing,
+        regexp_matches(token, '\.\.') AS dots FROM tokens),
+    per_type AS (SELECT word, count(*)::DOUBLE AS n, count(*) FILTER (stop)::DOUBLE AS k FROM typed
+                 WHERE regexp_matches(word, '^\p{{L}}[\p{{L}}.]*$') GROUP BY 1),
+    stops AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (stop)::DOUBLE AS stops FROM typed),
+    short AS MATERIALIZED (SELECT word, round(-2 * ({likelihood_sql('k', 'c.n', '(stops / s.n)')} - {likelihood_sql('k', 'c.n', '0.99::DOUBLE')})
+        * exp(-letters) * (length(word) - letters + 1) * pow(letters, -(c.n - k)), 9) AS score
+        FROM (SELECT *, length(replace(word, '.', ''))::DOUBLE AS letters FROM per_type) c, stops s WHERE k > 0 AND stops < s.n AND round(-2 * ({likelihood_sql('k', 'c.n', '(stops / s.n)')} - {likelihood_sql('k', 'c.n', '0.99::DOUBLE')})
+        * exp(-letters) * (length(word) - letters + 1) * pow(letters, -(c.n - k)), 9) >= 0.3),
+    follow AS (SELECT next_word AS word, closing AND NOT dots AND word NOT IN (SELECT word FROM short) AS ended FROM typed WHERE nxt IS NOT NULL),
+    fsum AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (ended)::DOUBLE AS e FROM follow),
+    fword AS (SELECT word, count(*)::DOUBLE AS n, count(*) FILTER (ended)::DOUBLE AS k FROM follow WHERE word <> '' GROUP BY 1),
+    starter AS MATERIALIZED (SELECT * FROM (SELECT word, round(2 * ({likelihood_sql('k', 'e', '(k / e)')} + {likelihood_sql('(w.n - k)', '(s.n - e)', '((w.n - k) / (s.n - e))')}
+        - {likelihood_sql('k', 'e', '(w.n / s.n)')} - {likelihood_sql('(w.n - k)', '(s.n - e)', '(w.n / s.n)')}), 6) AS score
+        FROM fword w, fsum s WHERE k > 0 AND e < s.n AND k / e > w.n / s.n) WHERE score >= 30)"""
+
+
+@check(
+    "t13_learned_words",
+    f"WITH {LEARNED} SELECT 'abbreviation' AS kind, word, round(score, 6) AS score FROM short UNION ALL SELECT 'starter', word, round(score, 3) FROM starter",
+)
+def t13_learned(spark, sf):
+    long_ones = c_talk(spark, sf).filter("length(text) >= 20")
+    short, starters = trained.learn(long_ones, "text")
+    kinds = (short.withColumn("score", r("score", 6)), "abbreviation"), (starters.withColumn("score", r("score", 3)), "starter")
+    a, b = (df.select(F.lit(kind).alias("kind"), "word", "score") for df, kind in kinds)
+    return a.unionByName(b)
+
+
+@check(
+    "t13_trained_sentences",
+    rf"""WITH {LEARNED},
+        ending AS (SELECT comment_id, i, token, closing AND NOT (nxt IS NOT NULL AND regexp_matches(token, '\.{CLOSE}') AND CASE
+              WHEN regexp_matches(token, '\.\.[.]*{CLOSE}') THEN NOT capital
+              WHEN regexp_matches(token, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}\.{CLOSE}') AND capital THEN true
+              ELSE word IN (SELECT word FROM short) AND next_word NOT IN (SELECT word FROM starter) END) AS closes
+            FROM (SELECT *, regexp_matches(regexp_replace(nxt, '^[^\p{{L}}\p{{N}}]+', ''), '^\p{{Lu}}') AS capital FROM typed)),
+        numbered AS (SELECT *, coalesce(count(*) FILTER (closes) OVER (PARTITION BY comment_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+                     FROM ending),
+        spoken AS (SELECT comment_id, pos, string_agg(token, ' ' ORDER BY i) AS sentence FROM numbered GROUP BY ALL)
+        SELECT comment_id, pos::INT AS pos, sentence FROM spoken WHERE len(regexp_extract_all(sentence, '[^\s]+')) >= 3 AND length(sentence) >= 15
+          AND NOT contains(sentence, '@') AND NOT contains(sentence, 'http')""",
+)
+def t13_trained(spark, sf):
+    return trained.trained_sentences(c_talk(spark, sf), [], "comment_id", "text")
+
+
 @check(
     "j12_similarity_sums",
     f"""WITH {sentences_sql('c_talk', 'conv_id')}, {sentence_weights_sql()}
