@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import values
+from ..functions import distributions, values
 from ..session import cut_lineage
 from . import movie_stats, tables
 
@@ -46,51 +44,47 @@ def metric_ranking(movies: DataFrame, metrics: dict[str, str] = METRICS) -> Data
     return ranked.orderBy(F.abs("correlation").desc_nulls_last(), "metric")
 
 
-def regression_line(movies: DataFrame, x: str = "avg_polarity", y: str = "revenue") -> DataFrame:
-    """One row: n, slope, intercept, r, r squared, range of x; all NULL below three movies or for constant x."""
+def regression_line(movies: DataFrame, x: str = "avg_polarity", y: str = "revenue", by: Sequence[str] = ()) -> DataFrame:
+    """One row (per group): n, slope, intercept, r, r squared, range of x, standard error and p value of the slope.
+
+    All but n are NULL below three movies or for constant x. A line that meets every point has error 0 and p value 0; for
+    constant y the slope is 0, its error 0, and there is no p value.
+    """
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     both = with_revenue(movies).filter(a.isNotNull())
-    fit = both.agg(
+    fit = both.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.regr_slope(b, a).alias("slope"),
         F.regr_intercept(b, a).alias("intercept"),
         correlation(x, y).alias("r"),
         F.min(a).alias("x_min"),
         F.max(a).alias("x_max"),
+        F.stddev_samp(a).alias("_sx"),
+        F.stddev_samp(b).alias("_sy"),
     )
     enough = F.col("n") >= 3
     columns = {c: F.when(enough, F.col(c)) for c in ["slope", "intercept", "r", "x_min", "x_max"]}
-    return fit.withColumns(columns).withColumn("r_squared", F.pow("r", F.lit(2.0)))
-
-
-def regression_p_value(movies: DataFrame, x: str = "avg_polarity", y: str = "revenue") -> tuple[float, float] | None:
-    """(p value, standard error) of the slope; ``None`` below three movies."""
-    points = with_revenue(movies).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    points = points.filter("x IS NOT NULL")
-    n, low, high = points.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if n < 3 or low == high:
-        return None
-    features = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)
-    summary = LinearRegression(featuresCol="features", labelCol="y", solver="normal").fit(features).summary
-    return summary.pValues[0], summary.coefficientStandardErrors[0]
+    line = fit.withColumns(columns).withColumn("r_squared", F.pow("r", F.lit(2.0)))
+    freedom = (F.col("n") - 2).cast("double")
+    left = F.greatest(1 - F.coalesce("r_squared", F.lit(0.0)), F.lit(0.0))  # share of the variance beside the line
+    error = F.when(enough & (F.col("_sx") > 0), F.sqrt(left / F.when(freedom > 0, freedom)) * F.col("_sy") / F.col("_sx"))
+    t = F.col("r") * F.sqrt(freedom / F.when(left > 0, left))
+    p_value = F.when(F.col("r").isNotNull() & (left <= 0), F.lit(0.0)).otherwise(distributions.t_p_value(t, freedom))
+    return line.withColumns({"standard_error": error, "p_value": F.when(enough, p_value)}).drop("_sx", "_sy")
 
 
 def sentiment_revenue_correlation(movies: DataFrame) -> DataFrame:
-    """One row: correlations, regression line with the slope's p value and, below three movies, an error text.
-
-    The p value comes from the fitted line's summary, which is one row.
-    """
+    """One row: correlations, regression line with the slope's error and p value and, below three movies, an error text."""
     movies = cut_lineage(movies)
     metrics = ["avg_polarity", "positive_pct", "negative_pct"]
     line = regression_line(movies)
     rho = with_revenue(movies).agg(F.struct(*[correlation(m).alias(m) for m in metrics])).scalar()
     enough = F.col("n") >= 3
-    p = regression_p_value(movies)
     error = F.when(~enough, F.lit("Not enough movies with revenue data for correlation analysis"))
     return line.select(
         "n",
         *[F.when(enough, rho[m]).alias(f"corr_{m}") for m in metrics],
-        "slope", "intercept", "r", "r_squared", F.lit(p[0] if p else None).cast("double").alias("p_value"),
+        "slope", "intercept", "r", "r_squared", "standard_error", "p_value",
         error.alias("error"),
     )
 

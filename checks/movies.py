@@ -824,20 +824,32 @@ def m01(spark, sf):
 
 LINE_SQL = f"""{WITH_POLARITY_SQL},
     line AS (SELECT count(*) AS n, regr_slope(revenue, avg_polarity) AS slope, regr_intercept(revenue, avg_polarity) AS intercept,
-                    corr(avg_polarity, revenue) AS r, min(avg_polarity) AS lo, max(avg_polarity) AS hi FROM ms)"""
+                    corr(avg_polarity, revenue) AS r, min(avg_polarity) AS lo, max(avg_polarity) AS hi,
+                    regr_syy(revenue, avg_polarity) AS syy, regr_sxx(revenue, avg_polarity) AS sxx FROM ms)"""
+
+# Student's distribution for whole degrees of freedom as a finite sum over powers of cos(atan(t / sqrt(df))).
+STUDENT_SQL = """student AS (SELECT df, atan(abs(r) * sqrt(df / (1 - r * r)) / sqrt(df)) AS a FROM (SELECT (n - 2)::DOUBLE AS df, r FROM line)),
+    powers AS (SELECT j, a, df, CASE WHEN df % 2 = 0 THEN (2 * j - 1) / (2.0 * j) ELSE 2 * j / (2.0 * j + 1) END * cos(a) * cos(a) AS f
+               FROM student, range(1, greatest(CASE WHEN df % 2 = 0 THEN df / 2 ELSE (df - 1) / 2 END, 1)::BIGINT) t(j)),
+    series AS (SELECT 1 + coalesce(sum(p), 0) AS total FROM (SELECT exp(sum(ln(f)) OVER (ORDER BY j)) AS p FROM powers)),
+    tail AS (SELECT 1 - CASE WHEN df % 2 = 0 THEN sin(a) * total
+                        ELSE 2 / pi() * (a + CASE WHEN df > 1 THEN sin(a) * cos(a) * total ELSE 0 END) END AS p FROM student, series)"""
 
 
 @check(
     "m02_sentiment_regression",
-    f"""WITH {LINE_SQL} SELECT n, round(slope, 2) AS slope, round(intercept, 2) AS intercept, round(r, 9) AS r,
-        round(r * r, 9) AS r_squared, round((SELECT corr(positive_pct, revenue) FROM ms), 9) AS corr_positive_pct,
+    f"""WITH {LINE_SQL}, {STUDENT_SQL} SELECT n, round(slope, 2) AS slope, round(intercept, 2) AS intercept, round(r, 9) AS r,
+        round(r * r, 9) AS r_squared, round((SELECT p FROM tail), 9) AS p_value,
+        round(sqrt((1 - r * r) * syy / (n - 2) / sxx), 2) AS standard_error, round((SELECT corr(positive_pct, revenue) FROM ms), 9) AS corr_positive_pct,
         NULL::VARCHAR AS error FROM line""",
 )
 def m02(spark, sf):
     out = scoring.sentiment_revenue_correlation(scored_movies(spark, sf))
-    money = {c: F.round(c, 2) for c in ["slope", "intercept"]}
-    rest = {c: F.round(c, 9) for c in ["r", "r_squared", "corr_positive_pct"]}
-    return out.withColumns(money | rest).select("n", "slope", "intercept", "r", "r_squared", "corr_positive_pct", "error")
+    money = {c: F.round(c, 2) for c in ["slope", "intercept", "standard_error"]}
+    rest = {c: F.round(c, 9) for c in ["r", "r_squared", "corr_positive_pct", "p_value"]}
+    return out.withColumns(money | rest).select(
+        "n", "slope", "intercept", "r", "r_squared", "p_value", "standard_error", "corr_positive_pct", "error"
+    )
 
 
 @check(

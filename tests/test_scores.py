@@ -1,8 +1,11 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from applause.operators import collection, movie_stats, scoring, tables, themes
-from applause.functions import lexicon
+from applause.functions import distributions, lexicon
 from applause.schemas import require_columns
 
 
@@ -41,7 +44,7 @@ def test_regression_needs_three_movies(spark):
     df = movies(spark, [1, 2]).withColumns({"avg_polarity": F.col("id") * 1.0, "positive_pct": F.lit(1.0), "negative_pct": F.lit(1.0)})
     row = scoring.sentiment_revenue_correlation(df).first()
     assert row["slope"] is None and row["error"].startswith("Not enough")
-    assert scoring.regression_p_value(df) is None
+    assert row["p_value"] is None and row["standard_error"] is None
 
 
 def test_regression_values(spark):
@@ -51,7 +54,7 @@ def test_regression_values(spark):
     )
     row = scoring.sentiment_revenue_correlation(df).first()
     assert row["slope"] == pytest.approx(2.2) and row["intercept"] == pytest.approx(0.7)
-    p, se = scoring.regression_p_value(df)
+    p, se = row["p_value"], row["standard_error"]
     squared_error = 0.3**2 + 0.1**2 + 1.1**2 + 0.7**2  # around 0.7 + 2.2 x
     expected_se = (squared_error / 2 / 5) ** 0.5
     t = 2.2 / expected_se
@@ -142,3 +145,39 @@ def test_box_office_gate(spark):
     assert {x.title: x.revenue for x in fixed.collect()} == {"a": 5, "b": 1000, "c": None, "d": 0}
     assert {x.title for x in collection.box_office_gate(df).collect()} == {"a", "b"}
     assert collection.box_office_gate(df, False).count() == 4
+
+
+def test_regression_test_by_group_equals_the_fitted_model(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(4)
+    rows = [(g, float(x), float(50 + w * x + rng.normal())) for g, w, n in (("a", 0.1, 40), ("b", 0, 5), ("c", 2, 900)) for x in rng.normal(size=n)]
+    rows += [("exact", float(i), 5.0 + 2 * i) for i in range(4)] + [("flat", float(i), 7.0) for i in range(5)] + [("one x", 1.0, float(i + 1)) for i in range(5)]
+    rows += [("few", 1.0, 1.0), ("few", 2.0, 3.0), ("a", None, 3.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, avg_polarity double, revenue double")
+    found = {r["g"]: r for r in scoring.regression_line(df, by=["g"]).collect()}
+    for g in "abc":
+        points = VectorAssembler(inputCols=["avg_polarity"], outputCol="f").transform(df.filter(F.col("g") == g).na.drop())
+        summary = LinearRegression(featuresCol="f", labelCol="revenue", solver="normal").fit(points).summary
+        assert found[g]["p_value"] == pytest.approx(summary.pValues[0], abs=1e-9)
+        assert found[g]["standard_error"] == pytest.approx(summary.coefficientStandardErrors[0], rel=1e-9)
+    assert found["exact"]["p_value"] == pytest.approx(0, abs=1e-9) and found["exact"]["standard_error"] == pytest.approx(0, abs=1e-6)
+    assert found["flat"]["p_value"] is None and found["flat"]["standard_error"] == 0
+    assert all(found[g][c] is None for g in ("one x", "few", None) for c in ("p_value", "standard_error"))
+
+
+@pytest.mark.parametrize("z", [0.5, 1.0, 2.5, 10.0, 1e6])
+def test_log_gamma(spark, z):
+    assert spark.range(1).select(distributions.log_gamma(F.lit(z))).first()[0] == pytest.approx(math.lgamma(z), rel=1e-13, abs=1e-12)
+
+
+def test_student_with_few_degrees_of_freedom(spark):
+    t = [0.0, 0.3, 1.0, 5.0, 300.0]
+    df = spark.createDataFrame([(x,) for x in t], "t double")
+    one = [r[0] for r in df.select(distributions.t_p_value(F.col("t"), F.lit(1))).collect()]
+    assert one == pytest.approx([1 - 2 / math.pi * math.atan(x) for x in t], abs=1e-12)
+    two = [r[0] for r in df.select(distributions.t_p_value(F.col("t"), F.lit(2))).collect()]
+    assert two == pytest.approx([1 - x / math.sqrt(2 + x * x) for x in t], abs=1e-12)
+    assert df.select(distributions.t_p_value(F.lit(None).cast("double"), F.lit(2))).first()[0] is None
+    assert df.select(distributions.t_p_value(F.col("t"), F.lit(0))).first()[0] is None
