@@ -500,6 +500,35 @@ def t14(spark, sf):
     return ranked.select("role", "comment_id", "pos", "n", r("rank").alias("rank"))
 
 
+def settled_sql(steps: int, every: int = 5, tolerance: float = 1e-6) -> str:
+    """As ``rank_sql``, but groups that hardly move at a test keep their ranks from there on."""
+    ctes = ["""
+    r0 AS MATERIALIZED (SELECT g, comment_id, pos, n, d, 1 / n AS r, true AS moving, 0 AS steps
+                        FROM sents JOIN sn USING (g) LEFT JOIN deg USING (g, comment_id, pos))"""]
+    for k in range(steps):
+        ctes.append(f"""
+    s{k} AS (SELECT g, term, sum(w * r / d) AS s FROM sw JOIN r{k} USING (g, comment_id, pos) WHERE moving GROUP BY ALL),
+    i{k} AS (SELECT g, comment_id, pos, sum(w * s) AS inflow FROM sw JOIN s{k} USING (g, term) GROUP BY ALL),
+    l{k} AS (SELECT g, sum(r) AS loose FROM r{k} WHERE d IS NULL GROUP BY ALL),
+    a{k} AS MATERIALIZED (SELECT r.* REPLACE (CASE WHEN moving THEN 0.15 / n + 0.85 * (coalesce(inflow, 0) + coalesce(loose, 0) / n) ELSE r END AS r,
+                          CASE WHEN moving THEN steps + 1 ELSE steps END AS steps), r AS old
+        FROM r{k} r LEFT JOIN i{k} i ON r.g = i.g AND r.comment_id = i.comment_id AND r.pos = i.pos LEFT JOIN l{k} l ON l.g = r.g)""")
+        test = f"moving AND g IN (SELECT g FROM a{k} WHERE d IS NOT NULL GROUP BY g HAVING sum(abs(r - old)) >= max(n) * {tolerance})"
+        ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (old) REPLACE ({test if (k + 1) % every == 0 else 'moving'} AS moving) FROM a{k})")
+    return ",\n".join(ctes)
+
+
+@check(
+    "t14_textrank_to_tolerance",
+    f"""WITH {sentences_sql('c_talk', 'cluster')}, {sentence_weights_sql()}, {settled_sql(STEPS, tolerance=1e-7)}
+        SELECT g AS cluster, comment_id, pos::INT AS pos, round(r, 9) AS rank, steps::INT AS steps FROM r{STEPS}""",
+)
+def t14_tolerance(spark, sf):
+    sentences = summaries.comment_sentences(c_talk(spark, sf), ["cluster"], "comment_id", "text")
+    ranked = summaries.rank_sentences(sentences, ["cluster"], "comment_id", STOPS, max_steps=STEPS, tolerance=1e-7)
+    return ranked.select("cluster", "comment_id", "pos", r("rank").alias("rank"), "steps")
+
+
 @check(
     "t15_ends_and_middle",
     f"""WITH {sentences_sql('c_text', 'movie')},
