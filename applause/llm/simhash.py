@@ -193,9 +193,10 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """
     rows = cut_lineage(fingerprints(docs, key, text, size))  # texts are read once
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # every fingerprint makes many keys, so they are dealt out in a number that adaptive execution leaves alone
+    # every fingerprint makes many keys, so they are dealt out in a number that adaptive execution leaves alone; by another
+    # key than the groups above, whose few partitions would be taken over otherwise
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    roots = components(links(nodes.select("fp").repartition(n, "fp"), distance))
+    roots = components(links(nodes.select("fp").repartition(n, F.xxhash64("fp")), distance))
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
