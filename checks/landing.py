@@ -247,13 +247,14 @@ def s13(spark, sf):
     return readers.flatten_supplement(landed(spark, records, SUPPLEMENT)).select("title", "box_office", "rated")
 
 
-@check("s14_rows_to_table", "SELECT n_nationkey AS comment_id, n_name AS text, TIMESTAMP '2024-01-02 03:04:05' AS published_at FROM nation")
+@check("s14_rows_to_table", "SELECT event_id AS comment_id, event_type AS text, date_trunc('second', ts) AS published_at FROM events")
 def s14(spark, sf):
     """Rows with their fields in any order."""
-    rows = table(spark, sf, "nation").select(
-        F.col("n_name").alias("text"), F.lit("2024-01-02T03:04:05Z").alias("published_at"), F.col("n_nationkey").alias("comment_id")
+    rows = table(spark, sf, "events").select(
+        F.col("event_type").alias("text"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
+        F.col("event_id").alias("comment_id"),
     )
-    typed = readers.rows_to_comments(spark, rows, "comment_id int, text string, published_at string")
+    typed = readers.rows_to_comments(spark, rows, "comment_id bigint, text string, published_at string")
     return typed.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
