@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon, text as tx, values
 from ..session import cut_lineage
-from . import tables
+from . import tables, term_tables
 
 
 def _literal_map(entries: Mapping[str, float]) -> Column:
@@ -67,39 +67,44 @@ def base_score(
     return _bind(tx.words(F.coalesce(text, F.lit("")), 2), lambda tokens: _bind(known(tokens), means))
 
 
-def with_base_scores(df: DataFrame, text: str, **lists) -> DataFrame:
-    """Adds the base polarity and subjectivity of a text column."""
-    scored = df.withColumn("_score", base_score(F.col(text), **lists))
+def with_base_scores(
+    df: DataFrame, text: str, opinions: Mapping[str, tuple[float, float]] | DataFrame = lexicon.OPINIONS, key: str | None = None,
+    intensifiers: Mapping[str, float] | DataFrame = lexicon.INTENSIFIERS, negators: Sequence[str] = lexicon.NEGATORS,
+) -> DataFrame:
+    """Adds the base polarity and subjectivity of a text column; lexicons given as tables need the ``key`` of a row."""
+    if isinstance(opinions, DataFrame):
+        return base_scores_by_table(df, key, text, opinions, intensifiers, negators)
+    scored = df.withColumn("_score", base_score(F.col(text), opinions, intensifiers, negators))
     return scored.withColumns({c: F.col("_score")[c] for c in ("polarity", "subjectivity")}).drop("_score")
 
 
 def base_scores_by_table(
-    df: DataFrame, key: str, text: str, opinions: DataFrame, intensifiers: DataFrame, negators: Sequence[str]
+    df: DataFrame, key: str, text: str, opinions: DataFrame, intensifiers: Mapping[str, float] | DataFrame, negators: Sequence[str]
 ) -> DataFrame:
     """The same scores from lexicon tables of any size: ``(word, polarity, subjectivity)`` and ``(word, intensity)``.
 
-    Only known words reach the shuffle on ``key``, already summed within each task.
+    An entry of ``opinions`` may have several words: the longest entry at a place counts, left to right, and none of
+    its words counts again; the words before it are its intensifier and negator. Keys are unique; rows without a key,
+    and texts without a known word, score 0.
     """
-    tokens = F.col("_tokens")
-    neighbours = F.transform(
-        tokens,
-        lambda w, i: F.struct(w.alias("word"), F.get(tokens, i - 1).alias("prev"), F.get(tokens, i - 2).alias("prev2")),
-    )
-    exploded = (
-        df.select(key, tx.words(F.col(text), 2).alias("_tokens"))
-        .select(key, F.explode(neighbours).alias("t"))
-        .select(key, "t.*")
-    )
-    boosts = intensifiers.select(F.col("word").alias("prev"), F.col("intensity").alias("_boost"))
-    hits = exploded.join(opinions, "word").join(boosts, "prev", "left")
+    if not isinstance(intensifiers, DataFrame):
+        intensifiers = df.sparkSession.createDataFrame(list(intensifiers.items()), "word string, intensity double")
+    entries = term_tables.normalised(opinions.select("word", "polarity", "subjectivity"))
+    places = term_tables.phrase_places(df.filter(F.col(key).isNotNull()), key, text, entries)
+    boosts = intensifiers.groupBy(F.lower("word").alias("prev")).agg(F.avg("intensity").alias("_boost"))
     boost = F.coalesce("_boost", F.lit(1.0))
     before = F.when(F.col("_boost").isNotNull(), F.col("prev2")).otherwise(F.col("prev"))
     negated = F.coalesce(before.isin(list(negators)), F.lit(False))
-    means = hits.groupBy(key).agg(
-        F.avg(_modified(F.col("polarity"), boost, negated)).alias("polarity"),
-        F.avg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("subjectivity") * boost))).alias("subjectivity"),
+    valued = places.join(boosts, "prev", "left").select(
+        key, "i", "n", _modified(F.col("polarity"), boost, negated).alias("p"),
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("subjectivity") * boost)).alias("s"),
     )
-    return df.join(means, key, "left").na.fill(0.0, ["polarity", "subjectivity"])
+    sums = term_tables.sums_without_overlap(valued, key, ["p", "s"])
+    means = sums.select(key, (F.col("p") / F.col("hits")).alias("polarity"), (F.col("s") / F.col("hits")).alias("subjectivity"))
+    return df.drop("polarity", "subjectivity").join(means, key, "left").na.fill(0.0, ["polarity", "subjectivity"])
+
+
+FLAG_NAMES = {"positive": "has_positive_term", "context": "has_context", "negative": "has_negative_indicator"}
 
 
 def domain_flags(
@@ -272,22 +277,31 @@ def score_comments(
     key: str = "comment_id",
     text: str = "clean_text",
     movie: str | None = None,
-    opinions: Mapping[str, tuple[float, float]] = lexicon.OPINIONS,
+    opinions: Mapping[str, tuple[float, float]] | DataFrame = lexicon.OPINIONS,
     min_count: int = 3,
     stops: Sequence[str] = (),
-    flags: Mapping[str, Sequence[str]] | None = None,
+    flags: Mapping[str, Sequence[str] | DataFrame] | None = None,
+    intensifiers: Mapping[str, float] | DataFrame = lexicon.INTENSIFIERS,
+    negators: Sequence[str] = lexicon.NEGATORS,
 ) -> DataFrame:
     """Adds polarity, subjectivity and sentiment; blank text is neutral.
 
+    The lexicon may be a table (see ``base_scores_by_table``), and so may the term lists in ``flags`` (``positive``,
+    ``context``, ``negative``; column ``term``); ``excitement`` holds patterns and stays a list.
+
     With ``movie`` the frequent terms of each movie count as references to its content. They can only
     matter for a negative base score without other marks, so only those comments are searched and joined; all others
     pass through. The scored comments are written once, since the term counts, the search and the result read them.
     """
     c = F.col(text)
-    marks = domain_flags(F.col("_lower"), **(flags or {}))
-    scored = with_base_scores(comments, text, opinions=opinions)
+    listed = {name: terms for name, terms in (flags or {}).items() if not isinstance(terms, DataFrame)}
+    by_table = {FLAG_NAMES[name]: terms for name, terms in (flags or {}).items() if name not in listed}
+    marks = domain_flags(F.col("_lower"), **listed)
+    scored = with_base_scores(comments, text, opinions, key, intensifiers, negators)
+    if by_table:
+        scored = term_tables.with_flags(scored, key, text, by_table, "_")
     scored = scored.withColumn("_lower", F.lower(F.coalesce(c, F.lit("")))).withColumns(
-        {f"_{name}": column for name, column in marks.items()}
+        {f"_{name}": column for name, column in marks.items() if name not in by_table}
         | {"_slang": has_slang(F.col("_lower")), "_refers": F.coalesce(refers_to_content(c), F.lit(False))}
     )
     scored = scored.drop("_lower")

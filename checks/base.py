@@ -137,6 +137,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     views = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in wanted)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {views}, {body[5:]}"
     return f"WITH {views} {body}"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from applause.functions import lexicon, text as tx, values
-from applause.operators import sentiment
+from applause.operators import sentiment, term_tables
+from applause.session import cut_lineage
 
 from .base import (
     SPACE_SQL, STOPS, c_clean, c_event, c_text, check, expand_sql, links_sql, listed, prose_sql, quoted, r,
@@ -414,6 +415,97 @@ def t04(spark, sf):
     return scored.select("comment_id", r("polarity").alias("polarity"), "sentiment")
 
 
+PHRASES_SQL = rf"""
+    words AS (SELECT comment_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (
+              SELECT comment_id, regexp_extract_all(lower(clean_text), '{WORD}{{2,}}') AS t FROM c_clean)),
+    ahead AS (SELECT *, lead(w) OVER q AS w2, lead(w, 2) OVER q AS w3, lag(w) OVER q AS p1, lag(w, 2) OVER q AS p2
+              FROM words WINDOW q AS (PARTITION BY comment_id ORDER BY i)),
+    spelt AS (SELECT comment_id, i, p1, p2, unnest([1, 2, 3]) AS n, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3]) AS entry FROM ahead),
+    phrase AS (SELECT entry, ((length(entry) * 7) % 21 - 10) / 10.0::DOUBLE AS p, (length(entry) % 11) / 10.0::DOUBLE AS s
+               FROM spelt WHERE entry IS NOT NULL AND n > 1 GROUP BY 1 HAVING count(*) >= 4),
+    boosts(word, f) AS (VALUES """ + ", ".join(f"({quoted(w)}, {f}::DOUBLE)" for w, f in lexicon.INTENSIFIERS.items()) + rf"""),
+    place AS (SELECT comment_id, i, p1, p2, n, p, s FROM spelt JOIN phrase USING (entry)
+              QUALIFY row_number() OVER (PARTITION BY comment_id, i ORDER BY n DESC) = 1),
+    after AS (SELECT a.*, b.i AS next FROM place a ASOF LEFT JOIN place b ON a.comment_id = b.comment_id AND a.i + a.n <= b.i),
+    taken AS (SELECT comment_id, min(i) AS i FROM place GROUP BY 1
+              UNION ALL SELECT a.comment_id, a.next FROM taken t JOIN after a ON a.comment_id = t.comment_id AND a.i = t.i
+              WHERE a.next IS NOT NULL),
+    hit AS (SELECT a.comment_id, a.p, a.s, coalesce(b.f, 1) AS f,
+                   coalesce(CASE WHEN b.f IS NULL THEN p1 ELSE p2 END IN ({listed(lexicon.NEGATORS)}), false) AS neg
+            FROM taken JOIN after a USING (comment_id, i) LEFT JOIN boosts b ON b.word = p1),
+    val AS (SELECT comment_id, greatest(-1, least(1, p * CASE WHEN neg THEN 1 / f ELSE f END))
+                   * CASE WHEN neg THEN -0.5 ELSE 1 END AS v, least(1, s * f) AS s FROM hit)"""
+
+
+@check(
+    "t01_phrase_lexicon",
+    f"""WITH RECURSIVE {PHRASES_SQL}
+        SELECT comment_id, round(coalesce(avg(v), 0), 9) AS polarity, round(coalesce(avg(s), 0), 9) AS subjectivity
+        FROM c_clean LEFT JOIN val USING (comment_id) GROUP BY 1""",
+)
+def t01_phrases(spark, sf):
+    """A lexicon of the corpus' own phrases of two and three words, which grows with it."""
+    texts = cut_lineage(c_clean(spark, sf).select("comment_id", "clean_text", tx.words(F.col("clean_text"), 2).alias("tokens")))
+    tokens = F.col("tokens")
+    grams = F.concat(*[
+        F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        for n in (2, 3)
+    ])
+    found = texts.filter(F.size(tokens) >= 3).select(F.explode(grams).alias("word")).unionByName(
+        texts.filter(F.size(tokens) == 2).select(F.array_join(tokens, " ").alias("word"))
+    )
+    n = F.length("word")
+    opinions = found.groupBy("word").count().filter("count >= 4").select(
+        "word", ((n * 7 % 21 - 10) / 10).alias("polarity"), (n % 11 / 10).alias("subjectivity")
+    )
+    scored = sentiment.with_base_scores(texts, "clean_text", cut_lineage(opinions), key="comment_id")
+    return scored.select("comment_id", r("polarity").alias("polarity"), r("subjectivity").alias("subjectivity"))
+
+
+TABLE_FLAGS = {"has_positive_term": lexicon.DOMAIN_POSITIVE, "has_context": lexicon.CONTEXT, "has_negative_indicator": lexicon.NEGATIVE}
+
+
+@check(
+    "t02_flags_by_table",
+    f"SELECT comment_id, {', '.join(f'{contains_sql("low", terms)} AS {name}' for name, terms in TABLE_FLAGS.items())} "
+    "FROM (SELECT comment_id, lower(text) AS low FROM c_text)",
+)
+def t02_tables(spark, sf):
+    lists = {name: spark.createDataFrame([(t,) for t in terms], "term string") for name, terms in TABLE_FLAGS.items()}
+    texts = c_text(spark, sf).select("comment_id", "text")
+    return term_tables.with_flags(texts, "comment_id", "text", lists).drop("text")
+
+
+@check(
+    "f19_term_table",
+    rf"""WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}{{6,}}')) AS term FROM conversations)
+        SELECT c.comment_id, length(term) AS length FROM c_text c JOIN terms ON contains(lower(c.text), term) GROUP BY 1, 2""",
+)
+def f19_table(spark, sf):
+    """Texts that hold a long word of the conversations anywhere, by the word's length."""
+    words = table(spark, sf, "conversations").select(F.explode(tx.words(F.col("text"), 6)).alias("term"))
+    terms = words.distinct().select("term", F.length("term").alias("length"))
+    texts = c_text(spark, sf).select("comment_id", F.lower("text").alias("low"))
+    return term_tables.texts_holding(texts, "comment_id", "low", terms, "length").select(
+        "comment_id", F.col("length").cast("bigint").alias("length")
+    )
+
+
+@check(
+    "t04_adjusted_by_table",
+    f"WITH {scored_sql('text', 'c_text', False)} SELECT comment_id, round(polarity, 9) AS polarity, sentiment FROM scored",
+)
+def t04_tables(spark, sf):
+    opinions = spark.createDataFrame(
+        [(w, p, s) for w, (p, s) in lexicon.OPINIONS.items()], "word string, polarity double, subjectivity double"
+    )
+    lists = {"positive": lexicon.DOMAIN_POSITIVE, "context": lexicon.CONTEXT, "negative": lexicon.NEGATIVE}
+    flags = {name: spark.createDataFrame([(t,) for t in terms], "term string") for name, terms in lists.items()}
+    comments = c_text(spark, sf).select("comment_id", "movie", "text")
+    scored = sentiment.score_comments(comments, text="text", opinions=opinions, flags=flags)
+    return scored.select("comment_id", r("polarity").alias("polarity"), "sentiment")
+
+
 @check(
     "t05_score_comments",
     f"""WITH {scored_sql('clean_text', 'c_clean', True)}
