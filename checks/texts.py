@@ -447,10 +447,12 @@ def t01_phrases(spark, sf):
     """A lexicon of the corpus' own phrases of two and three words, which grows with it."""
     texts = cut_lineage(c_clean(spark, sf).select("comment_id", "clean_text", tx.words(F.col("clean_text"), 2).alias("tokens")))
     tokens = F.col("tokens")
-    grams = F.concat(*[
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        for n in (2, 3)
-    ])
+
+    def grams_of(n):
+        starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+
+    grams = F.concat(grams_of(2), grams_of(3))
     found = texts.filter(F.size(tokens) >= 3).select(F.explode(grams).alias("word")).unionByName(
         texts.filter(F.size(tokens) == 2).select(F.array_join(tokens, " ").alias("word"))
     )
