@@ -109,26 +109,10 @@ def save_dataset(comments: DataFrame, movies: DataFrame, folder: str, clear: boo
     writers.write_table(comments, f"{folder}/comments_processed", clear=clear)
 
 
-def collect_dataset(
-    popular: DataFrame,
-    details: DataFrame,
-    supplement: DataFrame,
-    videos: DataFrame,
-    threads: DataFrame,
-    min_movies: int = 50,
-    min_comments: int = 100,
-    include_box_office: bool = True,
-    comment_cap: int = 300,
-    folder: str | None = None,
-    clear: bool = True,
-    **scoring,
-) -> tuple[DataFrame, DataFrame]:
-    """Comments and movies from the landing scans; with a ``folder``, snapshots and final tables are written there.
-
-    Every source gives one record per key, so the feed's at most 400 movies bound the movies side of the thread join,
-    which is broadcast: the threads are read once and only the capped comments are shuffled and written.
-    ``scoring`` goes to ``score_comments``.
-    """
+def candidate_movies(
+    popular: DataFrame, details: DataFrame, supplement: DataFrame, videos: DataFrame, include_box_office: bool = True
+) -> DataFrame:
+    """Movies of the feed that pass the box-office gate and have a trailer: at most 400 rows, worked out once."""
     feed = feed_order(popular).select(
         "page", "pos", "title", F.col("id").alias("tmdb_id"), values.to_day(F.col("release_date")).alias("release_date"),
         "poster_path", "overview",
@@ -138,16 +122,33 @@ def collect_dataset(
         feed.join(primary, "tmdb_id", "left"), supplement, include_box_office=include_box_office, details="_details"
     )
     candidates = with_trailer(box_office_gate(known, include_box_office, "_details"), videos)
-    candidates = cut_lineage(candidates.drop("_details"))
+    return cut_lineage(candidates.drop("_details"))
 
-    wanted = candidates.select(
+
+def wanted_trailers(candidates: DataFrame) -> DataFrame:
+    """What a comment takes from its movie, by trailer."""
+    return candidates.select(
         F.col("trailer_id").alias("video_id"), F.col("tmdb_id").alias("movie_id"), F.col("title").alias("movie"),
         "release_date",
     )
+
+
+def early_comments(threads: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Comments of the wanted trailers up to the release; ``wanted`` is at most 400 rows, so it is broadcast."""
     flat = readers.with_timestamp(readers.flatten_threads(threads)).join(F.broadcast(wanted), "video_id")
-    early = flat.filter(values.until(F.col("published_at"), values.day_start(F.col("release_date"))))
-    capped = cut_lineage(cap_comments(early.drop("release_date"), comment_cap, "movie_id"))
+    return flat.filter(values.until(F.col("published_at"), values.day_start(F.col("release_date")))).drop("release_date")
 
+
+def accept(
+    candidates: DataFrame,
+    capped: DataFrame,
+    min_movies: int = 50,
+    min_comments: int = 100,
+    folder: str | None = None,
+    clear: bool = True,
+    **scoring,
+) -> tuple[DataFrame, DataFrame]:
+    """The first ``min_movies`` movies with enough comments, and their comments, scored."""
     accepted = enough_comments(candidates, capped, min_comments)
     movies = cut_lineage(accepted.orderBy("page", "pos").limit(min_movies))
     kept = capped.join(F.broadcast(movies.select(F.col("tmdb_id").alias("movie_id"))), "movie_id", "left_semi")
@@ -158,3 +159,29 @@ def collect_dataset(
         comments = cut_lineage(comments)
         save_dataset(comments, with_batches(movies).drop("page", "pos"), folder, clear)
     return comments, movies.drop("page", "pos")
+
+
+def collect_dataset(
+    popular: DataFrame,
+    details: DataFrame,
+    supplement: DataFrame,
+    videos: DataFrame,
+    threads: DataFrame,
+    min_movies: int = 50,
+    min_comments: int = 100,
+    include_box_office: bool = True,
+    comment_cap: int = 300,
+    folder: str | None = None,
+    clear: bool = True,
+    **scoring,
+) -> tuple[DataFrame, DataFrame]:
+    """Comments and movies from the landing scans; with a ``folder``, snapshots and final tables are written there.
+
+    Every source gives one record per key, so the feed's at most 400 movies bound the movies side of the thread join,
+    which is broadcast: the threads are read once and only the capped comments are shuffled and written.
+    ``scoring`` goes to ``score_comments``.
+    """
+    candidates = candidate_movies(popular, details, supplement, videos, include_box_office)
+    early = early_comments(threads, wanted_trailers(candidates))
+    capped = cut_lineage(cap_comments(early, comment_cap, "movie_id"))
+    return accept(candidates, capped, min_movies, min_comments, folder, clear, **scoring)

@@ -10,7 +10,7 @@ from applause.schemas import (
 )
 from applause.session import scratch_path
 from applause.sources import readers, writers
-from applause.streaming import snapshots
+from applause.streaming import collected, snapshots
 
 from .base import c_event, c_text, check, m_event, r, table
 from .movies import STAT_COLUMNS, STATS_SQL
@@ -295,7 +295,8 @@ COLLECT_SQL = """
                     QUALIFY place <= 40)"""
 
 
-def collect(spark, sf, folder=None):
+def collection_sources(spark, sf):
+    """Popular pages, detail records, supplement, videos and thread pages from the given tables."""
     c, m, e = table(spark, sf, "customer"), m_event(spark, sf), table(spark, sf, "events")
     nothing = {k: F.lit(None).cast("string").alias(k) for k in ("poster_path", "overview")}
     listed = tables.top_k_per_group(c, ["c_nationkey"], [F.asc("c_custkey")], 20).join(
@@ -328,43 +329,79 @@ def collect(spark, sf, folder=None):
         F.array(item).alias("items"),
     )
     twice = [x.unionByName(x) for x in (details, supplement, videos)]  # repeated records change nothing
+    return landed(spark, popular, MOVIE_PAGE), *twice, threads
+
+
+LIMITS = {"min_movies": 40, "min_comments": 10}
+
+
+def collect(spark, sf, folder=None):
+    *sources, threads = collection_sources(spark, sf)
     return collection.collect_dataset(
-        landed(spark, popular, MOVIE_PAGE), *twice, landed(spark, threads, THREAD_PAGE),
-        min_movies=40, min_comments=10, comment_cap=30, folder=folder,
+        *sources, landed(spark, threads, THREAD_PAGE), comment_cap=30, folder=folder, **LIMITS
     )
 
 
-@check(
-    "j07_collect_dataset",
-    f"""WITH {COLLECT_SQL}
-       SELECT tmdb_id, title, comment_count, CASE WHEN coalesce(revenue, 0) = 0 THEN coalesce(box, revenue) ELSE revenue END AS revenue,
-              'v' || tmdb_id AS trailer_id
-       FROM accepted""",
-)
+def collect_stream(spark, sf, folder=None):
+    """The pages land in three parts, each taken by a stream that is started again; the second part lands twice."""
+    *sources, threads = collection_sources(spark, sf)
+    candidates = collection.candidate_movies(*sources)
+    store, state, pages = (scratch_path(spark, x) for x in ("taken", "taken_state", "pages"))
+    part = F.floor(F.col("page") / (threads.agg(F.max("page") + 1).scalar() / 3))
+    for number in (0, 1, 1, 2):
+        threads.filter(part == number).write.mode("append").json(pages)
+        stream = snapshots.landing_stream(spark, pages, THREAD_PAGE, "json")
+        collected.stream_comments(stream, candidates, store, state, cap=30).awaitTermination()
+    return collected.collected(candidates, store, folder=folder, **LIMITS)
+
+
+COLLECTED_MOVIES = f"""WITH {COLLECT_SQL}
+    SELECT tmdb_id, title, comment_count, CASE WHEN coalesce(revenue, 0) = 0 THEN coalesce(box, revenue) ELSE revenue END AS revenue,
+           'v' || tmdb_id AS trailer_id
+    FROM accepted"""
+COLLECTED_COMMENTS = f"""WITH {COLLECT_SQL}
+    SELECT c.comment_id::VARCHAR AS comment_id, c.movie_id, title AS movie, event_type AS clean_text, 0.0::DOUBLE AS polarity,
+           'neutral' AS sentiment
+    FROM early JOIN accepted USING (movie_id) JOIN c_event c USING (comment_id) WHERE rn <= 30"""
+COLLECTED_BATCHES = f"""WITH {COLLECT_SQL}
+    SELECT ceil(place / 10)::INT AS batch_id, movie_id, comment_count AS comments FROM accepted"""
+
+
+@check("j07_collect_dataset", COLLECTED_MOVIES)
 def collected_movies(spark, sf):
     _, movies = collect(spark, sf)
     return movies.select("tmdb_id", "title", "comment_count", "revenue", "trailer_id")
 
 
-@check(
-    "j07_collect_comments",
-    f"""WITH {COLLECT_SQL}
-       SELECT c.comment_id::VARCHAR AS comment_id, c.movie_id, title AS movie, event_type AS clean_text, 0.0::DOUBLE AS polarity,
-              'neutral' AS sentiment
-       FROM early JOIN accepted USING (movie_id) JOIN c_event c USING (comment_id) WHERE rn <= 30""",
-)
+@check("j07_collect_comments", COLLECTED_COMMENTS)
 def collected_comments(spark, sf):
     comments, _ = collect(spark, sf)
     return comments.select("comment_id", "movie_id", "movie", "clean_text", "polarity", "sentiment")
 
 
-@check(
-    "s04_collection_snapshots",
-    f"""WITH {COLLECT_SQL}
-       SELECT ceil(place / 10)::INT AS batch_id, movie_id, comment_count AS comments FROM accepted""",
-)
+@check("s04_collection_snapshots", COLLECTED_BATCHES)
 def collection_snapshots(spark, sf):
     folder = scratch_path(spark, "dataset")
     collect(spark, sf, folder)
     rows = writers.read_snapshot(spark, f"{folder}/comments_partial", 100)
     return rows.groupBy("batch_id", "movie_id").agg(F.count("*").alias("comments"))
+
+
+@check("j07_stream_dataset", COLLECTED_MOVIES)
+def streamed_movies(spark, sf):
+    _, movies = collect_stream(spark, sf)
+    return movies.select("tmdb_id", "title", "comment_count", "revenue", "trailer_id")
+
+
+@check("j07_stream_comments", COLLECTED_COMMENTS)
+def streamed_comments(spark, sf):
+    comments, _ = collect_stream(spark, sf)
+    return comments.select("comment_id", "movie_id", "movie", "clean_text", "polarity", "sentiment")
+
+
+@check("s04_stream_collection", COLLECTED_BATCHES)
+def streamed_batches(spark, sf):
+    folder = scratch_path(spark, "dataset")
+    collect_stream(spark, sf, folder)
+    rows = writers.read_snapshot(spark, f"{folder}/comments_partial", 100)
+    return rows.groupBy("batch_id", "movie_id").agg(F.count("*").alias("comments"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from applause.functions import text as tx, values
-from applause.operators import collection, movie_stats, scoring, tables
+from applause.operators import collection, movie_stats, partials, scoring, tables
 from applause.schemas import require_columns
+from applause.session import scratch_path
 from applause.sources import readers
 
 from .base import c_event, c_text, check, m_event, m_text, r, table
@@ -563,6 +564,44 @@ NUMERIC_SQL = """
     FROM m_event LEFT JOIN s ON title = movie"""
 
 
+def appended(spark, sf):
+    """Seven batches appended one part at a time, the fourth twice, the first three then made one."""
+    comments = c_event(spark, sf).withColumn("batch_id", (F.col("comment_id") % 7).cast("int"))
+    path, target = scratch_path(spark, "partials"), scratch_path(spark, "compacted")
+    for batches in ([0, 1, 2], [3], [3, 4], [5, 6]):
+        partials.append(comments.filter(F.col("batch_id").isin(batches)), path)
+    partials.compact(spark, path, target, 2)
+    return partials.read(spark, target)
+
+
+@check("a02_appended_stats", f"WITH {STATS_SQL} SELECT title, revenue, {', '.join(STAT_COLUMNS)} FROM joined")
+def a02_appended(spark, sf):
+    stats = partials.movie_statistics(appended(spark, sf), m_event(spark, sf).select("title", "revenue"))
+    return _rounded(stats.select("title", "revenue", *STAT_COLUMNS))
+
+
+@check(
+    "a04_appended_deviation",
+    """SELECT movie, count(*) AS comment_count, round(avg(polarity), 9) AS avg_polarity,
+              round(stddev_samp(polarity), 9) AS polarity_std, coalesce(sum(likes), 0)::BIGINT AS likes_count
+       FROM c_event GROUP BY 1""",
+)
+def a04_appended(spark, sf):
+    stats = partials.statistics(appended(spark, sf))
+    return _rounded(stats.select("movie", "comment_count", "avg_polarity", "polarity_std", "likes_count"))
+
+
+@check(
+    "a12_appended_totals",
+    """SELECT count(*) AS comment_count, count(*) FILTER (sentiment = 'positive') AS positive_count,
+              count(*) FILTER (sentiment = 'negative') AS negative_count, count(polarity) AS known_count,
+              coalesce(sum(likes), 0)::BIGINT AS likes_count, round(avg(polarity), 9) AS avg_polarity,
+              round(stddev_samp(polarity), 9) AS polarity_std FROM c_event""",
+)
+def a12_appended(spark, sf):
+    return _rounded(partials.totals(appended(spark, sf)))
+
+
 @check("a03_numeric_sentiment_stats", NUMERIC_SQL.format(source="c_event"))
 def a03(spark, sf):
     numeric = c_event(spark, sf).drop("sentiment").withColumnRenamed("polarity", "sentiment")
