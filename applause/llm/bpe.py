@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by recursive queries over token rows, decoding by ordered aggregation.
 
 Spark deals out the documents; inside a task DuckDB holds the merge table. Each distinct pre-token of the task is
-spelt as rows ``word, pos, tok, next`` and a recursive query contracts every word's leftmost pair of minimum rank, all
+spelt as rows ``word, pos, pair`` (a token and the next one in one number) and a recursive query contracts every word's leftmost pair of minimum rank, all
 words at a time, until no pair has a rank. That query keeps the rows of every step, so words are handed over in batches
 bounded by the sum of their squared lengths. Longer words go through a recursive query that keeps the last step of a
 word alone and contracts all places of its pair of minimum rank in one step, unless the token that this makes could start
@@ -29,24 +29,23 @@ IDS_PER_QUERY = 400_000
 DISTINCT_KEPT = 300_000  # pre-tokens remembered inside a task
 ROWS_PER_STEP = 512  # a query costs the same for few words, so many rows share one
 LONG_WORD = 128  # bytes; beyond it only the last step is kept
+NO_TOKEN = 0x7FFFFFFF  # after the last token of a word
 HEAP_WORD = 1024  # bytes; a step passes over the whole word, so steps times rows grow too fast for words beyond it
 
 CONTRACT = """
-WITH RECURSIVE s(step, w, pos, tok, nxt) AS (
-  SELECT 0, w, pos, tok, nxt FROM spelt
+WITH RECURSIVE s(step, w, pos, pair) AS (
+  SELECT 0, w, pos, pair FROM spelt
   UNION ALL
   SELECT s.step + 1, s.w, s.pos - (s.pos > b.at)::INT,
-         CASE WHEN s.pos = b.at + 1 THEN b.merged ELSE s.tok END,
-         CASE WHEN s.pos = b.at - 1 THEN b.merged ELSE s.nxt END
+         CASE s.pos - b.at WHEN 1 THEN b.merged | (s.pair & 4294967295)
+                           WHEN -1 THEN (s.pair & -4294967296) | (b.merged >> 32) ELSE s.pair END
   FROM s JOIN (
-    SELECT w, (best >> 32)::INT AS merged, (best & 4294967295)::INT AS at
-    FROM (SELECT s.w, min((m.merged::BIGINT << 32) | s.pos) AS best
-          FROM s JOIN merges m ON s.tok = m.l AND s.nxt = m.r GROUP BY s.w)
+    SELECT w, best & -4294967296 AS merged, (best & 4294967295)::INT AS at
+    FROM (SELECT s.w, min(p.merged | s.pos) AS best FROM s JOIN pairs p ON s.pair = p.pair GROUP BY s.w)
   ) b ON s.w = b.w
   WHERE s.pos <> b.at)
-SELECT w, list(tok ORDER BY pos) AS ids
+SELECT w, pos, (pair >> 32)::INT AS tok
 FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step)
-GROUP BY w
 """
 
 CONTRACT_LONG = """
@@ -103,13 +102,18 @@ class Splitter:
     def __init__(self, pattern: str):
         self.pattern = regex.compile(pattern)
         self.uneven = re.compile(r"\A | \Z| \s|\s ")
+        self.other_space = [c for c in map(chr, range(128)) if c.isspace() and c != " "]
 
     def whole(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
     def cuts(self, text: str) -> list[str] | None:
         """The cuts of a text, each with its leading space; None if it can't be cut."""
-        return None if self.uneven.search(text) else text.split(" ")
+        if text.isascii() and not any(c in text for c in self.other_space):  # the same rule by plain search
+            uneven = text[:1] == " " or text[-1:] == " " or "  " in text
+        else:
+            uneven = self.uneven.search(text) is not None
+        return None if uneven else text.split(" ")
 
     def pieces(self, cut: str, first: bool) -> list[str]:
         """Pre-tokens of a cut, with its leading space unless it starts a text; letters alone are one."""
@@ -141,7 +145,9 @@ class Tokenizer:
         vocabulary = pa.table({
             "id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string()),
         })
-        self.tables = {"merges": merges, "vocabulary": vocabulary}
+        left, right, merged = (np.array(c, np.int64) for c in columns)
+        in_one = pa.table({"pair": left << 32 | right, "merged": merged << 32})  # the rank above, room for a place below
+        self.tables = {"merges": merges, "pairs": in_one, "vocabulary": vocabulary}
 
     @functools.cached_property
     def db(self) -> duckdb.DuckDBPyConnection:
@@ -172,22 +178,25 @@ class Tokenizer:
         numbers = np.arange(len(words), dtype=np.int32)
         if longer:
             edges = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            rows = pa.table({"w": numbers, "toks": pa.ListArray.from_arrays(edges, pa.array(tok))})
+            self.db.register("spelt", pa.table({"w": numbers, "toks": pa.ListArray.from_arrays(edges, pa.array(tok))}))
+            found = self.db.sql(CONTRACT_LONG).to_arrow_table().combine_chunks()
+            lists = found.column("ids").combine_chunks()
+            order = found.column("w").to_numpy()
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()[1:]
         else:
-            last = np.zeros(len(tok), bool)
-            last[ends - 1] = True
-            rows = pa.table({
-                "w": np.repeat(numbers, lens),
-                "pos": np.arange(len(tok), dtype=np.int32) - np.repeat(ends - lens, lens).astype(np.int32),
-                "tok": tok,
-                "nxt": pa.array(np.roll(tok, -1), mask=last),
-            })
-        self.db.register("spelt", rows)
-        found = self.db.sql(CONTRACT_LONG if longer else CONTRACT).to_arrow_table().combine_chunks()
-        out, ids = [b""] * len(words), found.column("ids").combine_chunks()
-        flat, edges = ids.values.to_numpy().tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        for i, a, z in zip(found.column("w").to_pylist(), edges, edges[1:]):
-            out[i] = flat[a:z]
+            following = np.roll(tok, -1).astype(np.int64)
+            following[ends - 1] = NO_TOKEN
+            pos = np.arange(len(tok), dtype=np.int32) - np.repeat(ends - lens, lens).astype(np.int32)
+            pair = tok.astype(np.int64) << 32 | following
+            self.db.register("spelt", pa.table({"w": np.repeat(numbers, lens), "pos": pos, "pair": pair}))
+            found = self.db.sql(CONTRACT).to_arrow_table()
+            w = found.column("w").to_numpy()
+            flat = found.column("tok").to_numpy()[np.argsort(w.astype(np.int64) << 32 | found.column("pos").to_numpy())]
+            order, ends = numbers, np.cumsum(np.bincount(w, minlength=len(words)))
+        out, raw, start = [b""] * len(words), flat.tobytes(), 0
+        for i, end in zip(order.tolist(), (ends * 4).tolist()):
+            out[i] = raw[start:end]
+            start = end
         return out
 
     def contract_heap(self, word: bytes) -> bytes:
