@@ -108,3 +108,19 @@ def test_scores_by_tables_equal_literals_with_100_000_entries(spark):
     for i in a:
         assert (a[i].polarity, a[i].subjectivity) == pytest.approx((b[i].polarity, b[i].subjectivity))
         assert a[i].sentiment == b[i].sentiment
+
+
+def test_terms_are_searched_in_distinct_words(spark, monkeypatch):
+    searched = []
+    plain = term_tables._words_holding
+    monkeypatch.setattr(term_tables, "_words_holding", lambda words, parts: searched.append(words.count()) or plain(words, parts))
+    long = "x" * 300 + "needle" + "y" * 300
+    rows = [(i, "the cash grab  trailer " * 50) for i in range(40)] + [
+        (40, long), (41, "a grab cash"), (41, "needles"), (None, "smash grabbed"), (None, "nothing"), (42, None), (43, ""), (44, "  "),
+    ]
+    terms = [("L", "needle"), ("P", "ash grab"), ("P", "sh grabbed"), ("S", "  "), ("B", " "), ("N", "grab  "), ("N", "cash trailer"), ("E", ""), ("E", None)]
+    texts = spark.createDataFrame(rows, "id int, t string")
+    got = term_tables.texts_holding(texts, "id", "t", spark.createDataFrame(terms, "label string, term string"))
+    want = {(i, name) for i, t in rows for name, x in terms if t and x and x in t}
+    assert {tuple(x) for x in got.collect()} == want
+    assert searched == [10]  # each distinct word once, however often texts use it
