@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .readers import best_movies_path
@@ -42,5 +44,13 @@ def write_snapshots(df: DataFrame, path: str, batch: str = "batch_id") -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str, upto: int, batch: str = "batch_id") -> DataFrame:
-    """All rows collected up to and including batch ``upto``; later folders are not read."""
-    return spark.read.parquet(path).filter(F.col(batch) <= upto)
+    """All rows collected up to and including batch ``upto``; later folders are neither listed nor read."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{batch}=*")) or []
+    names = [x.getName().split("=", 1)[1] for x in jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)] if found else []
+    numbers = [int(n) for n in names if re.fullmatch(r"0|-?[1-9][0-9]{0,8}", n)]
+    wanted = [f"{path}/{batch}={n}" for n in numbers if n <= upto]
+    if not wanted or len(numbers) != len(names):  # without one the schema is read from the rest; other names are Spark's to read
+        return spark.read.parquet(path).filter(F.col(batch) <= upto)
+    return spark.read.option("basePath", path).parquet(*wanted).filter(F.col(batch) <= upto)

@@ -91,3 +91,16 @@ def test_run_folders_are_removed(spark):
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(10).selectExpr("id", "array(id) AS l")
     assert sorted(map(tuple, cut_lineage(df).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_later_snapshots_are_not_listed(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    rows = spark.createDataFrame([(i, i % 6 if i < 18 else None) for i in range(20)], "k int, batch_id int")
+    writers.write_snapshots(rows.filter("batch_id IS NOT NULL"), path)
+    early = writers.read_snapshot(spark, path, 1)
+    assert sorted(map(tuple, early.collect())) == sorted((i, i % 6) for i in range(18) if i % 6 <= 1)
+    assert len(early.inputFiles()) == len({f for f in early.inputFiles() if "batch_id=0/" in f or "batch_id=1/" in f})
+    assert spark.read.parquet(path).schema == early.schema
+    assert writers.read_snapshot(spark, path, -1).count() == 0
+    writers.write_snapshots(rows.filter("batch_id IS NULL"), path)  # a folder whose name is no number
+    assert writers.read_snapshot(spark, path, 2).count() == 9
