@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,11 +25,6 @@ def _modified(polarity: Column, boost: Column, negated: Column) -> Column:
     return F.when(negated, clipped * -0.5).otherwise(clipped)
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def base_score(
     text: Column,
     opinions: Mapping[str, tuple[float, float]] = lexicon.OPINIONS,
@@ -64,7 +59,7 @@ def base_score(
     def means(hits: Column) -> Column:
         return F.struct(mean(hits, "p").alias("polarity"), mean(hits, "s").alias("subjectivity"))
 
-    return _bind(tx.words(F.coalesce(text, F.lit("")), 2), lambda tokens: _bind(known(tokens), means))
+    return tx.bind(tx.words(F.coalesce(text, F.lit("")), 2), lambda tokens: tx.bind(known(tokens), means))
 
 
 def with_base_scores(
@@ -127,7 +122,7 @@ def has_slang(
     lowered: Column, slang: Sequence[str] = lexicon.SLANG_WORDS, emoji: str = lexicon.SLANG_EMOJI
 ) -> Column:
     """A slang word on its own, or the emoji right after a word or at the start."""
-    return lowered.rlike(f"{tx.whole_word(slang)}|(^|[{tx.WORD}]){emoji}")
+    return tx.finds(lowered, f"{tx.whole_word(slang)}|(^|[{tx.WORD}]){emoji}", [*slang, emoji])
 
 
 def refers_to_content(text: Column) -> Column:
@@ -140,20 +135,20 @@ def adjusted_polarity(p: Column, text: Column, flags: Mapping[str, Column], slan
     """The eight context rules on the base polarity ``p``.
 
     No rule reads another rule's result, so the last rule that applies decides: the chain tests the
-    rules from last to first.
+    rules from last to first. Within a rule the number is tested first, so text is searched only where it can matter.
     """
     positive, context = flags["has_positive_term"], flags["has_context"]
     negative, excited = flags["has_negative_indicator"], flags["has_excitement"]
-    quoted = text.contains('"') | (text.contains("'") & (p < 0))
+    quoted = text.contains('"') | ((p < 0) & text.contains("'"))
     rules = [
-        (excited & (p < 0.3), F.lit(0.5)),
-        (slang & (p < 0.3), F.lit(0.7)),
-        (neutral & ~negative & (p < 0), F.lit(0.1)),
-        (positive & context & (p < 0), F.lit(0.1)),
-        (positive & (p < 0) & ~negative, F.least(p + 0.5, F.lit(0.3))),
-        (negative & (p > -0.2), F.lit(-0.4)),
+        ((p < 0.3) & excited, F.lit(0.5)),
+        ((p < 0.3) & slang, F.lit(0.7)),
+        ((p < 0) & neutral & ~negative, F.lit(0.1)),
+        ((p < 0) & positive & context, F.lit(0.1)),
+        ((p < 0) & positive & ~negative, F.least(p + 0.5, F.lit(0.3))),
+        ((p > -0.2) & negative, F.lit(-0.4)),
         (quoted & context, F.greatest(F.lit(0.1), p)),
-        (text.rlike(lexicon.CHEERING_EMOJI) & (p < 0.3), F.lit(0.7)),
+        ((p < 0.3) & tx.finds(text, lexicon.CHEERING_EMOJI, [lexicon.CHEERING_EMOJI]), F.lit(0.7)),
     ]
     result = p
     for condition, value in rules:
@@ -165,7 +160,8 @@ def quoted_phrases(text: Column, least: int = 3, most: int = 5) -> Column:
     """Lower-cased double-quoted phrases of three to five words."""
     quotes = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
     short = F.filter(quotes, lambda q: tx.word_count(q).between(least, most))
-    return F.transform(short, lambda q: F.lower(q))
+    lowered = F.transform(short, lambda q: F.lower(q))
+    return F.when(~text.contains('"'), F.array().cast("array<string>")).otherwise(lowered)
 
 
 def frequent_terms(
@@ -176,7 +172,7 @@ def frequent_terms(
     Counts are summed within each task first, so a hot movie or word sends one row per task.
     """
     content = F.col(text)
-    terms = F.concat(tx.words(content), quoted_phrases(content))
+    terms = F.concat(tx.words(content, 3), quoted_phrases(content))
     counted = (
         comments.filter(F.col(by).isNotNull() & content.isNotNull())
         .select(by, F.explode(terms).alias("term"))
@@ -292,19 +288,22 @@ def score_comments(
     With ``movie`` the frequent terms of each movie count as references to its content. They can only
     matter for a negative base score without other marks, so only those comments are searched and joined; all others
     pass through. The scored comments are written once, since the term counts, the search and the result read them.
+
+    Before that only the marks are searched that tell which comments to search; the others follow at the end, each only
+    where the base score and the later rules leave it open.
     """
     c = F.col(text)
+    lowered = F.lower(F.coalesce(c, F.lit("")))
     listed = {name: terms for name, terms in (flags or {}).items() if not isinstance(terms, DataFrame)}
     by_table = {FLAG_NAMES[name]: terms for name, terms in (flags or {}).items() if name not in listed}
     marks = domain_flags(F.col("_lower"), **listed)
     scored = with_base_scores(comments, text, opinions, key, intensifiers, negators)
     if by_table:
         scored = term_tables.with_flags(scored, key, text, by_table, "_")
-    scored = scored.withColumn("_lower", F.lower(F.coalesce(c, F.lit("")))).withColumns(
-        {f"_{name}": column for name, column in marks.items() if name not in by_table}
-        | {"_slang": has_slang(F.col("_lower")), "_refers": F.coalesce(refers_to_content(c), F.lit(False))}
-    )
-    scored = scored.drop("_lower")
+    early = {"_refers": F.coalesce(refers_to_content(c), F.lit(False))}
+    if "has_negative_indicator" not in by_table:
+        early["_has_negative_indicator"] = marks["has_negative_indicator"]
+    scored = scored.withColumn("_lower", lowered).withColumns(early).drop("_lower")
     named = {name: F.col(f"_{name}") for name in marks}
     refers = F.col("_refers")
     if movie is not None:
@@ -317,7 +316,14 @@ def score_comments(
         scored = closed.unionByName(open_cases.join(hits, key, "left"))
         refers = refers | F.coalesce("_term", F.lit(False))
     neutral = refers & ~named["has_negative_indicator"]
-    adjusted = adjusted_polarity(F.col("polarity"), c, named, F.col("_slang"), neutral)
+    below = F.col("polarity") < 0
+    late = {
+        "_has_positive_term": F.when(below, marks["has_positive_term"]),
+        "_has_context": F.when(below | c.contains('"'), marks["has_context"]),
+    }
+    scored = scored.withColumn("_lower", lowered).withColumns({name: mark for name, mark in late.items() if name[1:] not in by_table})
+    named["has_excitement"] = marks["has_excitement"]
+    adjusted = adjusted_polarity(F.col("polarity"), c, named, has_slang(F.col("_lower")), neutral)
     done = scored.withColumns(
         {
             "polarity": F.when(tx.is_blank(c), 0.0).otherwise(adjusted),

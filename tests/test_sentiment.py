@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from applause.functions import lexicon
+from applause.functions import lexicon, text
 from applause.operators import sentiment
 
 BLANK = {"has_positive_term": False, "has_context": False, "has_negative_indicator": False, "has_excitement": False}
@@ -116,3 +116,33 @@ def test_top_negative_needs_enough_marked(spark):
     df = spark.createDataFrame(rows, "comment_id int, text string, sentiment string, polarity double")
     assert [x.text for x in sentiment.top_comments(df, "negative", 2).collect()] == ["so boring", "trash"]
     assert [x.text for x in sentiment.top_comments(df, "negative", 3).collect()] == ["meh", "so boring", "trash"]
+
+
+def test_scoring_searches_texts_only_where_a_mark_can_matter(spark):
+    """What is written for the term search holds two marks; no regular expression runs on texts without its literals."""
+    assert text.literals_of("can'?t wait") == ["t wait"] and text.literals_of("(gonna|going to) (be|watch)") == ["gonna", "going to"]
+    assert text.literals_of("go(es|ing)? hard") == [" hard"] and text.literals_of("(🔥|👍){2,}") == ["🔥", "👍"]
+    assert all(text.literals_of(p) is None for p in ("a.b", "x*", "a|b", "(a|)", r"\bx", "ab+?", "(a(b))", "x{0,3}"))
+    patterns = ["ab{2,}c", "(x|yy)+ z", "q{0,2}r?s", "t.?u"]
+    rows = ["abbc", "abc", "x z", "yy  z", "yyx z", "s", "qs", "tu", "täu", "", None, "S"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    for chosen in ([p] for p in patterns):
+        got = df.select(text.matches_any(F.col("t"), chosen).alias("x"), F.col("t").rlike(chosen[0]).alias("y")).collect()
+        assert all(r.x is r.y for r in got)
+
+
+def test_only_marks_for_the_term_search_are_searched_before_it(spark, monkeypatch):
+    """Slang, excitement and the like are searched at the end, where the base score and the later rules leave them open."""
+    written = []
+    monkeypatch.setattr(sentiment, "cut_lineage", lambda df, cut=sentiment.cut_lineage: written.append(df.columns) or cut(df))
+    df = spark.createDataFrame([(1, "m", "not good fire"), (2, "m", "so excited"), (3, "m", "a sad scene of evil"), (4, "m", "it is lit"), (5, "m", "hyped")], "comment_id int, movie string, clean_text string")
+    got = {x.comment_id: x.polarity for x in sentiment.score_comments(df, movie="movie").collect()}
+    assert got == pytest.approx({1: 0.2, 2: 0.78, 3: -0.25, 4: 0.7, 5: 0.5})
+    assert {c for c in written[0] if c.startswith("_")} == {"_has_negative_indicator", "_refers"}
+
+
+def test_blank_texts(spark):
+    df = spark.createDataFrame([(t, b) for t, b in [(None, True), ("", True), (" \t\n\x0b\x1f\x85\u00a0\u3000", True), (" \u200b", False), ("\na", False)]], "t string, b boolean")
+    assert df.filter(text.is_blank(F.col("t")) != F.col("b")).count() == 0
+    squeezed = F.coalesce(text.squeeze(F.col("t")), F.lit("")) == ""
+    assert df.filter(text.is_blank(F.col("t")) != squeezed).count() == 0
