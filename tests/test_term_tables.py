@@ -124,3 +124,26 @@ def test_terms_are_searched_in_distinct_words(spark, monkeypatch):
     want = {(i, name) for i, t in rows for name, x in terms if t and x and x in t}
     assert {tuple(x) for x in got.collect()} == want
     assert searched == [10]  # each distinct word once, however often texts use it
+
+
+def flat(found):
+    return {(i, n): x for i, pair in found.items() for n, x in enumerate(pair)}
+
+
+def test_large_lexicon_is_met_by_hash(spark, monkeypatch):
+    """The same scores, repeated keys included; no row of a place carries the words around it through a shuffle."""
+    rng = random.Random(12)
+    words = ["aa", "bb", "cc", "dd", "very", "not", "a"]
+    entries = [(" ".join(rng.choices(words[:4], k=rng.randint(1, 3))), rng.randint(-9, 9) / 10, rng.random()) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "aa"), (None, "aa bb"), (3, rows[3][1]), (4, rows[5][1])]
+    plain = scores(spark, rows, entries)
+    monkeypatch.setattr(term_tables, "SMALL", 0, raising=False)
+    assert flat(scores(spark, rows, entries)) == pytest.approx(flat(plain))
+    df = spark.createDataFrame(rows, "id int, t string")
+    known = term_tables.normalised(spark.createDataFrame(entries, OPINION))
+    places = term_tables.phrase_places(df, "id", "t", known)
+    assert "ahead" not in places._jdf.queryExecution().toString()
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))  # all hashes are equal
+    some = scores(spark, rows[6:30], entries)
+    assert flat(some) == pytest.approx(flat({i: plain[i] for i in some}))
