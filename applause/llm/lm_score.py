@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -117,6 +118,7 @@ class Layout:
         known = s.outputs if s.words is None else s.words + 2
         self.classes = np.where(np.arange(s.inputs) < min(known, s.outputs), np.arange(s.inputs), OTHER).astype(np.int32)
         self.nodes, self.path, self.turn = 0, np.zeros((s.inputs, 0), np.int32), np.zeros((s.inputs, 0), np.int8)
+        self.depth = np.zeros(s.inputs, np.int64)
         if known <= s.outputs:
             return
         single = s.outputs // 2
@@ -133,32 +135,43 @@ class Layout:
             self.turn[ids[on], step] = np.where(node[on] & 1, 1, -1)
             node = np.where(on, node >> 1, node)
             self.path[ids[on], step] = (first - single + node)[on]
+        self.depth = (self.turn != 0).sum(1)
 
 
-def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct row numbers and the sums of their gradients."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True))
-    sums = np.cumsum(grads[order], 0, dtype=np.float64)[last]
-    sums[1:] -= sums[:-1].copy()
-    return rows[last], sums.astype(np.float32)
+def places(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of a batch, where each comes first, where they come again, and whose repeats those are."""
+    keys = numbers.astype(np.int64) << 32
+    keys |= np.arange(len(keys))
+    keys.sort()  # faster than the order of the numbers
+    at = keys & 0xFFFFFFFF
+    keys >>= 32
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    owner = np.cumsum(new) - 1
+    again, new = np.flatnonzero(~new), np.flatnonzero(new)
+    return keys.take(new), at.take(new), at.take(again), owner.take(again)
 
 
-def byte_table(words: list[bytes]) -> np.ndarray:
-    """How often each byte, and the end (number 256), occurs in each word."""
-    lens = [len(w) for w in words]
-    at = np.repeat(np.arange(len(words)) * 257, lens) + np.frombuffer(b"".join(words), np.uint8)
-    table = np.bincount(at, minlength=257 * len(words)).reshape(-1, 257).astype(np.float32)
-    table[:, 256] = 1
-    return table
+def summed(grads: np.ndarray, first: np.ndarray, again: np.ndarray, whose: np.ndarray) -> np.ndarray:
+    """Sums of the gradients of every distinct row; most rows occur once."""
+    sums, width = grads.take(first, 0), grads.shape[1]
+    if len(again):
+        np.add.at(sums.reshape(-1), (whose[:, None] * width + np.arange(width)).reshape(-1), grads.take(again, 0).reshape(-1))
+    return sums
+
+
+def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the words, and where each word ends."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return np.frombuffer(b"".join(words), np.uint8), ends
 
 
 class Network:
     """Weights and their use. All arrays are float32.
 
     ``arrays`` are the embeddings, the hidden layer and the softmax; ``more`` are the decisions inside the groups and
-    what the hidden layer adds to the spelling.
+    what the hidden layer adds to the spelling. The biases of the softmax and of the decisions are kept beside their weights
+    (``wide``, ``leaves``) and belong to a last column of ones in the hidden layer.
     """
 
     NAMES = ("embed", "inner", "inner_bias", "outer", "outer_bias")
@@ -169,16 +182,18 @@ class Network:
         shapes = [(s.inputs, s.width), (2 * s.side * s.width, s.hidden), (s.hidden,), (s.hidden, s.outputs), (s.outputs,)]
         rng = np.random.default_rng(s.seed)
         arrays = [rng.normal(0, 1 / np.sqrt(x[0] if i else 4), x) if len(x) > 1 else np.zeros(x) for i, x in enumerate(shapes)]
-        self.arrays = [np.array(a, np.float32) for a in arrays]
-        self.more = [np.zeros(x, np.float32) for x in ((self.layout.nodes, s.hidden), (self.layout.nodes,), (s.hidden, 257))]
+        *inside, outer, outer_bias = [np.array(a, np.float32) for a in arrays]
+        self.wide = np.concatenate([outer, outer_bias[None]])
+        self.leaves = np.zeros((self.layout.nodes, s.hidden + 1), np.float32)
+        self.arrays = [*inside, self.wide[:-1], self.wide[-1]]
+        self.more = [self.leaves[:, :-1], self.leaves[:, -1], np.zeros((s.hidden, 257), np.float32)]
 
     @classmethod
     def from_flat(cls, settings: Settings, flat: np.ndarray) -> Network:
         net, at = cls(settings), 0
-        for own in (net.arrays, net.more):
-            for i, a in enumerate(own):
-                own[i] = flat[at : at + a.size].astype(np.float32).reshape(a.shape)
-                at += a.size
+        for a in (*net.arrays, *net.more):
+            a[...] = flat[at : at + a.size].reshape(a.shape)
+            at += a.size
         return net
 
     def flat(self) -> np.ndarray:
@@ -189,89 +204,168 @@ class Network:
         side = self.settings.side
         padded = np.concatenate([np.full(side, PAD, ids.dtype), ids, np.full(side, PAD, ids.dtype)])
         steps = [i for i in range(2 * side + 1) if i != side]
-        return padded[at[:, None] + np.array(steps)[None, :]]
+        return padded.take(at[:, None] + np.array(steps)[None, :])
+
+    def hidden(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embeddings of the windows, and the hidden layer with a last column of ones."""
+        embed, inner, inner_bias, _, _ = self.arrays
+        x = embed.take(windows, 0).reshape(len(windows), -1)
+        z = x @ inner
+        z += inner_bias
+        z *= 2
+        np.exp(np.minimum(z, 80, out=z), out=z)  # tanh by the exponential, which is faster
+        z += 1
+        np.divide(-2, z, out=z)
+        h = np.ones((len(windows), self.settings.hidden + 1), np.float32)
+        h[:, :-1] += z
+        return x, h
 
     def forward(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        embed, inner, inner_bias, outer, outer_bias = self.arrays
-        x = embed[windows].reshape(len(windows), -1)
-        h = np.tanh(x @ inner + inner_bias)
-        return x, h, h @ outer + outer_bias
-
-    def decisions(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every decision on the way from the class to the word: position, number, direction (1 or -1) and its logit."""
-        turns = self.layout.turn[ids]
-        at, step = np.nonzero(turns)
-        nodes = self.layout.path[ids[at], step]
-        leaf, leaf_bias, _ = self.more
-        return at, nodes, turns[at, step], np.einsum("ij,ij->i", h[at], leaf[nodes]) + leaf_bias[nodes]
+        x, h = self.hidden(windows)
+        return x, h[:, :-1], h @ self.wide
+
+    def moderate(self) -> bool:
+        """Whether no window can give a logit whose exponential leaves float32: the hidden layer lies between -1 and 1."""
+        return bool(np.abs(self.wide).sum(0).max() < 80)
 
     def log_probs(self, windows: np.ndarray, ids: np.ndarray, spelt: list[bytes], spelling: np.ndarray) -> np.ndarray:
         """Logarithm of the probability of each word given its window; ``spelt`` are the words without a number in turn."""
-        out, done = np.empty(len(ids), np.float32), 0
-        for i in range(0, len(ids), 4096):
-            own = ids[i : i + 4096]
-            classes = self.layout.classes[own]
-            _, h, z = self.forward(windows[i : i + 4096])
-            z -= z.max(1, keepdims=True)
+        out, done, layout, moderate = np.empty(len(ids), np.float32), 0, self.layout, self.moderate()
+        for i in range(0, len(ids), 1024):
+            own = ids[i : i + 1024]
+            classes = layout.classes.take(own)
+            _, h = self.hidden(windows[i : i + 1024])
+            z = h @ self.wide
+            if not moderate:
+                z -= z.max(1, keepdims=True)
             part = z[np.arange(len(z)), classes]
             np.exp(z, out=z)
-            part -= np.log(z.sum(1))
-            if self.layout.nodes:
-                at, _, turn, logit = self.decisions(h, own)
-                part -= np.bincount(at, np.logaddexp(0, -turn * logit), len(own)).astype(np.float32)
+            part -= np.log(z @ np.ones(z.shape[1], np.float32))
+            on = np.flatnonzero(layout.depth.take(own))
+            if len(on):
+                turn = layout.turn.take(own[on], 0)
+                logit = np.einsum("ijk,ik->ij", self.leaves.take(layout.path.take(own[on], 0), 0), h[on])
+                logit *= turn
+                lost = np.log(1 + np.exp(-np.abs(logit)))
+                lost -= np.minimum(logit, 0)
+                part[on] -= np.einsum("ij,ij->i", lost, np.abs(turn).astype(np.float32))
             rare = np.flatnonzero(classes == OTHER)
             if len(rare):
-                table = byte_table(spelt[done : done + len(rare)])
+                codes, ends = joined(spelt[done : done + len(rare)])
                 done += len(rare)
-                y = spelling.astype(np.float32) + h[rare] @ self.more[2]
+                y = spelling.astype(np.float32) + h[rare, :-1] @ self.more[2]
                 top = y.max(1)
                 y -= (top + np.log(np.exp(y - top[:, None]).sum(1)))[:, None]
-                part[rare] += (table * y).sum(1)
-            out[i : i + 4096] = part
+                rows = np.repeat(np.arange(len(rare)), np.diff(ends, prepend=0))
+                part[rare] += y[:, 256] + np.bincount(rows, y[rows, codes], len(rare)).astype(np.float32)
+            out[i : i + 1024] = part
         return out
 
+    def memory(self) -> list[np.ndarray]:
+        """Squared gradients so far, for ``train``."""
+        embed, inner, inner_bias, _, _ = self.arrays
+        return [np.full_like(a, 0.01) for a in (embed, inner, inner_bias, self.wide, self.leaves, self.more[2])]
+
+    def step(self, a: np.ndarray, m: np.ndarray, grads: np.ndarray) -> None:
+        """A step of Adagrad on weights with the squared gradients ``m``."""
+        m += grads * grads
+        size = np.sqrt(m)
+        size += 1e-6
+        np.divide(grads, size, out=size)
+        size *= self.settings.rate
+        a -= size
+
+    def step_rows(self, a: np.ndarray, m: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
+        own, seen = a.take(rows, 0), m.take(rows, 0)
+        self.step(own, seen, grads)
+        whole = np.dtype((np.void, a.itemsize * a.shape[1]))  # rows are put back in one piece
+        for table, values in ((a, own), (m, seen)):
+            table.view(whole)[rows, 0] = values.view(whole)[:, 0]
+
     def train(self, windows: np.ndarray, ids: np.ndarray, spelt: list[bytes], spelling: np.ndarray, memory: list[np.ndarray]) -> None:
-        """One step of Adagrad on a batch; ``memory`` holds the squared gradients so far."""
-        embed, inner, inner_bias, outer, outer_bias = self.arrays
-        leaf, leaf_bias, spell = self.more
-        rate, n, classes = self.settings.rate, len(ids), self.layout.classes[ids]
-        x, h, z = self.forward(windows)
-        z -= z.max(1, keepdims=True)
+        """Steps of Adagrad on one batch after the other; ``spelt`` are the words without a number in turn.
+
+        What depends on the words alone is worked out for all batches at once. In a batch words with decisions come first
+        and spelt ones last.
+        """
+        layout, edges = self.layout, np.append(np.arange(0, len(ids), self.settings.batch), len(ids))
+        classes = layout.classes.take(ids)
+        kind = np.where(classes == OTHER, 2, layout.depth.take(ids) == 0)
+        letters = np.empty(len(ids), object)
+        letters[kind == 2] = spelt
+        order = np.argsort((kind + 3 * (np.arange(len(ids)) // self.settings.batch)).astype(np.min_scalar_type(3 * len(edges))), kind="stable")
+        windows, ids, classes, kind, letters = windows[order], ids[order], classes[order], kind[order], letters[order]
+        rare, codes, ends = self.edges_of(kind == 2, edges), *joined(letters[kind == 2].tolist())
+        ends = np.append(0, ends)
+        decided, deep = self.edges_of(kind == 0, edges), ids[kind == 0]
+        path, turn = layout.path.take(deep, 0), layout.turn.take(deep, 0).astype(np.float32)
+        cells = np.flatnonzero(turn)
+        decisions = np.append(0, np.cumsum(layout.depth.take(deep)))[decided]
+        spelling = spelling.astype(np.float32)
+        for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])):
+            own, spell = slice(*decided[i : i + 2]), slice(*rare[i : i + 2])
+            self.train_batch(
+                windows[a:z], classes[a:z],
+                path[own], turn[own], cells[slice(*decisions[i : i + 2])] - own.start * path.shape[1],
+                codes[ends[spell.start] : ends[spell.stop]], np.diff(ends[spell.start : spell.stop + 1]), spelling, memory,
+            )
+
+    @staticmethod
+    def edges_of(which: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        return np.append(0, np.cumsum(which))[edges]
+
+    def train_batch(
+        self, windows: np.ndarray, classes: np.ndarray, path: np.ndarray, turn: np.ndarray, cells: np.ndarray,
+        codes: np.ndarray, lens: np.ndarray, spelling: np.ndarray, memory: list[np.ndarray],
+    ) -> None:
+        """``path`` and ``turn`` belong to the first positions, and ``cells`` are where they hold decisions; ``codes`` are the
+        bytes of the last positions' words, whose lengths are ``lens``."""
+        embed, inner, inner_bias, outer, _ = self.arrays
+        of_embed, of_inner, of_bias, of_wide, of_leaves, of_spell = memory
+        spell, n, moderate = self.more[2], len(classes), self.moderate()
+        x, h = self.hidden(windows)
+        z = h @ self.wide
+        if not moderate:
+            z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), classes] -= 1
-        z /= n
+        sums = z @ np.ones(z.shape[1], np.float32)
+        z[np.arange(n), classes] -= sums
+        share = (1 / (n * sums))[:, None]  # instead of dividing the wide array
         to_hidden = z @ outer.T
-        touched = []
-        if self.layout.nodes:
-            at, nodes, turn, logit = self.decisions(h, ids)
-            if len(at):
-                g = (-turn / (1 + np.exp(np.minimum(turn * logit, 60))) / n).astype(np.float32)
-                rows, sums = summed(at, g[:, None] * leaf[nodes])
-                to_hidden[rows] += sums
-                rows, sums = summed(nodes, g[:, None] * np.concatenate([h, np.ones((n, 1), np.float32)], 1)[at])
-                touched += [(leaf, memory[5], rows, sums[:, :-1]), (leaf_bias, memory[6], rows, sums[:, -1])]
-        dense = [(inner, memory[1]), (inner_bias, memory[2]), (outer, memory[3]), (outer_bias, memory[4])]
-        to_spell = []
-        rare = np.flatnonzero(classes == OTHER)
-        if len(rare):
-            table = byte_table(spelt)
-            y = spelling.astype(np.float32) + h[rare] @ spell
-            y = np.exp(y - y.max(1, keepdims=True))
-            y *= table.sum(1, keepdims=True) / y.sum(1, keepdims=True)
-            y = (y - table) / n
-            to_hidden[rare] += y @ spell.T
-            dense.append((spell, memory[7]))
-            to_spell.append(h[rare].T @ y)
-        back = to_hidden * (1 - h * h)
-        rows, sums = summed(windows.reshape(-1), (back @ inner.T).reshape(-1, embed.shape[1]))
-        touched.append((embed, memory[0], rows, sums))
-        for (a, m), g in zip(dense, [x.T @ back, back.sum(0), h.T @ z, z.sum(0), *to_spell]):
-            m += g * g
-            a -= rate * g / (np.sqrt(m) + 1e-6)
-        for a, m, rows, g in touched:
-            m[rows] += g * g
-            a[rows] -= rate * g / (np.sqrt(m[rows]) + 1e-6)
+        to_hidden *= share
+        dense = [(self.wide, of_wide, (h * share).T @ z)]
+        if len(cells):
+            own, leaves = h[: len(path)], self.leaves.take(path, 0)
+            g = np.einsum("ijk,ik->ij", leaves, own)
+            g *= turn
+            np.exp(np.minimum(g, 60, out=g), out=g)
+            g += 1
+            np.divide(turn, g, out=g)
+            g *= np.float32(-1 / n)
+            to_hidden[: len(path)] += np.einsum("ij,ijk->ik", g, leaves)[:, :-1]
+            grads = own.take(cells // path.shape[1], 0)
+            grads *= g.reshape(-1).take(cells)[:, None]
+            rows, *at = places(path.reshape(-1).take(cells))
+            self.step_rows(self.leaves, of_leaves, rows, summed(grads, *at))
+        if len(lens):
+            own = h[n - len(lens) :, :-1]
+            y = own @ spell
+            y += spelling
+            y -= y.max(1, keepdims=True)
+            np.exp(y, out=y)
+            y *= ((lens + 1) / (n * y.sum(1))).astype(np.float32)[:, None]
+            np.subtract.at(y.reshape(-1), np.repeat(np.arange(len(lens)) * 257, lens) + codes, np.float32(1 / n))
+            y[:, 256] -= np.float32(1 / n)
+            to_hidden[n - len(lens) :] += y @ spell.T
+            dense.append((spell, of_spell, own.T @ y))
+        own = h[:, :-1]
+        to_hidden *= 1 - own * own
+        rows, *at = places(windows.reshape(-1))
+        to_embed = summed((to_hidden @ inner.T).reshape(-1, embed.shape[1]), *at)
+        dense += [(inner, of_inner, x.T @ to_hidden), (inner_bias, of_bias, to_hidden.sum(0))]
+        for a, m, grads in dense:
+            self.step(a, m, grads)
+        self.step_rows(embed, of_embed, rows, to_embed)
 
 
 @dataclass(frozen=True)
@@ -285,7 +379,7 @@ class Model:
     def coded(self, words: list[str]) -> np.ndarray:
         """Numbers of words; the others have one of the shared numbers, or ``OTHER`` if all words of the corpus are numbered."""
         get, first, buckets = self.numbers.get, (self.settings.words or 0) + 2, self.settings.buckets
-        ids = np.fromiter((get(w, OTHER) for w in words), np.int32, len(words))
+        ids = np.fromiter(map(get, words, repeat(OTHER)), np.int32, len(words))
         if buckets:
             for i in np.flatnonzero(ids == OTHER):
                 ids[i] = first + crc32(in_bytes(words[i])) % buckets
@@ -311,7 +405,7 @@ def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         net = Network.from_flat(settings, model.weights)
-        memory = [np.full_like(a, 0.01) for a in (*net.arrays, *net.more)]
+        memory = net.memory()
         windows, targets, spelt, seen, held = [], [], [], 0, 0
 
         def step() -> None:
@@ -319,8 +413,8 @@ def train_round(docs: DataFrame, model: Model, number: int, key: str, text: str,
             rare, letters = model.spelt(t), np.empty(len(t), object)
             letters[rare] = spelt
             order = np.random.default_rng(settings.seed + seen).permutation(len(t))
-            for i in range(0, len(t), settings.batch):
-                part = order[i : i + settings.batch]
+            for i in range(0, len(t), 32 * settings.batch):  # a long text has many
+                part = order[i : i + 32 * settings.batch]
                 net.train(w[part], t[part], letters[part[rare[part]]].tolist(), model.spelling, memory)
 
         for batch in steps(batches):

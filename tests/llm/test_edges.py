@@ -657,6 +657,64 @@ def test_lm_trains_on_every_position(spark, docs):
     assert lm_score.fit(docs).trained == sum(len(lm_score.words_of(t)) for _, t, *_ in rows())
 
 
+def test_lm_steps_are_plain_adagrad():
+    """Several batches in one call, the last one short: words with decisions, classes, spelt words and repeated rows."""
+    settings = lm_score.Settings(inputs=100, outputs=16, words=80, buckets=18, width=3, hidden=5, batch=32)
+    net, rng = lm_score.Network(settings), np.random.default_rng(3)
+    assert net.layout.nodes > 0
+    for a in (*net.arrays, *net.more):
+        a += rng.normal(0, 0.3, a.shape).astype(np.float32)
+    ids = rng.choice(100, 75, p=np.arange(100, 0, -1) / 5050)
+    ids[ids == lm_score.PAD] = 2
+    rare = (ids == lm_score.OTHER) | (ids >= 82)
+    spelt = [b"x" * int(k) + b"yz" for k in rng.integers(0, 3, rare.sum())]
+    windows, spelling = rng.integers(0, 100, (75, 4)), rng.normal(-3, 1, 257)
+    plain = [a.astype(float) for a in (*net.arrays, *net.more)]
+    memory = [np.full_like(a, 0.01) for a in plain]
+    letters = dict(zip(np.flatnonzero(rare), spelt))
+    for start in range(0, 75, 32):
+        embed, inner, inner_bias, outer, outer_bias, leaf, leaf_bias, spell = plain
+        grads, n = [np.zeros_like(a) for a in plain], len(ids[start : start + 32])
+        for i in range(start, start + n):
+            x = embed[windows[i]].reshape(-1)
+            h = np.tanh(x @ inner + inner_bias)
+            d = np.exp(h @ outer + outer_bias)
+            d /= d.sum()
+            d[net.layout.classes[ids[i]]] -= 1
+            to_hidden = outer @ d
+            grads[3] += np.outer(h, d)
+            grads[4] += d
+            for node, turn in zip(net.layout.path[ids[i]], net.layout.turn[ids[i]].astype(float)):
+                g = -turn / (1 + np.exp(turn * (h @ leaf[node] + leaf_bias[node])))
+                to_hidden = to_hidden + g * leaf[node]
+                grads[5][node] += g * h
+                grads[6][node] += g
+            if i in letters:
+                seen = np.bincount(np.frombuffer(letters[i], np.uint8), minlength=257) + (np.arange(257) == 256)
+                d = np.exp(spelling + h @ spell)
+                d = d / d.sum() * seen.sum() - seen
+                to_hidden = to_hidden + spell @ d
+                grads[7] += np.outer(h, d)
+            back = to_hidden * (1 - h * h)
+            grads[1] += np.outer(x, back)
+            grads[2] += back
+            np.add.at(grads[0], windows[i], (inner @ back).reshape(4, -1))
+        for a, m, g in zip(plain, memory, grads):
+            m += (g / n) ** 2
+            a -= settings.rate * g / n / (np.sqrt(m) + 1e-6)
+    net.train(windows, ids, spelt, spelling, net.memory())
+    for a, b in zip((*net.arrays, *net.more), plain):
+        assert np.allclose(a, b, atol=2e-5)
+    again = lm_score.Network.from_flat(settings, net.flat())
+    assert all(np.array_equal(a, b) for a, b in zip((*net.arrays, *net.more), (*again.arrays, *again.more)))
+    near = windows[:40]
+    found = net.log_probs(near, ids[:40], spelt[: rare[:40].sum()], spelling)
+    net.wide *= 60  # logits whose exponentials would leave float32
+    assert net.moderate() is False and np.isfinite(net.log_probs(near, ids[:40], spelt[: rare[:40].sum()], spelling)).all()
+    net.train(windows, ids, spelt, spelling, net.memory())
+    assert np.isfinite(net.flat()).all() and np.isfinite(found).all()
+
+
 def test_empty_tables(nothing, spark):
     none = nothing
     benchmark = none.selectExpr("doc_id item_id", "text")
