@@ -8,6 +8,8 @@ they differ (there, fingerprints with the bit clear meet those with the bit set)
 
 Keys of very many fingerprints are keyed once more, in the same way, by the bits outside their segment, so no key is
 left whose pairs grow with the square of a group of near copies. Copies share a fingerprint and never form pairs.
+
+Spark sizes keys as if an explode made one row of each, so joins of keys carry a hint that keeps them off the driver.
 """
 
 from __future__ import annotations
@@ -131,7 +133,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     near = (apart(a, b) <= distance) & first_run(a, b, runs, F.col("kind")) & (F.col("side").isNotNull() | (a < b))
     crowded = not hot.isEmpty()
     low, high = met(rows.join(hot, keys, "left_anti") if crowded else rows, keys, "side")
-    found = low.join(high, keys).filter(near).select("a", "b")
+    found = low.join(high.hint("merge"), keys).filter(near).select("a", "b")
     if not crowded:
         return found
     # the bits outside a key's own run, cut in the same way
@@ -149,7 +151,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         other = F.col("low.side2").isNull() | (F.col("low.side2") != F.col("high.side2"))
         x, y = F.col("low.fp"), F.col("high.fp")
         close = (apart(x, y) <= distance) & first_run(x, y, runs, F.col("kind")) & first_run(x, y, others, F.col("kind2"))
-        pairs = mine.alias("low").join(mine.alias("high"), both).filter(once & other & close)
+        pairs = mine.alias("low").join(mine.alias("high").hint("merge"), both).filter(once & other & close)
         pairs = pairs.select(x.alias("a"), y.alias("b"))
         finer = pairs if finer is None else finer.unionByName(pairs)
     return found.unionByName(finer)

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from applause.llm import bpe, decontaminate, exact_dedup, language_id, lm_score, queries, shards, simhash, substrings, token_counts, url_filter
+from applause.session import cut_lineage
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -233,6 +234,16 @@ def test_simhash_links(spark, monkeypatch, limit):
     assert len(found) == len(want) and {frozenset(f) for f in found} == want
 
 
+@pytest.mark.parametrize("limit", [1 << 14, 1])
+def test_simhash_keys_stay_off_the_driver(spark, monkeypatch, limit):
+    """Exploded keys look small to Spark, whatever their number; no side of a join of keys may be broadcast."""
+    monkeypatch.setattr(simhash, "HOT_PAIRS", limit)
+    nodes = cut_lineage(spark.createDataFrame([(x,) for x in (1, 3, 1 << 40)], "fp bigint"))
+    plan = simhash.links(nodes)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)] + [(200, x) for x in range(201, 230)]
     found = dict(got(simhash.components(spark.createDataFrame(chain, "a bigint, b bigint"))))
